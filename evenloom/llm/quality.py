@@ -1,7 +1,7 @@
 """Quality classifier from weak labels.
 
 Overlapping heuristic labellers each call a text good or bad or abstain. Expectation-maximisation over the counts of
-their vote patterns (all documents; at most 3^labellers patterns, however many documents) estimates how often each
+their vote patterns (all documents; at most 4^labellers patterns, in practice some hundreds, however many documents) estimates how often each
 labeller votes how on good and on bad texts, and the class each pattern belongs to. Those posterior labels then train
 a linear scorer over hashed word shapes, which scores every document.
 """
@@ -9,6 +9,7 @@ a linear scorer over hashed word shapes, which scores every document.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,16 +25,18 @@ MEMO = 300_000
 SYMBOLS = "#$%&*|{}<>@\\^~=_"
 #: Frequent function words of the corpus's languages.
 FUNCTION_WORDS = frozenset("the of and to in a is that it for was on as with be by this are at an from de la le et les un une des du que der die und das den von zu mit el los las y en es se por con para il che non per".split())
-LABELLERS = ("symbols", "capitals", "exclamations", "repeats", "bars", "word_length", "sentences", "length", "function_words")
+LABELLERS = ("symbols", "capitals", "exclamations", "repeats", "pairs", "redundancy", "bars", "word_length", "sentences", "length", "function_words")
+VOTE = {"1": 1, "0": 0, "-": -1, ".": -2}
+MARKS = {v: c for c, v in VOTE.items()}
 _UPPER, _RUN = bytes(range(65, 91)), re.compile(r"(.)\1+", re.S)
 
 
 def votes(text: str) -> list[int]:
-    """1 good, 0 bad, -1 abstains, in the order of LABELLERS."""
+    """1 good, 0 bad, -1 abstains, -2 can't judge a text as short as this; in the order of LABELLERS."""
     words = text.split()
     n, chars = len(words), max(1, len(text))
     if not n:
-        return [-1, -1, -1, -1, -1, 0, -1, 0, -1]
+        return [-2] * len(LABELLERS)
     band = lambda x, good, bad: 1 if x <= good else 0 if x >= bad else -1
     raw = text.encode("utf-8", "surrogatepass")
     letters = max(1, len(raw) - len(raw.translate(None, bytes(range(65, 91)) + bytes(range(97, 123)))))
@@ -45,18 +48,21 @@ def votes(text: str) -> list[int]:
         band(sum(text.count(c) for c in SYMBOLS) / chars, 0.01, 0.04),
         band(upper, 0.12, 0.4),
         0 if text.count("!!") / n > 0.1 else -1,
-        band(again, 0.03, 0.2) if n >= 8 else -1,
+        band(again, 0.03, 0.2) if n >= 8 else -2,
+        band(1 - len(set(zip(words, words[1:]))) / (n - 1), 0.1, 0.35) if n >= 12 else -2,
+        band(-len(zlib.compress(raw, 1)) / len(raw), -0.3, -0.2) if n >= 40 else -2,
         0 if text.count("|") / n > 0.1 else -1,
         1 if 3 <= len(text) / n - 1 <= 9 else 0 if len(text) / n - 1 < 2 or len(text) / n - 1 > 14 else -1,
-        (1 if 1 / 60 <= stops <= 1 / 3 else 0 if stops > 1 or stops < 1 / 400 else -1) if n >= 12 else -1,
-        0 if n < 4 else 1 if n >= 20 else -1,
-        (1 if common >= 0.08 else 0 if common < 0.01 else -1) if n >= 12 else -1,
+        (1 if 1 / 60 <= stops <= 1 / 3 else 0 if stops > 1 or stops < 1 / 400 else -1) if n >= 12 else -2,
+        1 if n >= 20 else -2,
+        (1 if common >= 0.08 else 0 if common < 0.01 else -1) if n >= 12 else -2,
     ]
 
 
 def fit_labellers(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """EM. patterns: (k, labellers) votes -> (posterior of good for each, P(vote | class)[class, labeller, vote], class shares)."""
-    code = patterns + 1
+    code = np.maximum(patterns, -1) + 1
+    judged = patterns > -2
     good, bad = (patterns == 1).sum(1), (patterns == 0).sum(1)
     post = (good + 0.5) / (good + bad + 1)
     post = np.where(bad >= 2, np.minimum(post, 0.3), post)  # a text with two faults starts as bad
@@ -67,10 +73,10 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) ->
         for c, p in ((0, 1 - post), (1, post)):
             share[c] = (weight * p).sum() + 1
             for j in range(patterns.shape[1]):
-                seen = np.bincount(code[:, j], weight * p, 3) + 1
+                seen = np.bincount(code[:, j], weight * p * judged[:, j], 3) + 1
                 likely[c, j] = seen / seen.sum()
         share = share / share.sum()
-        logs = [np.log(share[c]) + np.log(likely[c][np.arange(patterns.shape[1]), code]).sum(1) for c in (0, 1)]
+        logs = [np.log(share[c]) + (np.log(likely[c][np.arange(patterns.shape[1]), code]) * judged).sum(1) for c in (0, 1)]
         new = 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -30, 30)))
         if np.abs(new - post).max() < 1e-9:
             break
@@ -132,13 +138,13 @@ def quality(docs: DataFrame, max_rows: int = 8000) -> DataFrame:
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["".join("01-"[v] for v in votes(t)) for t in batch.column(1).to_pylist()], pa.string())], ["id", "pattern"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["".join(MARKS[v] for v in votes(t)) for t in batch.column(1).to_pylist()], pa.string())], ["id", "pattern"])
 
     patterns = durable(plain.mapInArrow(vote, "id long, pattern string"))
-    counted = sorted((r.pattern, r["count"]) for r in patterns.groupBy("pattern").count().collect())  # at most 3^9 rows
+    counted = sorted((r.pattern, r["count"]) for r in patterns.groupBy("pattern").count().collect())  # some hundreds of rows: votes depend on each other
     if not counted:
         return plain.selectExpr("id as doc_id", "0d as score", "true as keep", "0 as n_good", "0 as n_bad")
-    table = np.array([["01-".index(c) if c != "-" else -1 for c in p] for p, _ in counted])
+    table = np.array([[VOTE[c] for c in p] for p, _ in counted])
     post, _, share = fit_labellers(table, np.array([n for _, n in counted]))
     label = {p: float(x) for (p, _), x in zip(counted, post)}
 

@@ -46,8 +46,8 @@ def distinct_words(text: str) -> set[str]:
     return set(WORD.findall(text.lower()))
 
 
-def features(words: set[str]) -> list[int]:
-    return sorted({f for w in words for f in word_features(w)})
+def features(words: set[str]) -> np.ndarray:
+    return np.array(sorted({f for w in words for f in word_features(w)}), np.int32)
 
 
 def swapped(words: set[str]) -> list[set[str]]:
@@ -62,10 +62,10 @@ def swapped(words: set[str]) -> list[set[str]]:
 class Sparse:
     """Rows of present features."""
 
-    def __init__(self, rows: list[list[int]], n: int):
+    def __init__(self, rows: list[np.ndarray], n: int):
         self.n = n
         self.counts = np.array([len(r) for r in rows], np.int64)
-        self.col = np.fromiter((f for r in rows for f in r), np.int64, int(self.counts.sum()))
+        self.col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         self.row = np.repeat(np.arange(len(rows)), self.counts)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
@@ -75,7 +75,7 @@ class Sparse:
         return np.bincount(self.col, g[self.row], self.n)
 
 
-def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[int, list[int]]], balance: float = 1.0, l1: float = 2e-4, steps: int = 150, least: int = 3) -> tuple[np.ndarray, float]:
+def fit(rows: list[np.ndarray], labels: list[int], pairs: list[tuple[int, np.ndarray]], balance: float = 1.0, l1: float = 6e-4, steps: int = 120, least: int = 3) -> tuple[np.ndarray, float]:
     """Weights and bias. pairs: (row number, features of a counterfactual copy); ``balance`` weighs their penalty."""
     seen = np.zeros(BUCKETS, np.int64)
     for r in rows:
@@ -86,7 +86,7 @@ def fit(rows: list[list[int]], labels: list[int], pairs: list[tuple[int, list[in
     place = np.full(BUCKETS, -1, np.int64)
     ids = np.flatnonzero(usable)
     place[ids] = np.arange(len(ids))
-    thin = lambda r: [int(x) for x in place[r] if x >= 0]
+    thin = lambda r: place[r][place[r] >= 0]
     x = Sparse([thin(r) for r in rows], len(ids))
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -137,13 +137,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, balance: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [distinct_words(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(w) for w in words], pa.list_(pa.int32())), pa.array([[features(c) for c in swapped(w)] for w in words], pa.list_(pa.list_(pa.int32())))], ["toxic", "features", "copies"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(w).tobytes() for w in words], pa.binary()), pa.array([[features(c).tobytes() for c in swapped(w)] for w in words], pa.list_(pa.binary()))], ["toxic", "features", "copies"])
 
     # at most max_rows small rows, by the limit above
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).join(F.broadcast(sample), "doc_id")
-    got = chosen.select("toxic", "text").mapInArrow(run, "toxic int, features array<int>, copies array<array<int>>").limit(2 * max_rows).collect()
+    got = chosen.select("toxic", "text").mapInArrow(run, "toxic int, features binary, copies array<binary>").limit(2 * max_rows).collect()
     got.sort(key=lambda r: (r.toxic, r.features))
-    return fit([r.features for r in got], [r.toxic for r in got], [(i, c) for i, r in enumerate(got) for c in r.copies], balance)
+    buckets = lambda b: np.frombuffer(b, np.int32)
+    return fit([buckets(r.features) for r in got], [r.toxic for r in got], [(i, buckets(c)) for i, r in enumerate(got) for c in r.copies], balance)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_column: str = "doc_id") -> DataFrame:
