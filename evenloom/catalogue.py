@@ -29,3 +29,6 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_oracles)
+
+
+from .plans import agenda_queries  # noqa: E402,F401  registers its queries
