@@ -31,4 +31,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracles)
 
 
-from .plans import agenda_queries  # noqa: E402,F401  registers its queries
+from .plans import agenda_queries, extract_queries, pipeline_queries  # noqa: E402,F401  they register their queries
