@@ -38,8 +38,7 @@ def merge_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest: pa.Table | None = None
 
     def folded(t: pa.Table, firsts: np.ndarray) -> pa.RecordBatch:
-        ids = t.column("keep_id").to_pandas()
-        known = ids.fillna(np.iinfo(np.int64).max).to_numpy(np.int64)
+        known = t.column("keep_id").fill_null(np.iinfo(np.int64).max).to_numpy()
         smallest = np.minimum.reduceat(known, firsts)
         keep = pa.array(smallest, mask=smallest == np.iinfo(np.int64).max)
         heads = t.take(pa.array(firsts)).combine_chunks()
