@@ -13,6 +13,7 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ from .common import durable, partitions, ready, whole
 SCHEMA = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 ARROW = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in SCHEMA.split(", ")])
 NO_ID = -(1 << 63)
+MARKS = 1 << 23
 
 
 def canonical(text: str) -> bytes:
@@ -51,18 +53,47 @@ def _texts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("id"), whole(text_column).alias("text"))
 
 
-def digests(texts: DataFrame, bodies: bool) -> DataFrame:
-    """texts(id, text) -> (id, fingerprint[, body]), the digest before any comparison; body is the compressed canonical form."""
+def digests(texts: DataFrame) -> DataFrame:
+    """texts(id, text) -> (id, fingerprint), the digest before any comparison."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            forms = [canonical(t) for t in batch.column(1).to_pylist()]
-            cols = [batch.column(0), pa.array([digest(f) for f in forms], pa.string())]
-            if bodies:
-                cols.append(pa.array([packed(f) for f in forms], pa.binary()))
-            yield pa.RecordBatch.from_arrays(cols, ["id", "fingerprint", "body"][: len(cols)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(canonical(t)) for t in batch.column(1).to_pylist()], pa.string())], ["id", "fingerprint"])
 
-    return texts.mapInArrow(run, "id long, fingerprint string" + ", body binary" * bodies)
+    return texts.mapInArrow(run, "id long, fingerprint string")
+
+
+def marks(several: DataFrame) -> bytes:
+    """A bitmap of MARKS bits with a bit set for each of the fingerprints; the same size for any number of them."""
+    at = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long") % MARKS
+    words = several.select(F.floor(at / 64).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = np.zeros(MARKS // 64, np.int64)
+    for r in words.collect():  # at most MARKS / 64 rows
+        found[r.w] = r.b
+    return found.tobytes()
+
+
+def bodies(texts: DataFrame, several: DataFrame) -> DataFrame:
+    """(id, fingerprint, body) of the rows whose digest is among several(fingerprint); body is the compressed canonical form.
+
+    Rows without a mark stay where they are; the join takes out those that share a mark by chance.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(marks(several))  # MARKS / 8 bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = shared.value
+        for batch in batches:
+            out = []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                form = canonical(text)
+                found = digest(form)
+                at = int(found[:8], 16) % MARKS
+                if marked[at >> 3] >> (at & 7) & 1:
+                    out.append((key, found, packed(form)))
+            cols = list(zip(*out)) if out else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary()))], ["id", "fingerprint", "body"])
+
+    return texts.mapInArrow(run, "id long, fingerprint string, body binary").join(several, "fingerprint", "left_semi")
 
 
 def suffixes(texts: DataFrame) -> DataFrame:
@@ -71,15 +102,15 @@ def suffixes(texts: DataFrame) -> DataFrame:
     The digests of all rows are counted first; only rows in buckets of several go on with their bytes, and equal
     bytes of a partition travel on once, so a text that a third of all rows share costs no more than another.
     """
-    several = durable(digests(texts, False)).groupBy("fingerprint").count().where("count > 1").select("fingerprint")
-    bodies = digests(texts, True).join(several, "fingerprint", "left_semi")
-    different = bodies.groupBy("fingerprint", "body").count()
+    several = durable(digests(texts).groupBy("fingerprint").count().where("count > 1").select("fingerprint"))
+    rows = bodies(texts, several)
+    different = rows.groupBy("fingerprint", "body").count()
     clash = durable(different.groupBy("fingerprint").agg(F.count("*").alias("texts")).where("texts > 1").select("fingerprint"))
     if clash.isEmpty():
         return texts.sparkSession.createDataFrame([], "id long, fingerprint string, suffix string")
     order = F.array_sort(F.collect_list("body"))  # different texts with one 128-bit digest
     place = different.join(clash, "fingerprint").groupBy("fingerprint").agg(order.alias("all")).select("fingerprint", F.posexplode("all").alias("place", "body"))
-    return bodies.join(place.where("place > 0"), ["fingerprint", "body"]).select("id", "fingerprint", F.concat(F.lit("-"), F.col("place").cast("string")).alias("suffix"))
+    return rows.join(place.where("place > 0"), ["fingerprint", "body"]).select("id", "fingerprint", F.concat(F.lit("-"), F.col("place").cast("string")).alias("suffix"))
 
 
 def verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -94,7 +125,7 @@ def verified(rows: DataFrame, texts: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, fingerprint) of every row; null texts count as empty, an empty table gives none."""
     texts = _texts(docs, id_column, text_column)
-    return verified(digests(texts, False), texts).withColumnRenamed("id", id_column)
+    return verified(digests(texts), texts).withColumnRenamed("id", id_column)
 
 
 def edited(text: str, following: str) -> str:
