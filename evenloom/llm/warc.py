@@ -162,17 +162,35 @@ def publish(root: str, name: str, write: Callable[[BinaryIO], None]) -> str:
 
 
 def kinds(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, refers_to): pages with the hex SHA-1 of their payload and what they refer to.
+    """(page_id, url, digest, refers_to) of every row: the hex SHA-1 of its payload and what it refers to; payloads stay behind.
 
     Payloads are equal if SHA-1, length and an independent hash agree. Of equal ones the largest page_id is the
     response, also if it has several rows. A null page_id refers to the others' largest.
     """
-    body = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), "url", whole("html").alias("html"))
+    html = whole("html")
+    keyed = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), "url", F.sha1(html).alias("digest"), F.octet_length(html).alias("n"), F.xxhash64(html).alias("other"))
     key = ["digest", "n", "other"]
-    keyed = body.select("page_id", "url", "html", F.sha1("html").alias("digest"), F.octet_length("html").alias("n"), F.xxhash64("html").alias("other"))
     largest = keyed.groupBy(*key).agg(F.max("page_id").alias("last"))
     found = salted_lookup(keyed, largest, key, "page_id")
-    return found.select("page_id", "url", "html", "digest", F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("refers_to"))
+    return found.select("page_id", "url", "digest", F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("refers_to"))
+
+
+ROW = "archive long, page_id long, digest string, payload binary, url string, refers_to long"
+
+
+def payloads(pages: DataFrame, n: int) -> DataFrame:
+    """ROW of every page with its compressed payload, to be met by the rows of kinds()."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(3).to_pylist()]
+            packed = [len(t).to_bytes(8, "little") + pa.compress(t, "zstd", asbytes=True) for t in raw]
+            empty = [None] * len(raw)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(packed, pa.binary()), pa.array(empty, pa.string()), pa.array(empty, pa.int64())], [x.split()[0] for x in ROW.split(", ")])
+
+    html = whole("html")
+    body = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), html.alias("html"), F.sha1(html).alias("digest"))
+    return body.select(F.pmod(F.xxhash64("page_id"), F.lit(n)).alias("archive"), "page_id", "digest", "html").mapInArrow(pack, ROW)
 
 
 def write_archives(pages: DataFrame, root: str, archive_bytes: int = 32 << 20, level: int = 6) -> DataFrame:
@@ -182,6 +200,7 @@ def write_archives(pages: DataFrame, root: str, archive_bytes: int = 32 << 20, l
     n = max(1, -(-total // archive_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # sorted by (archive, page_id, digest), of which the rows without payload come first
         rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(6))))
         row = next(rows, None)
         while row is not None:
@@ -191,19 +210,27 @@ def write_archives(pages: DataFrame, root: str, archive_bytes: int = 32 << 20, l
                 nonlocal row, count
                 z = zlib.compressobj(level, zlib.DEFLATED, 31)
                 out.write(z.compress(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x-archive:{archive}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode()))
+                waiting: list[tuple] = []
                 while row is not None and row[0] == archive:
-                    digest = base64.b32encode(bytes.fromhex(row[4])).decode()
-                    out.write(z.compress(record(row[1], row[2], row[3].encode("utf-8", "surrogatepass"), digest, row[5])))
-                    count += 1
+                    if row[3] is None:
+                        waiting.append(row)
+                    elif waiting:  # a repeated row's payload finds its records written
+                        payload = pa.decompress(row[3][8:], int.from_bytes(row[3][:8], "little"), "zstd", asbytes=True)
+                        digest = base64.b32encode(bytes.fromhex(row[2])).decode()
+                        for _, page_id, _, _, url, refers_to in waiting:
+                            out.write(z.compress(record(page_id, url, payload, digest, refers_to)))
+                            count += 1
+                        waiting.clear()
                     row = next(rows, None)
                 out.write(z.flush())
 
             path = publish(f"{root}/raw", f"pages-{archive:06d}.warc.gz", write)
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [count]})
 
-    dealt = kinds(pages).withColumn("archive", F.pmod(F.xxhash64("page_id"), F.lit(n)))
-    dealt = dealt.repartition(min(n, 1 << 20), "archive").sortWithinPartitions("archive", "page_id")
-    return durable(dealt.select("archive", "page_id", "url", "html", "digest", "refers_to").mapInArrow(run, "path string, n_records long"))
+    told = kinds(pages).select(F.pmod(F.xxhash64("page_id"), F.lit(n)).alias("archive"), "page_id", "digest", F.lit(None).cast("binary").alias("payload"), "url", "refers_to")
+    dealt = told.unionByName(payloads(pages, n)).withColumn("whole", F.col("payload").isNotNull())
+    dealt = dealt.repartition(min(n, 1 << 20), "archive").sortWithinPartitions("archive", "page_id", "digest", "whole")
+    return durable(dealt.select("archive", "page_id", "digest", "payload", "url", "refers_to").mapInArrow(run, "path string, n_records long"))
 
 
 def normalise_archives(archives: DataFrame, root: str, level: int = 6) -> DataFrame:
