@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Month names and abbreviations as sites write them.
@@ -33,23 +33,32 @@ def infer_year(m: Column, d: Column, today: Column, back: int = 60) -> Column:
     return F.when(F.datediff(today, this) > back, _date(F.year(today) + 1, m, d)).otherwise(F.coalesce(this, _date(F.year(today) + 1, m, d)))
 
 
-def extract_date(text: Column, today: Column) -> Column:
-    """The first date that a text gives; one right after "datum" goes before others."""
-
-    def first(t: Column) -> Column:
-        g = lambda p, k: F.nullif(F.regexp_extract(t, p, k), F.lit(""))
-        num = _date(g(_NUMERIC, 3).cast("int"), g(_NUMERIC, 2).cast("int"), g(_NUMERIC, 1).cast("int"))
-        m1, d1, y1 = month_number(g(_DAY_MONTH, 2)), g(_DAY_MONTH, 1).cast("int"), g(_DAY_MONTH, 3).cast("int")
-        m2, d2, y2 = month_number(g(_MONTH_DAY, 1)), g(_MONTH_DAY, 2).cast("int"), g(_MONTH_DAY, 3).cast("int")
-        named = lambda y, m, d: F.when(y.isNotNull(), _date(y, m, d)).otherwise(infer_year(m, d, today))
-        at = lambda p, v: F.struct(F.when(v.isNotNull(), F.regexp_instr(t, F.lit(p))).otherwise(F.lit(1 << 30)).alias("at"), v.alias("v"))
-        options = F.array(at(_NUMERIC, num), at(_DAY_MONTH, named(y1, m1, d1)), at(_MONTH_DAY, named(y2, m2, d2)))
-        return F.array_min(options)["v"]
-
-    labelled = F.nullif(F.regexp_extract(text, r"(?is)\bdatum\b:?\s*(.{0,40})", 1), F.lit(""))
-    short = F.regexp_extract(text, r"(?i)\bdatum:?\s*(\d{1,2})[-/](\d{1,2})(?![-/\d])", 1)
-    short_m = F.regexp_extract(text, r"(?i)\bdatum:?\s*(\d{1,2})[-/](\d{1,2})(?![-/\d])", 2)
-    return F.coalesce(first(labelled), first(text), F.when(short != "", infer_year(short_m.cast("int"), short.cast("int"), today)))
+def groups(text: Column, pattern: str, n: int) -> Column:
+    """Struct of a pattern's groups g1..gn (null where empty) and ``at``, the place of its first match (0: none)."""
+    return F.struct(F.regexp_instr(text, F.lit(pattern)).alias("at"), *(F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).alias(f"g{k}") for k in range(1, n + 1)))
+
+
+def with_date(df: DataFrame, text: str, today: Column, out: str = "date") -> DataFrame:
+    """Add the first date that a text column gives; one right after "datum" goes before others.
+
+    In steps, so that no pattern is matched twice: groups, then dates, then the choice.
+    """
+    df = df.withColumn("_label", F.nullif(F.regexp_extract(text, r"(?is)\bdatum\b:?\s*(.{0,40})", 1), F.lit(""))).withColumn("_today", today)
+    df = df.withColumns({f"_{n}{t}": groups(F.col(c), p, 3) for t, c in (("l", "_label"), ("t", text)) for n, p in (("n", _NUMERIC), ("d", _DAY_MONTH), ("m", _MONTH_DAY))} | {"_s": groups(F.col(text), r"(?i)\bdatum:?\s*(\d{1,2})[-/](\d{1,2})(?![-/\d])", 2)})
+    parts = {}
+    for t in "lt":
+        parts |= {f"_y{t}": F.struct(F.col(f"_d{t}.g3").cast("int").alias("dy"), month_number(F.col(f"_d{t}.g2")).alias("dm"), F.col(f"_d{t}.g1").cast("int").alias("dd"), F.col(f"_m{t}.g3").cast("int").alias("my"), month_number(F.col(f"_m{t}.g1")).alias("mm"), F.col(f"_m{t}.g2").cast("int").alias("md"))}
+    df = df.withColumns(parts)
+    named = lambda y, m, d: F.when(y.isNotNull(), _date(y, m, d)).otherwise(infer_year(m, d, F.col("_today")))
+    dates = {}
+    for t in "lt":
+        c = lambda k, t=t: F.col(f"_y{t}.{k}")
+        dates |= {f"_a{t}": _date(F.col(f"_n{t}.g3").cast("int"), F.col(f"_n{t}.g2").cast("int"), F.col(f"_n{t}.g1").cast("int")), f"_b{t}": named(c("dy"), c("dm"), c("dd")), f"_c{t}": named(c("my"), c("mm"), c("md"))}
+    df = df.withColumns(dates | {"_short": infer_year(F.col("_s.g2").cast("int"), F.col("_s.g1").cast("int"), F.col("_today"))})
+    at = lambda p, v: F.when(F.col(v).isNotNull(), F.struct(F.col(f"{p}.at").alias("at"), F.col(v).alias("v")))
+    first = lambda t: F.array_min(F.filter(F.array(at(f"_n{t}", f"_a{t}"), at(f"_d{t}", f"_b{t}"), at(f"_m{t}", f"_c{t}")), lambda x: x.isNotNull()))["v"]
+    df = df.withColumn(out, F.coalesce(first("l"), first("t"), F.col("_short")))
+    return df.drop("_label", "_today", "_s", "_short", *(f"_{n}{t}" for n in "ndmyabc" for t in "lt"))
 
 
 def parse_iso(text: Column) -> tuple[Column, Column]:

@@ -27,15 +27,16 @@ def x01(spark, sf_dir):
     numeric = F.concat(F.lit("Kaarten 12,50. "), F.date_format(moved, "d-M-yyyy"), F.lit(" en 1 mei 2030"))
     label = F.concat(F.lit("1 mei 2031 geplaatst. Datum: "), F.dayofmonth(moved).cast("string"), F.lit(" "), _month(moved), F.lit(" "), F.year(moved).cast("string"))
     text = F.when(F.col("l_linenumber") == 1, full).when(F.col("l_linenumber") == 2, numeric).otherwise(label)
-    found = F.add_months(X.extract_date(text, today), -12 * shift)
-    return table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", found.alias("date"))
+    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", text.alias("text"), today.alias("t"), shift.alias("shift"))
+    return X.with_date(rows, "text", F.col("t")).select("l_orderkey", "l_linenumber", F.add_months("date", F.col("shift") * -12).alias("date"))
 
 
 @query("x01b_year_inference", "SELECT event_id, CAST(ts AS DATE) AS date FROM events")
 def x01b(spark, sf_dir):
     d = F.to_date("ts")
     text = F.concat_ws(" ", F.dayofmonth(d).cast("string"), _month(d))
-    return table(spark, sf_dir, "events").select("event_id", X.extract_date(text, F.lit("2023-12-20").cast("date")).alias("date"))
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    return X.with_date(rows, "text", F.lit("2023-12-20").cast("date")).select("event_id", "date")
 
 
 @query("x02_parse_iso", "SELECT event_id, CAST(timezone('Europe/Amsterdam', timezone('UTC', ts)) AS DATE) AS date, strftime(timezone('Europe/Amsterdam', timezone('UTC', ts)), '%H:%M') AS time FROM events WHERE strftime(timezone('Europe/Amsterdam', timezone('UTC', ts)), '%H:%M') <> '00:00'")
