@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from evenloom import catalogue
@@ -20,27 +21,26 @@ def oracle(sf_dir):
 
 
 def plain(v):
-    if v is None or v != v or str(v) == "NaT":
-        return None
-    if isinstance(v, bool) or type(v).__name__ == "bool":
-        return str(int(v))
-    if isinstance(v, float):
-        return f"{round(v, 5):g}" if abs(v) < 1e6 else f"{v:.4f}"
-    text = str(v).removesuffix(" 00:00:00")
-    return text
+    """A value as text that doesn't depend on the engine's types."""
+    if v is None or pd.isna(v):
+        return ""
+    try:
+        return f"{float(v):.6g}"
+    except (TypeError, ValueError):
+        return str(v).removesuffix(" 00:00:00")
+
+
+def rows(frame):
+    return sorted(tuple(map(plain, r)) for r in frame[sorted(frame.columns)].astype(object).itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query(spark, sf_dir, oracle, name):
     got = catalogue.queries()[name](spark, sf_dir).toPandas()
     sql = catalogue.oracle_sql().get(name)
-    if sql is None:
-        assert len(got) >= 0
+    if sql is None:  # a plain version of it is in test_operators
+        assert len(got)
         return
     want = oracle.sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
-    key = lambda r: tuple("" if v is None else v for v in r)
-    a = sorted((tuple(plain(v) for v in r) for r in got[sorted(got.columns)].astype(object).itertuples(index=False, name=None)), key=key)
-    b = sorted((tuple(plain(v) for v in r) for r in want[sorted(want.columns)].astype(object).itertuples(index=False, name=None)), key=key)
-    number = lambda r: tuple(f"{float(v):g}" if v and v.replace(".", "", 1).replace("-", "", 1).isdigit() else v for v in r)
-    assert sorted(map(number, a), key=key) == sorted(map(number, b), key=key)
+    assert rows(got) == rows(want)
