@@ -74,10 +74,8 @@ def marks(several: DataFrame) -> bytes:
 
 
 def bodies(texts: DataFrame, several: DataFrame) -> DataFrame:
-    """(id, fingerprint, body) of the rows whose digest is among several(fingerprint); body is the compressed canonical form.
-
-    Rows without a mark stay where they are; the join takes out those that share a mark by chance.
-    """
+    """(id, fingerprint, body) of the rows whose digest is among several(fingerprint), and of some that share a mark by
+    chance; body is the compressed canonical form. Rows without a mark stay where they are."""
     shared = texts.sparkSession.sparkContext.broadcast(marks(several))  # MARKS / 8 bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,7 +91,7 @@ def bodies(texts: DataFrame, several: DataFrame) -> DataFrame:
             cols = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.binary()))], ["id", "fingerprint", "body"])
 
-    return texts.mapInArrow(run, "id long, fingerprint string, body binary").join(several, "fingerprint", "left_semi")
+    return texts.mapInArrow(run, "id long, fingerprint string, body binary")
 
 
 def suffixes(texts: DataFrame) -> DataFrame:
