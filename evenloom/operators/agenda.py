@@ -269,9 +269,10 @@ def film_days(df: DataFrame) -> DataFrame:
 def search_counts(df: DataFrame, query: str, current: str, top: int = 12) -> DataFrame:
     """The first ``top`` hits of each type with the type's total, the current type first."""
     hits = df.where(matches(query))
-    w = Window.partitionBy("type")
-    ranked = hits.withColumns({"total": F.count("*").over(w), "rank": F.row_number().over(w.orderBy("d", F.coalesce("time", F.lit(NO_TIME)), "ord"))})
-    return ranked.where(F.col("rank") <= top).withColumn("tab_order", F.when(F.col("type") == current, 0).otherwise(1))
+    totals = hits.groupBy("type").agg(F.count("*").alias("total"))  # a row a type
+    place = F.row_number().over(Window.partitionBy("type").orderBy("d", F.coalesce("time", F.lit(NO_TIME)), "ord"))
+    ranked = hits.withColumn("rank", place).where(F.col("rank") <= top)  # limited in each partition before the shuffle
+    return ranked.join(F.broadcast(totals), "type").withColumn("tab_order", F.when(F.col("type") == current, 0).otherwise(1))
 
 
 def added_per_day(df: DataFrame, days: int = 7) -> DataFrame:

@@ -16,7 +16,7 @@ GENERIC = r"(?i)open ?(mic|podium|stage|jam)|jam ?sessi|pub ?quiz|\bquiz\b|karao
 
 
 def first_wins(df: DataFrame, key: list[Column | str], order: Column | str = "ord") -> DataFrame:
-    """The first row of each key; a partial aggregate finds it before any row moves."""
+    """The first row of each key; Spark keeps one row a key in each partition before the shuffle."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*key).orderBy(order))).where("_rn = 1").drop("_rn")
 
 
