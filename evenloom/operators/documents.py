@@ -282,7 +282,12 @@ def page_text(pages: DataFrame) -> DataFrame:
     from ..functions.keys import unescape
 
     text = F.trim(F.regexp_replace(unescape(F.regexp_replace(F.regexp_replace(shown, r"(?i)<(br|/p|/div|/li|/h\d)[^>]*>", "\n"), "<[^>]+>", " ")), r"[ \t\r]+", " "))
-    return pages.select("url", text.alias("text"))
+    return pages.select("url", once(text).alias("text"))
+
+
+def once(c: Column) -> Column:
+    """The same value through a one-element explode: the optimizer doesn't copy a long expression to wherever it is used."""
+    return F.explode(F.array(c))
 
 
 def event_from_page(pages: DataFrame, today: str) -> DataFrame:
@@ -291,7 +296,8 @@ def event_from_page(pages: DataFrame, today: str) -> DataFrame:
 
     t = F.lit(today).cast("date")
     rows = page_text(pages).join(pages.select("url", F.trim(F.regexp_extract("html", r"(?is)<h1[^>]*>\s*([^<]+?)\s*</h1>", 1)).alias("title")), "url")
-    rows = with_date(rows.withColumn("head", F.left("text", F.lit(6000))), "head", t).withColumn("_c", clock_times(F.col("head")))
+    rows = with_date(rows.withColumn("head", F.left("text", F.lit(6000))), "head", t)
+    rows = rows.withColumn("date", once(F.col("date"))).where((F.datediff(t, "date") <= 365) & (F.col("title") != "")).withColumn("_c", once(clock_times(F.col("head"))))
     rows = rows.withColumns({"end": until_date(F.col("head"), F.col("date")), "price": price_from_text(F.col("head")), "status": sale_status(F.col("head"))})
-    return rows.where((F.datediff(t, "date") <= 365) & (F.col("title") != "")).select("url", "title", "date", "end", F.col("_c.doors").alias("doors"), F.col("_c.start").alias("start"), F.coalesce("_c.start", "_c.doors", "_c.first").alias("time"), "price", "status")
+    return rows.select("url", "title", "date", "end", F.col("_c.doors").alias("doors"), F.col("_c.start").alias("start"), F.coalesce("_c.start", "_c.doors", "_c.first").alias("time"), "price", "status")
 
