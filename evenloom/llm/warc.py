@@ -170,8 +170,8 @@ def kinds(pages: DataFrame) -> DataFrame:
     html = whole("html")
     keyed = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), "url", F.sha1(html).alias("digest"), F.octet_length(html).alias("n"), F.xxhash64(html).alias("other"))
     key = ["digest", "n", "other"]
-    largest = keyed.groupBy(*key).agg(F.max("page_id").alias("last"))
-    found = salted_lookup(keyed, largest, key, "page_id")
+    largest = keyed.groupBy(*key).agg(F.max("page_id").alias("last"), F.count("*").alias("rows"))
+    found = salted_lookup(keyed, largest.where("rows > 1").drop("rows"), key, "page_id")  # a payload of one row refers to none
     return found.select("page_id", "url", "digest", F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("refers_to"))
 
 
