@@ -89,7 +89,10 @@ def exact_groups(docs: DataFrame, text: Column | None = None, fan_in: int = 8, i
     first = rows.groupBy("run", *key).agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
     first = first.select("run", *key, "keep_id", "group_size")
     merged = durable(tree_merge(first, max(1, rows.rdd.getNumPartitions()), fan_in).drop("run"))
-    out = salted_lookup(rows.drop("run"), merged, key, "id", max(16, partitions(spark) // 4))
+    # a text of one row keeps itself; only the classes of several are looked up
+    out = salted_lookup(rows.drop("run"), merged.where("group_size > 1"), key, "id", max(16, partitions(spark) // 4))
+    alone = F.col("group_size").isNull()
+    out = out.withColumns({"keep_id": F.when(alone, F.col("id")).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1).cast("long"))})
     kept = F.coalesce(F.col("id") == F.col("keep_id"), F.col("id").isNull() & F.col("keep_id").isNull())
     return out.select(F.col("id").alias(id_column), "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
