@@ -231,14 +231,14 @@ def near_groups(docs: DataFrame, shingle: int, words: int, tables: list[np.ndarr
     """
     names = [f"f{k}" for k in range(words)]
     prints = durable(fingerprint(docs, shingle, words, id_column, text_column))
-    distinct = durable(prints.groupBy(*names).agg(F.min("id").alias("id")))
-    links = near_links(distinct.where("id is not null"), words, tables, max_bits, cap)
+    distinct = durable(prints.groupBy(*names).agg(F.min("id").alias("id"), F.count("*").alias("rows")))
+    links = near_links(distinct.where("id is not null").drop("rows"), words, tables, max_bits, cap)
     found = components(links)
     labels = distinct.join(found.withColumnRenamed("node", "id"), "id", "left")
-    labels = labels.select(*names, F.coalesce("component", "id").alias("component_id"))
-    # hot fingerprints are dealt over salts by the hash of the id
+    labels = labels.where("rows > 1 or component is not null").select(*names, F.coalesce("component", "id").alias("component_id"))
+    # hot fingerprints are dealt over salts by the hash of the id; one of a single row without links is its own component
     out = salted_lookup(prints, labels, names, "id")
-    return out.select(F.col("id").alias(id_column), *names, "component_id")
+    return out.select(F.col("id").alias(id_column), *names, F.coalesce("component_id", "id").alias("component_id"))
 
 
 def exact_tables(max_bits: int = 3, blocks: int = 5) -> list[np.ndarray]:
