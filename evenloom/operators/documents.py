@@ -15,6 +15,7 @@ from ..functions.keys import acts, artist_key, bare_key
 
 _T = rf"(\d{{1,2}})\s+({_NAMES})\b\.?(?:\s+'?(\d{{4}}))?"
 _N = r"(\d{1,2})[./-](\d{1,2})[./-](20\d\d)"
+#: Wordings between and before the dates of a period.
 _TO = r"\s*\|?\s*(?:t/m|t\.m\.|tot en met|tot|until|till|to|through|[-–—]|\|)\s*\|?\s*(?:[a-z]{2,9}\.?\s+)?"
 _UNTIL = rf"(?i)\b(?:t/m|t\.m\.|tot en met|nog tot|te zien tot|tot|until|through)\s*\|?\s*(?:[a-z]{{2,9}}\.?\s+)?(?:{_T}|{_N})"
 _FROM = rf"(?i)\b(?:te zien vanaf|vanaf|from|opening|opent|start)\s*\|?\s*(?:[a-z]{{2,9}}\.?\s+)?(?:{_T}|{_N})"
@@ -141,20 +142,23 @@ def event_from_jsonld(objects: DataFrame) -> DataFrame:
     return out.where((F.year("date") >= 2000) & (F.length("title") > 0))
 
 
+#: Labels of a timetable that are no act, rows for a few visitors only, and opening of the doors.
+NO_ACT = r"(?i)eind|einde|\bend\b|curfew|sluit|close|pauze|break|aanvang|^start$|begin|kassa|garderobe|soundcheck|merch|^(intro|introductie|inleiding|q ?& ?a|nagesprek|aftertalk|film|filmscreening|screening|workshop|lezing|talk|borrel|programma|pre-?party|after-?party|live-?concert|concert|show|voorprogramma|support|hoofdact|headliner)$"
+VIP = r"(?i)\bvip\b|meet ?(&|and|n) ?greet|\bm&g\b|early entry"
+DOORS = r"(?i)deur|doors|zaal\s*open|^open$|opening"
+
+
 def timetable(df: DataFrame, rows: str, title: str) -> DataFrame:
     """Add doors, start, support and times from an array of (time HH:MM, label) rows of an evening.
 
     The main act is the one whose name and the title's contain each other. A schedule that doesn't ascend (after
     midnight counting on) isn't trusted beyond its doors.
     """
-    skip = r"(?i)eind|einde|\bend\b|curfew|sluit|close|pauze|break|aanvang|^start$|begin|kassa|garderobe|soundcheck|merch|^(intro|introductie|inleiding|q ?& ?a|nagesprek|aftertalk|film|filmscreening|screening|workshop|lezing|talk|borrel|programma|pre-?party|after-?party|live-?concert|concert|show|voorprogramma|support|hoofdact|headliner)$"
-    vip = r"(?i)\bvip\b|meet ?(&|and|n) ?greet|\bm&g\b|early entry"
-    doors = r"(?i)deur|doors|zaal\s*open|^open$|opening"
-    clean = F.filter(F.transform(rows, lambda r: F.struct(F.lpad(F.replace(r["time"], F.lit("."), F.lit(":")), 5, "0").alias("s"), F.trim(r["label"]).alias("a"))), lambda r: r["s"].rlike(r"^([01]\d|2[0-3]):[0-5]\d$") & (r["a"] != "") & ~r["a"].rlike(vip))
-    listed = F.filter("_rows", lambda r: ~r["a"].rlike(doors) & ~r["a"].rlike(skip) & (F.length(r["a"]) <= 80))
+    clean = F.filter(F.transform(rows, lambda r: F.struct(F.lpad(F.replace(r["time"], F.lit("."), F.lit(":")), 5, "0").alias("s"), F.trim(r["label"]).alias("a"))), lambda r: r["s"].rlike(r"^([01]\d|2[0-3]):[0-5]\d$") & (r["a"] != "") & ~r["a"].rlike(VIP))
+    listed = F.filter("_rows", lambda r: ~r["a"].rlike(DOORS) & ~r["a"].rlike(NO_ACT) & (F.length(r["a"]) <= 80))
     minute = lambda s: F.left(s, F.lit(2)).cast("int") * 60 + F.right(s, F.lit(2)).cast("int")
     out = df.withColumn("_rows", clean).withColumn("_acts", listed)
-    out = out.withColumn("doors", F.get(F.filter("_rows", lambda r: r["a"].rlike(doors)), F.lit(0))["s"])
+    out = out.withColumn("doors", F.get(F.filter("_rows", lambda r: r["a"].rlike(DOORS)), F.lit(0))["s"])
     out = out.withColumn("_mins", F.transform("_acts", lambda r: F.when(minute(r["s"]) < minute(F.col("_acts")[0]["s"]) - 360, minute(r["s"]) + 1440).otherwise(minute(r["s"]))))
     out = out.withColumn("_acts", F.when((F.size("_acts") > 0) & (F.size("_acts") <= 15) & (F.array_sort("_mins") == F.col("_mins")), F.col("_acts")))
     key = bare_key(title)
@@ -234,6 +238,7 @@ def listing_with_details(listing: DataFrame, details: DataFrame) -> DataFrame:
     return out.withColumns({"price": F.when(paired, F.col("_price")).otherwise(F.col("_only")), "time": F.when(paired, F.coalesce("time", "_time")).otherwise(F.col("time"))}).drop("_k", "_n", "_m", "_time", "_price", "_only")
 
 
+#: What follows an act's name in titles, and words of programmes.
 _DATED = rf"(?i)\s+(?:(?:komt|komen|staat|staan)\s+)?op\s+\d{{1,2}}\s+(?:{_NAMES})\.?(?:\s+\d{{4}})?\s*$"
 _NOISE = r"(?i)(?:\s+(?:solo|live|in concert|unplugged|acoustic|akoestisch|with strings|with orchestra|luistersessie|listening session))+\s*$"
 PROGRAMME = r"(?i)\s(ft\.?|feat\.?|featuring|presents?|met|with|spelen?|speelt|plays?)\s|,"
