@@ -68,6 +68,12 @@ def q05(spark, sf_dir):
     return out.select("id", "title", "venue", "city", "time", "car").orderBy(F.coalesce("time", F.lit(10_000)), "id")
 
 
+@query("q05b_tonight_within_two_hours", f"{W} SELECT id, title, venue, city, time, car FROM enriched WHERE NOT started AND d = 0 AND time + 120 > {NOW} AND car <= 120")
+def q05b(spark, sf_dir):
+    out = A.tonight(enriched(spark, sf_dir), NOW, 120)
+    return out.select("id", "title", "venue", "city", "time", "car").orderBy(F.coalesce("time", F.lit(10_000)), "id")
+
+
 @query("q06_reachability", f"""{W}, r AS (SELECT *, time - (1140 + car) AS margin FROM enriched WHERE d = 0 AND NOT started), s AS (SELECT *, CASE WHEN margin >= 10 THEN 'ok' WHEN margin >= -10 THEN 'tight' WHEN time + 120 - (1140 + car) >= 30 THEN 'late' ELSE 'missed' END AS verdict FROM r)
     SELECT id, v, margin, verdict, row_number() OVER (PARTITION BY v ORDER BY CASE verdict WHEN 'ok' THEN 0 WHEN 'tight' THEN 1 WHEN 'late' THEN 2 ELSE 3 END, abs(margin), ord) = 1 AS best FROM s""")
 def q06(spark, sf_dir):
