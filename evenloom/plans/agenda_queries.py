@@ -96,32 +96,24 @@ def q09(spark, sf_dir):
     return A.similar(enriched(spark, sf_dir))
 
 
-_TOUR = f"""{W}, k AS (SELECT id, ak AS key FROM enriched WHERE type IN ('pop', 'thea') AND "end" IS NULL AND length(ak) >= 4), s AS (SELECT key, count(DISTINCT id) AS n FROM k GROUP BY key), kk AS (SELECT k.* FROM k JOIN s ON k.key = s.key WHERE n BETWEEN 2 AND 4000),
+_TOUR = f"""{W}, k AS (SELECT id, ak AS key FROM enriched WHERE type IN ('pop', 'thea') AND "end" IS NULL AND length(ak) >= 4), s AS (SELECT key, count(DISTINCT id) AS n FROM k GROUP BY key), kk AS (SELECT k.* FROM k JOIN s ON k.key = s.key WHERE n BETWEEN 2 AND 120),
     p AS (SELECT DISTINCT a.id, b.id AS other FROM kk a JOIN kk b ON a.key = b.key AND a.id <> b.id), pr AS (SELECT p.id, p.other, x.car, y.car AS ocar, x.d, y.d AS od, x.v, y.v AS ov, x.time AS t, y.time AS ot FROM p JOIN enriched x ON p.id = x.id JOIN enriched y ON p.other = y.id)"""
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The coming week's events: a query parameter of the tour screens, not a cap."""
-    return df.where("d <= 1 and not started")
-
-
-_TOURW = _TOUR.replace("type IN ('pop', 'thea')", "d <= 1 AND NOT started AND type IN ('pop', 'thea')")
-
-
-@query("q10_tour_dates", f"{_TOURW} SELECT id, other, ocar AS other_car, od AS other_d FROM pr WHERE NOT (d = od AND v = ov AND t IS NOT DISTINCT FROM ot)")
+@query("q10_tour_dates", f"{_TOUR} SELECT id, other, ocar AS other_car, od AS other_d FROM pr WHERE NOT (d = od AND v = ov AND t IS NOT DISTINCT FROM ot)")
 def q10(spark, sf_dir):
-    return A.tour_dates(_small(enriched(spark, sf_dir)), 4000).select("id", "other", "other_car", "other_d")
+    return A.tour_dates(enriched(spark, sf_dir)).select("id", "other", "other_car", "other_d")
 
 
 @query("q10b_tour_route", f"{_TOUR} SELECT kk.key, count(*) AS stops, count(DISTINCT venue) AS venues, string_agg(venue, ' > ' ORDER BY date, ord) AS route FROM kk JOIN enriched e ON kk.id = e.id GROUP BY kk.key")
 def q10b(spark, sf_dir):
-    return A.tour_route(enriched(spark, sf_dir), 4000)
+    return A.tour_route(enriched(spark, sf_dir))
 
 
-@query("q11_nearer_date", f"""{_TOURW}, c AS (SELECT * FROM pr WHERE NOT (d = od AND v = ov AND t IS NOT DISTINCT FROM ot) AND car >= 30 AND ocar <= car - 20 AND v <> ov AND NOT (od = 0 AND coalesce(ot <= {NOW}, false)))
+@query("q11_nearer_date", f"""{_TOUR}, c AS (SELECT * FROM pr WHERE NOT (d = od AND v = ov AND t IS NOT DISTINCT FROM ot) AND car >= 30 AND ocar <= car - 20 AND v <> ov AND NOT (od = 0 AND coalesce(ot <= {NOW}, false)))
     SELECT id, other AS nearer FROM (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY ocar, od, other) AS r FROM c) x WHERE r = 1""")
 def q11(spark, sf_dir):
-    return A.nearer_date(_small(enriched(spark, sf_dir)), NOW, most=4000)
+    return A.nearer_date(enriched(spark, sf_dir), NOW)
 
 
 @query("q12_film_days", f"""{W}, f AS (SELECT *, dense_rank() OVER (PARTITION BY d, ak ORDER BY coalesce(car, 999), v) AS near FROM enriched WHERE type = 'film')

@@ -51,16 +51,16 @@ def x13(spark, sf_dir):
     return D.event_from_jsonld(D.jsonld_events(_jsonld(spark, sf_dir))).select("title", "date", "time", "price", "status")
 
 
-@query("x16_event_from_page", "SELECT event_id, CAST(ts AS DATE) AS date, strftime(ts, '%H:%M') AS time, CASE WHEN value >= 1 THEN floor(value) END AS price FROM events WHERE event_id % 4 = 0")
+@query("x16_event_from_page", "SELECT event_id, CAST(ts AS DATE) AS date, strftime(ts, '%H:%M') AS time, CASE WHEN value >= 1 THEN floor(value) END AS price FROM events")
 def x16(spark, sf_dir):
     d = F.to_date("ts")
-    e = table(spark, sf_dir, "events").where("event_id % 4 = 0")
+    e = table(spark, sf_dir, "events")
     html = F.concat(F.lit("<html><nav>1 mei 2030</nav><main><h1>act</h1><div style='display:none'>2 mei 2030</div><p>"), F.dayofmonth(d).cast("string"), F.lit(" "), _month(d), F.lit(" 2024</p><p>Aanvang: "), F.date_format("ts", "HH:mm"), F.lit("</p><p>Entree &euro; "), F.floor("value").cast("string"), F.lit(",-</p></main></html>"))
     pages = e.select(F.col("event_id").cast("string").alias("url"), html.alias("html"))
     return D.event_from_page(pages, "2024-01-05").select(F.col("url").cast("bigint").alias("event_id"), "date", "time", "price")
 
 
-@query("x24_clean_titles", "SELECT event_id, concat('act ', event_id) AS title, CASE WHEN event_id % 4 = 0 THEN CAST(ts AS DATE) ELSE DATE '2024-05-05' END AS date FROM events WHERE event_id % 4 <> 9")
+@query("x24_clean_titles", "SELECT event_id, concat('act ', event_id) AS title, CASE WHEN event_id % 4 = 0 THEN CAST(ts AS DATE) ELSE DATE '2024-05-05' END AS date FROM events")
 def x24(spark, sf_dir):
     d = F.to_date("ts")
     wd = F.element_at(F.array(*(F.lit(w) for w in WEEKDAYS)), F.weekday(d) + 1)

@@ -183,10 +183,10 @@ def d05(spark, sf_dir):
     return out.select("id", "first_seen", "price", F.size(F.coalesce("ook", F.array())).alias("others"))
 
 
-@query("a02_series_ends", f"""{W}, x AS (SELECT *, DATE '2024-03-01' + CAST(ord % 3 AS INTEGER) AS e2 FROM agenda WHERE ord % 7 < 3), s AS (SELECT venue, e2, count(DISTINCT date) AS n FROM x WHERE vtype NOT IN ('museum', 'festival') GROUP BY 1, 2)
+@query("a02_series_ends", f"""{W}, x AS (SELECT *, CASE WHEN ord % 7 < 3 THEN DATE '2024-03-01' + CAST(ord % 3 AS INTEGER) END AS e2 FROM agenda), s AS (SELECT venue, e2, count(DISTINCT date) AS n FROM x WHERE vtype NOT IN ('museum', 'festival') GROUP BY 1, 2)
     SELECT x.ord, CASE WHEN x.vtype NOT IN ('museum', 'festival') AND coalesce(s.n, 0) >= 3 THEN NULL ELSE x.e2 END AS "end" FROM x LEFT JOIN s ON x.venue = s.venue AND x.e2 = s.e2""")
 def a02(spark, sf_dir):
-    rows = agenda(spark, sf_dir).where("ord % 7 < 3").withColumn("end", F.date_add(F.lit("2024-03-01").cast("date"), (F.col("ord") % 3).cast("int")))
+    rows = agenda(spark, sf_dir).withColumn("end", F.when(F.col("ord") % 7 < 3, F.date_add(F.lit("2024-03-01").cast("date"), (F.col("ord") % 3).cast("int"))))
     return R.fix_series_ends(rows).select("ord", "end")
 
 
@@ -226,7 +226,7 @@ def j05(spark, sf_dir):
 def j06(spark, sf_dir):
     artists = table(spark, sf_dir, "part").where("p_brand = 'Brand#3'").select(F.concat_ws(" ", F.lit("Act"), F.col("p_size").cast("string")).alias("name")).distinct()
     venues = table(spark, sf_dir, "customer").where("c_custkey % 10 = 1").select(F.col("c_name").alias("name"))
-    words = table(spark, sf_dir, "region").limit(1).select(F.lit("ct 7").alias("word"))
+    words = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("ct 7").alias("word"))
     return R.match_alerts(agenda(spark, sf_dir), artists, venues, words)
 
 
@@ -316,9 +316,9 @@ def s12(spark, sf_dir):
     return S.snapshot_before(e, TODAY).select("event_id")
 
 
-@query("q23_alert_digest", f"{W}, h AS (SELECT ord, title FROM agenda WHERE ord % 500 = 0), n AS (SELECT count(*) AS n FROM h) SELECT title AS message, 1 AS n FROM h, n WHERE n <= 8 UNION ALL SELECT string_agg(title, chr(10) ORDER BY ord) AS message, any_value(n) AS n FROM (SELECT h.*, n FROM h, n WHERE n > 8 ORDER BY ord LIMIT 15) x HAVING count(*) > 0")
+@query("q23_alert_digest", f"{W}, h AS (SELECT ord, title FROM agenda WHERE title = 'act 77' AND status = 'sold'), n AS (SELECT count(*) AS n FROM h) SELECT title AS message, 1 AS n FROM h, n WHERE n <= 8 UNION ALL SELECT string_agg(title, chr(10) ORDER BY ord) AS message, any_value(n) AS n FROM (SELECT h.*, n FROM h, n WHERE n > 8 ORDER BY ord LIMIT 15) x HAVING count(*) > 0")
 def q23(spark, sf_dir):
-    h = agenda(spark, sf_dir).where("ord % 500 = 0").select("id", "ord", F.col("title").alias("line"))
+    h = agenda(spark, sf_dir).where("title = 'act 77' and status = 'sold'").select("id", "ord", F.col("title").alias("line"))
     return S.alert_digest(h)
 
 
@@ -335,9 +335,9 @@ def a20(spark, sf_dir):
     return out.select("check", "subject", "n")
 
 
-@query("a24_mostly_sold", f"{W} SELECT venue AS subject, count_if(status = 'sold') AS n FROM agenda WHERE ord % 11 = 0 OR ord % 50 = 0 GROUP BY venue HAVING count(*) >= 5 AND count_if(status = 'sold') > 0.6 * count(*)")
+@query("a24_mostly_sold", f"{W}, x AS (SELECT venue, v % 4 = 0 AND ord % 3 <> 0 AS sold FROM agenda) SELECT venue AS subject, count_if(sold) AS n FROM x GROUP BY venue HAVING count(*) >= 5 AND count_if(sold) > 0.6 * count(*)")
 def a24(spark, sf_dir):
-    return U.mostly_sold(agenda(spark, sf_dir).where("ord % 11 = 0 or ord % 50 = 0")).select("subject", "n")
+    return U.mostly_sold(agenda(spark, sf_dir).withColumn("status", F.when((F.col("v") % 4 == 0) & (F.col("ord") % 3 != 0), "sold"))).select("subject", "n")
 
 
 @query("a21_sharp_drops", "WITH b AS (SELECT o_custkey AS s, count(*) AS was, count_if(o_orderkey % 4 = 0) AS n FROM orders GROUP BY 1) SELECT s AS subject, n FROM b WHERE was >= 6 AND n > 0 AND n < was * 0.5")
