@@ -64,3 +64,34 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], salt_from:
     dealt = left.withColumn("_salt", F.pmod(F.xxhash64(salt_from), F.lit(salts)).cast("int"))
     spread = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return dealt.join(spread, [*keys, "_salt"], "left").drop("_salt")
+
+
+def text_key() -> Column:
+    """SHA-256 of the text: with the id, what tells rows apart."""
+    return F.unhex(F.sha2(whole(), 256))
+
+
+def best_rows(docs: DataFrame, groups: DataFrame, key: Column) -> DataFrame:
+    """One row of docs for each group of groups(text_key, group), which has one row per ``key`` of docs.
+
+    The smallest id stays (a null id only if there is no other), then the smallest key; of rows that share both, the
+    one whose other columns come first as JSON. All columns are kept.
+    """
+    rows = docs.select(F.col("doc_id").alias("_id"), key.alias("text_key")).groupBy("_id", "text_key").count()
+    rows = durable(salted_lookup(rows, groups, ["text_key"], "_id"))
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "text_key")).alias("best"), F.count("*").alias("n"))
+    several = salted_lookup(rows.drop("count"), best.where("n > 1"), ["group"], "text_key").where("best is not null")
+    gone = several.where(~(F.col("_id").eqNullSafe(F.col("best._id")) & (F.col("text_key") == F.col("best.text_key")))).select("_id", F.col("text_key").alias("_key"))
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    return once(left, rows.where("count > 1").select("_id", F.col("text_key").alias("_key")), key)
+
+
+def once(docs: DataFrame, repeated: DataFrame, key: Column) -> DataFrame:
+    """docs with one row of each (id, key) in ``repeated``(_id, _key): the one whose columns come first as JSON."""
+    repeated = durable(repeated)
+    if repeated.isEmpty():
+        return docs
+    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key"))
+    row = F.struct(*docs.columns)
+    one = docs.join(repeated, same, "left_semi").groupBy(F.col("doc_id").alias("_id"), key.alias("_key")).agg(F.min_by(row, F.to_json(row)).alias("row"))
+    return docs.join(repeated, same, "left_anti").union(one.select("row.*"))

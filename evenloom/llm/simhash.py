@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, ready, salted_lookup, whole
+from .common import best_rows, durable, partitions, ready, salted_lookup, text_key, whole
 from .components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -261,12 +261,15 @@ WIDE_WORDS, WIDE_BITS, WIDE_KEY = 4, 46, 16
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """Keep the document with the smallest id of each near-duplicate group (five-word shingles, similarity 0.8 or more).
+    """Keep one row of each near-duplicate group: texts linked by a Jaccard similarity of 0.8 or more of five-word shingles.
 
-    Fingerprints are 256 bits wide and link at WIDE_BITS differing bits or fewer; 48 tables of 16-bit keys find the
-    pairs, which is not exact as in simhash_components but misses few (the README has figures). Rows with equal ids
-    stay together; extra columns are kept.
+    No such pair is missed and no other links (see ``jaccard``). Rows are told apart by id and text; the smallest id of
+    a group stays (a null id only if there is no other), then the smallest digest of the text. Extra columns are kept.
     """
-    groups = near_groups(docs, 5, WIDE_WORDS, strided_tables(WIDE_WORDS, WIDE_KEY), WIDE_BITS)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    from .jaccard import near_sets
+
+    ready(docs.sparkSession)
+    # one row per text: its group decides for all rows that hold it
+    texts = docs.select(text_key().alias("text_key"), whole().alias("text")).dropDuplicates(["text_key"])
+    groups = near_sets(texts)
+    return best_rows(docs, groups, text_key())

@@ -293,3 +293,52 @@ def test_empty_tables(spark):
     assert simhash.simhash_components(empty).count() == 0 and exact.exact_groups(empty).count() == 0 and quality.quality(empty).count() == 0
     assert fingerprints.edit_report(empty).count() == 0 and mixing.mixed(empty).count() == 0 and toxicity.toxicity(empty, labels).count() == 0
     assert counts.token_counts(empty).count() == 0 and bpe.encoded(empty, *bpe.public_vocabulary()).count() == 0
+
+
+def test_near_dedup_links_by_jaccard_alone(spark, sf_dir):
+    from evenloom.llm import jaccard
+
+    docs = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in range(3000)]
+    for k in range(60):  # from near to far on both sides of 0.8, and texts of one and two shingles
+        base = list(rng.choice(words, int(rng.integers(5, 120))))
+        docs.append((10_000 + 3 * k, " ".join(base)))
+        for j in (1, 2):
+            docs.append((10_000 + 3 * k + j, " ".join([*base[: len(base) - int(rng.integers(0, 3)) * j], *rng.choice(words, int(rng.integers(0, 4)))])))
+    copied = list(rng.choice(words, 400))
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t in docs]
+    near = lambda a, b: not (a or b) or bool(a and b) and 5 * len(a & b) >= 4 * len(a | b)
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(docs)), 2):
+        if near(sets[a], sets[b]) and find(a) != find(b):
+            parent[max(find(a), find(b))] = min(find(a), find(b))
+    best = {}
+    for k, (i, _) in enumerate(docs):
+        best[find(k)] = min(best.get(find(k), i), i)
+    assert sorted(r.doc_id for r in simhash.near_dedup(frame(spark, docs)).collect()) == sorted(best.values())
+    links = jaccard.forest([np.array(sorted(x), np.uint64) for x in sets if x])
+    assert len(links) == len([x for x in sets if x]) - len({find(k) for k, x in enumerate(sets) if x})
+
+
+def test_near_sets_of_more_copies_than_a_key_holds(spark):
+    from evenloom.llm import jaccard
+
+    rng = np.random.default_rng(10)
+    words = [f"w{k}" for k in range(3000)]
+    copied, texts = list(rng.choice(words, 200)), []
+    for k in range(40):
+        changed = list(copied)
+        changed[int(rng.integers(200))] = f"x{k}"
+        texts.append(" ".join(changed))
+    texts += [" ".join(rng.choice(words, 50)) for _ in range(5)]
+    df = spark.createDataFrame([(hashlib.sha256(t.encode()).digest(), t) for t in texts], "text_key binary, text string")
+    got = {bytes(r.text_key): r.group for r in jaccard.near_sets(df, 5, 2, 16).collect()}  # by components, in sub-blocks
+    groups = [got[hashlib.sha256(t.encode()).digest()] for t in texts]
+    assert len(set(groups[:40])) == 1 and len(set(groups)) == 6
