@@ -2,7 +2,8 @@
 
 A page is cut into blocks with the kind of markup around them. The token streams of a host's pages are concatenated
 and a suffix array, sorted to a depth of ``MIN_TOKENS`` tokens, finds the substrings of at least that length that occur
-on several different pages. Blocks in menus, footers, adverts and the like never count. Where a page marks its article
+on several different pages. Blocks in menus, footers, adverts and the like never count; where a form or an element with
+a telling name holds all of a page's article, or the whole of a page without one, it hides nothing. Where a page marks its article
 (article, main), the article's own blocks are kept whole, also passages that other articles quote; elsewhere a block
 covered by repeated substrings is boilerplate, and the unique runs of blocks stay. Large hosts are split in shards of
 about ``SHARD_BYTES`` by a hash of the page, each with repeats enough of its own.
@@ -32,32 +33,47 @@ BLOCK = frozenset("address article aside blockquote body br button caption cente
 ASIDE_TAGS = frozenset(("nav", "footer", "aside", "form", "button", "menu", "dialog", "head"))
 ASIDE_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "menu", "menubar", "toolbar"))
 ASIDE_WORDS = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar sidebar breadcrumb breadcrumbs header masthead footer comment comments reply replies disqus cookie cookies consent gdpr notice notices newsletter subscribe subscription signup share sharing social related recommended widget popup modal overlay login search toolbar copyright pagination pager skip".split())
+TITLE_WORDS = frozenset(("header", "banner", "masthead"))
 WHOLE_PAGE = frozenset(("html", "body", "article", "main"))
 
 
-def aside(tag: str, attributes: str, in_main: bool) -> bool:
-    """Whether an element holds something other than the page's own text."""
-    if tag in ASIDE_TAGS or tag == "header" and not in_main:
-        return True
+SHOWN, WRAPPED, HIDDEN = range(3)
+
+
+def names_aside(name: str, in_main: bool) -> bool:
+    """Whether a class or id is an aside's or begins with an aside's word; headers inside an article are its own."""
+    word = re.split(r"[^a-z]+", name, maxsplit=1)[0]
+    return word in ASIDE_WORDS and not (in_main and word in TITLE_WORDS)
+
+
+def aside(tag: str, attributes: str, in_main: bool) -> int:
+    """Whether an element holds something other than the page's own text.
+
+    Forms and names are weak signs, as both also stand around whole pages: outside an article they give WRAPPED only.
+    """
+    if tag in ASIDE_TAGS and tag != "form" or tag == "header" and not in_main:
+        return HIDDEN
+    weak = HIDDEN if in_main else WRAPPED
+    found = weak if tag == "form" else SHOWN
     if not attributes or tag in WHOLE_PAGE:
-        return False
+        return found
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not ASIDE_WORDS.isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
+        if name in ("class", "id") and any(names_aside(x, in_main) for x in value.split()):
+            found = max(found, weak)
         if name == "role" and value in ASIDE_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return HIDDEN
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return HIDDEN
+    return found
 
 
-def blocks(page: str) -> list[tuple[str, bool, bool]]:
-    """(text, inside an article or main element, inside something aside) of each block in page order."""
-    out: list[tuple[str, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, main, aside, both with what is around
+def blocks(page: str) -> list[tuple[str, bool, int]]:
+    """(text, inside an article or main element, SHOWN, WRAPPED or HIDDEN) of each block in page order."""
+    out: list[tuple[str, bool, int]] = []
+    stack: list[tuple[str, bool, int]] = []  # tag, main, aside, both with what is around
     parts: list[str] = []
-    main = off = False
+    main, off = False, SHOWN
     at, lowered = 0, None
 
     def end_block() -> None:
@@ -79,7 +95,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                     end_block()
                 while stack.pop()[0] != tag:
                     pass
-                main, off = stack[-1][1:] if stack else (False, False)
+                main, off = stack[-1][1:] if stack else (False, SHOWN)
             elif tag in BLOCK:
                 end_block()
             continue
@@ -100,11 +116,11 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
-                    main, off = stack[-1][1:] if stack else (False, False)
+                    main, off = stack[-1][1:] if stack else (False, SHOWN)
                     break
                 if stack[k][0] in ("ul", "ol", "dl", "table", "div", "section", "article", "main", "blockquote"):
                     break
-        main, off = main or tag in ("article", "main"), off or aside(tag, m[3] or m[6] or "", main)
+        main, off = main or tag in ("article", "main"), max(off, aside(tag, m[3] or m[6] or "", main))
         stack.append((tag, main, off))
     parts.append(page[at:])
     end_block()
@@ -149,12 +165,14 @@ def main_texts(pages: list[str]) -> list[str]:
     covered = repeated([[t for block in page for t in block] for page in tokens])
     out = []
     for page, words, cover in zip(cut, tokens, covered):
-        marked = any(main and not off for _, main, off in page)
+        # what weak signs wrap counts only where nothing else does
+        marked = any(main and off < HIDDEN for _, main, off in page)
+        limit = min((off for _, main, off in page if main or not marked), default=SHOWN)
         kept, at = [], 0
         for (text, main, off), own in zip(page, words):
             share = cover[at : at + len(own)].mean() if own else 0.0
             at += len(own)
-            if not off and (main if marked else share < COVERED):
+            if off <= limit < HIDDEN and (main if marked else share < COVERED):
                 kept.append(text)
         out.append("\n".join(kept))
     return out

@@ -50,6 +50,14 @@ def test_article_text():
     assert htmltext.main_texts(["", "plain words", "<p>unclosed <b>x", "a < b <p>c", "<script>never closed"]) == ["", "plain words", "unclosed x", "a < b\nc", ""]
 
 
+def test_names_and_forms_around_an_article_hide_nothing():
+    article = '<article><div class="article-header"><h1>Title</h1></div><div class="header">By me</div><p>Text</p><div class="comments">Nice</div></article>'
+    for wrapper in ('div class="content with-sidebar"', 'div class="search-page"', 'div class="nav-open"', 'form action="/x"'):
+        assert htmltext.main_texts([f"<body><p>before</p><{wrapper}>{article}</{wrapper.split()[0]}></body>"]) == ["Title\nBy me\nText"]
+    assert htmltext.main_texts(["<body><form><div>Whole page</div><footer>f</footer></form></body>"]) == ["Whole page"]
+    assert htmltext.main_texts(["<nav><article>menu</article></nav><p>text</p>", f"<div class=related><article>Other</article></div>{article}"]) == ["text", "Title\nBy me\nText"]
+
+
 def test_repeated_runs_are_boilerplate_without_markup():
     rng = np.random.default_rng(1)
     words = [f"w{k}" for k in range(500)]
