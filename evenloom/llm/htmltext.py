@@ -1,12 +1,20 @@
 """Main text of web pages: page structure and a suffix array over each host's pages.
 
 A page is cut into blocks with the kind of markup around them. The token streams of a host's pages are concatenated
-and a suffix array, sorted to a depth of ``MIN_TOKENS`` tokens, finds the substrings of at least that length that occur
-on several different pages. Blocks in menus, footers, adverts and the like never count; where a form or an element with
-a telling name holds all of a page's article, or the whole of a page without one, it hides nothing. Where a page marks its article
-(article, main), the article's own blocks are kept whole, also passages that other articles quote; elsewhere a block
-covered by repeated substrings is boilerplate, and the unique runs of blocks stay. Large hosts are split in shards of
-about ``SHARD_BYTES`` by a hash of the page, each with repeats enough of its own.
+and a suffix array, sorted to a depth of ``MIN_TOKENS`` tokens, finds the substrings of at least that length and the
+number of different pages that hold them; longer substrings are chains of overlapping ones. Pages whose longest shown
+block is the same count as one, so copies of a page repeat nothing.
+
+- Where no markup tells a page's article, a run of tokens on at least ``OPEN`` pages is boilerplate and is cut from its
+  block, and the unique runs stay.
+- Where a page marks its article (article, main), its blocks stay, also passages that other articles quote, but for a
+  block that repeats inside the articles of at least ``INSIDE`` pages: letter sign-ups and the like.
+- Menus, footers, adverts and the like never count; where a form or an element with a telling name holds all of a
+  page's article, or the whole of a page without one, it hides nothing.
+
+Both limits are a least number of pages and a least share of the host's. A host of any size is handled whole: its pages
+are dealt to shards, each shard's suffix array names the runs that reach the share there (a run that reaches it in the
+host does so in a shard), all shards count those runs, and the sums decide. The result doesn't depend on the shards.
 """
 
 from __future__ import annotations
@@ -16,15 +24,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, whole
+from .common import durable, ready, whole
 
 MIN_TOKENS = 6
-COVERED = 0.8
-SHARD_BYTES = 1 << 20
+#: Least number of a host's different pages, and the least share of them (one in so many).
+OPEN, INSIDE = (3, 10), (10, 2)
+#: A host of more html is dealt to shards of about so many bytes; at most MOST_SPLIT hosts are.
+SHARD_BYTES, MOST_SPLIT = 1 << 18, 1_000_000
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "math", "select", "xmp", "noembed", "noframes", "audio", "video"))
@@ -127,71 +138,218 @@ def blocks(page: str) -> list[tuple[str, bool, int]]:
     return out
 
 
-def repeated(streams: list[list[str]], depth: int = MIN_TOKENS) -> list[np.ndarray]:
-    """For each page's tokens, which are covered by a substring of ``depth`` or more tokens that another, different page has."""
-    number: dict[str, int] = {}
-    pages = [np.array([number.setdefault(t, len(number)) for t in s], np.int64) for s in streams]
-    kind: dict[bytes, int] = {}
-    who = [kind.setdefault(p.tobytes(), len(kind)) for p in pages]  # copies count as one page
-    lengths = np.array([len(p) for p in pages], np.int64)
-    # the streams one after another, each followed by a separator of its own
-    text = np.concatenate([np.append(p, len(number) + k) for k, p in enumerate(pages)]) if pages else np.zeros(0, np.int64)
-    owner = np.repeat(np.array(who, np.int64), lengths + 1)
-    rank, reach = text, 1
-    while reach < depth:  # suffixes by their first 2, 4, ... tokens
-        step = min(reach, depth - reach)
-        after = np.concatenate([rank[step:], np.full(min(step, len(rank)), -1)])[: len(rank)]
-        _, rank = np.unique((rank * (len(rank) + len(number) + 2)) + after + 1, return_inverse=True)
-        reach += step
-    suffixes = np.argsort(rank, kind="stable")
-    cover = np.zeros(len(text) + 1, np.int64)
-    if len(text):
-        ranks, owners = rank[suffixes], owner[suffixes]
-        first = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]]))
-        several = np.maximum.reduceat(owners, first) != np.minimum.reduceat(owners, first)
-        runs = np.repeat(several, np.diff(np.append(first, len(ranks))))
-        starts = suffixes[runs]
+ARTICLE, SHOWN_BLOCK, ASIDE_BLOCK = "a", "s", "-"
+
+
+def page_blocks(page: str) -> tuple[str, list[str]]:
+    """The kind of each block, and the blocks' texts."""
+    cut = blocks(page)
+    # what weak signs wrap counts only where nothing else does
+    marked = any(main and off < HIDDEN for _, main, off in cut)
+    limit = min((off for _, main, off in cut if main or not marked), default=SHOWN)
+    shown = [off <= limit < HIDDEN and (main or not marked) for _, main, off in cut]
+    return "".join((ARTICLE if marked else SHOWN_BLOCK) if x else ASIDE_BLOCK for x in shown), [text for text, _, _ in cut]
+
+
+def page_class(kinds: str, texts: list[str]) -> int:
+    """A number that pages with the same longest shown block share."""
+    longest = max((t for k, t in zip(kinds, texts) if k != ASIDE_BLOCK), key=lambda t: (len(t), t), default="")
+    return xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) >> 1
+
+
+class SuffixArray:
+    """Suffixes of token streams, sorted by their first ``depth`` tokens; equal ones share a rank. ``runs`` of ``depth``
+    tokens are streams of nobody, so that their ranks can be looked up."""
+
+    def __init__(self, streams: list[list[str]], runs: list[list[str]], depth: int = MIN_TOKENS):
+        number: dict[str, int] = {}
+        parts = [np.array([number.setdefault(t, len(number)) for t in s], np.int64) for s in [*streams, *runs]]
+        self.depth, self.lengths = depth, np.array([len(p) for p in parts], np.int64)
+        self.ends = np.cumsum(self.lengths + 1) - 1
+        self.stream = np.repeat(np.arange(len(parts)), self.lengths + 1)
+        # the streams one after another, each followed by a separator of its own
+        rank = np.concatenate([np.append(p, len(number) + k) for k, p in enumerate(parts)]) if parts else np.zeros(0, np.int64)
+        reach = 1
+        while reach < depth:  # suffixes by their first 2, 4, ... tokens
+            step = min(reach, depth - reach)
+            after = np.concatenate([rank[step:], np.full(min(step, len(rank)), -1)])[: len(rank)]
+            _, rank = np.unique(rank * (len(rank) + len(number) + 2) + after + 1, return_inverse=True)
+            reach += step
+        self.rank, self.ranks = rank, int(rank.max(initial=-1)) + 1
+        at = np.arange(len(rank))
+        self.full = at + depth <= self.ends[self.stream] if len(rank) else np.zeros(0, bool)
+        self.of_runs = rank[self.ends[len(streams) :] - depth] if runs else np.zeros(0, np.int64)
+        self.n_streams = len(streams)
+
+    def spread(self, owner: np.ndarray, counted: np.ndarray) -> np.ndarray:
+        """For each rank the number of different owners of the counted streams that hold it."""
+        at = self.full & (self.stream < self.n_streams)
+        at[at] = counted[self.stream[at]]
+        if not at.any():
+            return np.zeros(self.ranks, np.int64)
+        k = int(owner.max()) + 1
+        return np.bincount(np.unique(self.rank[at] * k + owner[self.stream[at]]) // k, minlength=self.ranks)
+
+    def covered(self, bad: np.ndarray) -> list[np.ndarray]:
+        """For each stream which tokens lie in a substring with a bad rank."""
+        starts = np.flatnonzero(bad[self.rank] & self.full) if len(self.rank) else np.zeros(0, np.int64)
+        cover = np.zeros(len(self.rank) + 1, np.int64)
         np.add.at(cover, starts, 1)
-        np.add.at(cover, np.minimum(starts + depth, len(text)), -1)
-    covered = np.cumsum(cover[:-1]) > 0
-    ends = np.cumsum(lengths + 1)
-    return [covered[e - n - 1 : e - 1] for e, n in zip(ends, lengths)]
+        np.add.at(cover, starts + self.depth, -1)
+        found = np.cumsum(cover[:-1]) > 0
+        return [found[e - n : e] for e, n in zip(self.ends[: self.n_streams], self.lengths)]
+
+
+class Pages:
+    """Pages of a host, or of one shard of it: their blocks, classes and suffix array."""
+
+    def __init__(self, pages: list[tuple[str, list[str]]], classes: list[int], runs: list[str] = ()):  # type: ignore[assignment]
+        self.pages = pages
+        self.words = [[t.split(" ") for t in texts] for _, texts in pages]
+        # two streams a page: the marked article and all else
+        streams = self.streams = [[w for k, block in zip(kinds, words) if (k == ARTICLE) == inside for w in block] for (kinds, _), words in zip(pages, self.words) for inside in (True, False)]
+        _, number = np.unique(np.array(classes, np.int64), return_inverse=True)
+        self.n = int(number.max(initial=-1)) + 1
+        self.array = SuffixArray(streams, [r.split(" ") for r in runs])
+        owner, marked = np.repeat(number, 2), np.arange(len(streams)) % 2 == 0
+        self.everywhere = self.array.spread(owner, np.ones(len(streams), bool))
+        self.inside = self.array.spread(owner, marked)
+
+    def candidates(self) -> list[str]:
+        """The runs on at least the smaller share of these pages."""
+        a = self.array
+        first = np.full(a.ranks, -1)
+        at = np.flatnonzero(a.full & (a.stream < a.n_streams))
+        first[a.rank[at][::-1]] = at[::-1]
+        flat = [w for s in self.streams for w in (*s, "")]
+        return [" ".join(flat[p : p + a.depth]) for p in first[(first >= 0) & (self.everywhere * OPEN[1] >= self.n)]]
+
+    def texts(self, bad: np.ndarray, bad_inside: np.ndarray) -> list[str]:
+        """The pages' texts, given the ranks that are boilerplate outside and inside of articles."""
+        cover_open, cover_inside = self.array.covered(bad), self.array.covered(bad_inside)
+        out = []
+        for p, ((kinds, texts), words) in enumerate(zip(self.pages, self.words)):
+            kept, at, cover = [], {True: 0, False: 0}, {True: cover_inside[2 * p], False: cover_open[2 * p + 1]}
+            for kind, text, own in zip(kinds, texts, words):
+                inside = kind == ARTICLE
+                gone = cover[inside][at[inside] : at[inside] + len(own)]
+                at[inside] += len(own)
+                if inside and not gone.all():
+                    kept.append(text)
+                elif kind == SHOWN_BLOCK and not gone.all():
+                    kept.append(" ".join(w for w, g in zip(own, gone) if not g) if gone.any() else text)
+            out.append("\n".join(kept))
+        return out
+
+
+def enough(pages: np.ndarray, n: int, least: tuple[int, int]) -> np.ndarray:
+    return (pages >= least[0]) & (pages * least[1] >= n)
+
+
+def host_texts(pages: Pages) -> list[str]:
+    """The texts of all pages of one host."""
+    return pages.texts(enough(pages.everywhere, pages.n, OPEN), enough(pages.inside, pages.n, INSIDE))
 
 
 def main_texts(pages: list[str]) -> list[str]:
-    """The texts of pages of one host."""
-    cut = [blocks(p) for p in pages]
-    tokens = [[text.split() for text, _, _ in page] for page in cut]
-    covered = repeated([[t for block in page for t in block] for page in tokens])
-    out = []
-    for page, words, cover in zip(cut, tokens, covered):
-        # what weak signs wrap counts only where nothing else does
-        marked = any(main and off < HIDDEN for _, main, off in page)
-        limit = min((off for _, main, off in page if main or not marked), default=SHOWN)
-        kept, at = [], 0
-        for (text, main, off), own in zip(page, words):
-            share = cover[at : at + len(own)].mean() if own else 0.0
-            at += len(own)
-            if off <= limit < HIDDEN and (main if marked else share < COVERED):
-                kept.append(text)
-        out.append("\n".join(kept))
-    return out
+    """The texts of all pages of one host, from their html."""
+    cut = [page_blocks(p) for p in pages]
+    return host_texts(Pages(cut, [page_class(*p) for p in cut]))
 
 
-def extract(pages: DataFrame) -> DataFrame:
+PARSED = "page_id long, url string, host string, shards int, shard long, class long, body binary"
+FOUND = "host string, run string"
+COUNTED = "host string, run string, pages long, inside long"
+
+
+def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (page_id, url, host, shards, html) with the html cut in blocks, compressed for the way."""
+    for batch in batches:
+        out = []
+        for shards, page in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            kinds, texts = page_blocks(page)
+            number = page_class(kinds, texts)
+            raw = "\n".join([kinds, *texts]).encode("utf-8", "surrogatepass")
+            out.append((number % shards, number, len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)))
+        cols = list(zip(*out)) if out else [()] * 3
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary())))], [x.split()[0] for x in PARSED.split(", ")])
+
+
+def opened(table: pa.Table, runs: list[str] = ()) -> Pages:  # type: ignore[assignment]
+    pages = []
+    for body in table.column("body").to_pylist():
+        kinds, *texts = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n")
+        pages.append((kinds, texts))
+    return Pages(pages, table.column("class").to_pylist(), runs)
+
+
+def _split(table: pa.Table) -> bool:
+    return len(table) > 0 and table.column("shards")[0].as_py() > 1
+
+
+def _arrow(spec: str) -> pa.Schema:
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in spec.split(", "))])
+
+
+def propose(table: pa.Table) -> pa.Table:
+    """The candidates of a shard; a host that isn't split needs none."""
+    runs = opened(table).candidates() if _split(table) else []
+    return pa.table({"host": [table.column("host")[0].as_py()] * len(runs), "run": runs}, _arrow(FOUND))
+
+
+def count(table: pa.Table, found: pa.Table) -> pa.Table:
+    """A shard's pages with each of the host's candidates; its number of pages is the row without a run."""
+    if not _split(table):
+        return _arrow(COUNTED).empty_table()
+    runs = found.column("run").to_pylist()
+    pages = opened(table, runs)
+    at = pages.array.of_runs
+    host = table.column("host")[0].as_py()
+    return pa.table({"host": [host] * (len(runs) + 1), "run": [*runs, None], "pages": [*pages.everywhere[at].tolist(), pages.n], "inside": [*pages.inside[at].tolist(), 0]}, _arrow(COUNTED))
+
+
+RESULT = "page_id long, url string, text string, n_chars long"
+
+
+def decide(table: pa.Table, judged: pa.Table) -> pa.Table:
+    """The texts of a host's pages, or of a shard's by the host's boilerplate."""
+    if not len(table):
+        return _arrow(RESULT).empty_table()
+    if _split(table):
+        pages = opened(table, judged.column("run").to_pylist())
+        ranks, bad = pages.array.of_runs, {}
+        for c in ("open", "inside"):
+            bad[c] = np.zeros(pages.array.ranks, bool)
+            bad[c][ranks] = judged.column(c).to_numpy(zero_copy_only=False).astype(bool)
+        texts = pages.texts(bad["open"], bad["inside"])
+    else:
+        texts = host_texts(opened(table))
+    return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}, _arrow(RESULT))
+
+
+def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; null html counts as empty and has an empty text.
 
     Pages without a host in their url are one host's. Equal page_ids are separate pages. An empty table gives none.
+    ``shard_bytes`` only deals the work.
     """
-    ready(pages.sparkSession)
+    spark = ready(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), whole("html").alias("html"), host.alias("host"))
-    sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / SHARD_BYTES).cast("int").alias("shards"))
-    shard = F.pmod(F.xxhash64("page_id", "url"), F.greatest("shards", F.lit(1)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = main_texts(pdf["html"].tolist())
-        return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
-
-    dealt = rows.join(sizes, "host", "left").withColumn("shard", shard)
-    return dealt.groupBy("host", "shard").applyInPandas(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), whole("html").alias("html"))
+    sizes = durable(rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")))
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    shard = max(shard_bytes, -(-total // MOST_SPLIT))
+    # fewer than MOST_SPLIT hosts, as each has over total / MOST_SPLIT bytes
+    split = F.broadcast(sizes.where(F.col("bytes") > shard).select("host", F.ceil(F.col("bytes") / shard).cast("int").alias("shards")))
+    known = rows.join(split, "host", "left").select("page_id", "url", "host", F.coalesce("shards", F.lit(1)).alias("shards"), "html")
+    dealt = known.mapInArrow(parse, PARSED)
+    key = ["host", "shard"]
+    everywhere = lambda df: df.join(split, "host").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - F.lit(1).cast("long")))).drop("shards")
+    found = dealt.groupBy(*key).applyInArrow(propose, FOUND).distinct()
+    counted = dealt.groupBy(*key).cogroup(everywhere(found).groupBy(*key)).applyInArrow(count, COUNTED)
+    sums = counted.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.sum("inside").alias("inside"))
+    n = sums.where("run is null").select("host", F.col("pages").alias("n"))
+    least = lambda c, limit: (F.col(c) >= limit[0]) & (F.col(c) * limit[1] >= F.col("n"))
+    judged = sums.where("run is not null").join(n, "host").select("host", "run", least("pages", OPEN).alias("open"), least("inside", INSIDE).alias("inside")).where("open or inside")
+    return dealt.groupBy(*key).cogroup(everywhere(judged).groupBy(*key)).applyInArrow(decide, RESULT)

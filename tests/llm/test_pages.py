@@ -58,28 +58,121 @@ def test_names_and_forms_around_an_article_hide_nothing():
     assert htmltext.main_texts(["<nav><article>menu</article></nav><p>text</p>", f"<div class=related><article>Other</article></div>{article}"]) == ["text", "Title\nBy me\nText"]
 
 
-def test_repeated_runs_are_boilerplate_without_markup():
-    rng = np.random.default_rng(1)
+BAR = "one two three four five six seven eight nine"
+
+
+def prose(seed, n):
+    rng = np.random.default_rng(seed)
     words = [f"w{k}" for k in range(500)]
-    bar = "one two three four five six seven eight nine"
-    texts = [" ".join(rng.choice(words, 40)) for _ in range(6)]
-    pages = [f"<div>{bar}</div><div>{t}</div><div>{bar} end</div>" for t in texts]
-    assert htmltext.main_texts([*pages, pages[0]]) == [*texts, texts[0]]  # a copy of a page repeats nothing
+    return [" ".join(rng.choice(words, 40)) for _ in range(n)]
 
 
-def test_suffix_order_against_brute_force():
+def test_repeated_runs_are_boilerplate_without_markup():
+    texts = prose(1, 6)
+    pages = [f"<div>{BAR}</div><div>{t}</div><div>{BAR} end</div>" for t in texts]
+    assert htmltext.main_texts([*pages, pages[0]]) == [*texts, texts[0]]  # a copy of a page repeats nothing
+    inside = [f"<p>{BAR} {t}</p>" for t in texts]
+    assert htmltext.main_texts(inside) == texts  # the run goes, the rest of its block stays
+    assert htmltext.main_texts(pages[:2]) == [f"{BAR}\n{t}\n{BAR} end" for t in texts[:2]]  # two pages are no evidence
+    menus = [f"<div>{' '.join(m.split()[:9])}</div><div>{texts[0]}</div>" for m in prose(2, 5)]
+    assert all(texts[0] in t for t in htmltext.main_texts(menus))  # one article under five menus isn't five pages
+    many = prose(3, 40)
+    quoted = [f"<div>{t}</div>" + (f"<div>{BAR}</div>" if k < 3 else "") for k, t in enumerate(many)]
+    assert all(BAR in t for t in htmltext.main_texts(quoted)[:3])  # a small share of the pages
+
+
+def test_articles_keep_quotes_and_lose_what_most_repeat():
+    texts = prose(4, 12)
+    quoted = [f"<article><p>{t}</p>" + (f"<p>{BAR}</p>" if k < 5 else "") + "</article>" for k, t in enumerate(texts)]
+    assert htmltext.main_texts(quoted) == [t + (f"\n{BAR}" if k < 5 else "") for k, t in enumerate(texts)]
+    letters = [f"<article><p>{t}</p><p>{BAR}</p></article>" for t in texts]
+    assert htmltext.main_texts(letters) == texts
+    assert htmltext.main_texts(letters[:9]) == [f"{t}\n{BAR}" for t in texts[:9]]
+    ads = [f"<article><p>{t}</p>{f'<p>{BAR}</p>' if k == 0 else ''}</article><div class=ad>{BAR}</div>" for k, t in enumerate(texts)]
+    assert htmltext.main_texts(ads)[0] == f"{texts[0]}\n{BAR}"  # adverts are no evidence against an article's own words
+
+
+def test_suffix_ranks_against_brute_force():
     rng = np.random.default_rng(2)
-    for _ in range(20):
-        streams = [list(rng.choice(list("abc"), rng.integers(0, 30))) for _ in range(rng.integers(1, 6))]
-        got = [c.tolist() for c in htmltext.repeated(streams, 4)]
-        want = []
-        for s in streams:
-            cover = [False] * len(s)
+    for _ in range(30):
+        streams = [list(rng.choice(list("abc"), rng.integers(0, 30))) for _ in range(rng.integers(1, 7))]
+        owner, counted = rng.integers(0, 3, len(streams)), rng.random(len(streams)) < 0.7
+        runs = [list(rng.choice(list("abcd"), 4)) for _ in range(5)]
+        array = htmltext.SuffixArray(streams, runs, 4)
+        holders = lambda run: {int(owner[k]) for k, s in enumerate(streams) if counted[k] and any(s[j : j + 4] == run for j in range(len(s) - 3))}  # noqa: B023, E731
+        spread = array.spread(owner, counted)
+        assert spread[array.of_runs].tolist() == [len(holders(r)) for r in runs]
+        bad = spread >= 2
+        for s, cover in zip(streams, array.covered(bad)):
+            want = [False] * len(s)
             for k in range(len(s) - 3):
-                if any(s[k : k + 4] == o[j : j + 4] for o in streams if o != s for j in range(len(o) - 3)):
-                    cover[k : k + 4] = [True] * 4
-            want.append(cover)
-        assert got == want
+                if len(holders(s[k : k + 4])) >= 2:
+                    want[k : k + 4] = [True] * 4
+            assert cover.tolist() == want
+
+
+def unmarked(page):
+    """The page without the markup that tells its parts."""
+    import re
+
+    return re.sub(r"(</?)(?:article|nav|footer)\b", r"\1div", page or "").replace('class="ad"', "")
+
+
+def plain_extract(rows):
+    """Texts by position: the rules on sets of token runs, host by host."""
+    import re
+
+    hosts = {}
+    for k, (_, url, page) in enumerate(rows):
+        m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
+        hosts.setdefault(m[1].lower() if m else "", []).append(k)
+    out = {}
+    for members in hosts.values():
+        cut = {k: htmltext.page_blocks(rows[k][2] or "") for k in members}
+        classes = {k: max((t for c, t in zip(*cut[k]) if c != "-"), key=lambda t: (len(t), t), default="") for k in members}
+        seen, inside = {}, {}
+        stream = lambda k, own: [w for c, t in zip(*cut[k]) if (c == "a") == own for w in t.split()]  # noqa: B023, E731
+        for k in members:
+            for own in (True, False):
+                s = stream(k, own)
+                for i in range(len(s) - 5):
+                    run = tuple(s[i : i + 6])
+                    seen.setdefault(run, set()).add(classes[k])
+                    if own:
+                        inside.setdefault(run, set()).add(classes[k])
+        n = len(set(classes.values()))
+        bad = {False: {r for r, x in seen.items() if len(x) >= 3 and len(x) * 10 >= n}, True: {r for r, x in inside.items() if len(x) >= 10 and len(x) * 2 >= n}}
+        for k in members:
+            cover = {}
+            for own in (True, False):
+                s = stream(k, own)
+                c = cover[own] = [False] * len(s)
+                for i in range(len(s) - 5):
+                    if tuple(s[i : i + 6]) in bad[own]:
+                        c[i : i + 6] = [True] * 6
+            kept, at = [], {True: 0, False: 0}
+            for kind, t in zip(*cut[k]):
+                own, words = kind == "a", t.split()
+                gone = cover[own][at[own] : at[own] + len(words)]
+                at[own] += len(words)
+                if kind != "-" and not all(gone):
+                    kept.append(t if own else " ".join(w for w, g in zip(words, gone) if not g))
+            out[k] = "\n".join(kept)
+    return [out[k] for k in range(len(rows))]
+
+
+def test_extract_equals_the_plain_version_however_hosts_are_split(spark, sf_dir):
+    given = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet").collect()]
+    texts = prose(5, 30)
+    made = [(100_000 + k, "http://made.example/", f"<article><p>{t}</p><p>{BAR}</p></article>") for k, t in enumerate(texts)]
+    bare = [(200_000 + i, u, unmarked(h)) for i, u, h in given]
+    off = [(i, "\n".join(t for c, t in zip(*htmltext.page_blocks(h or "")) if c != "-")) for i, _, h in (*given, *bare, *made)]
+    for rows in ([*given, *made], bare):
+        want = sorted(zip((r[0] for r in rows), plain_extract(rows)))
+        for shard_bytes in (htmltext.SHARD_BYTES, 20_000):
+            assert sorted((r.page_id, r.text) for r in htmltext.extract(frame(spark, rows), shard_bytes).collect()) == want
+    changed = [i for (i, text), (j, without) in zip(sorted(want), sorted(x for x in off if 200_000 <= x[0])) if text != without]
+    assert len(changed) > 30  # given pages whose text the suffix array changes where markup tells nothing
 
 
 def test_extract_edge_rows(spark):
