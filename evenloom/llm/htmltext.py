@@ -259,7 +259,7 @@ def main_texts(pages: list[str]) -> list[str]:
 
 PARSED = "page_id long, url string, host string, shards int, shard long, class long, body binary"
 FOUND = "host string, run string"
-COUNTED = "host string, run string, pages long, inside long"
+COUNTED = "host string, run string, pages long, inside long, n long"
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,14 +299,14 @@ def propose(table: pa.Table) -> pa.Table:
 
 
 def count(table: pa.Table, found: pa.Table) -> pa.Table:
-    """A shard's pages with each of the host's candidates; its number of pages is the row without a run."""
-    if not _split(table):
+    """A shard's pages with each of the host's candidates, and its number of pages beside each."""
+    if not _split(table) or not len(found):
         return _arrow(COUNTED).empty_table()
     runs = found.column("run").to_pylist()
     pages = opened(table, runs)
     at = pages.array.of_runs
     host = table.column("host")[0].as_py()
-    return pa.table({"host": [host] * (len(runs) + 1), "run": [*runs, None], "pages": [*pages.everywhere[at].tolist(), pages.n], "inside": [*pages.inside[at].tolist(), 0]}, _arrow(COUNTED))
+    return pa.table({"host": [host] * len(runs), "run": runs, "pages": pages.everywhere[at], "inside": pages.inside[at], "n": [pages.n] * len(runs)}, _arrow(COUNTED))
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -348,8 +348,7 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     everywhere = lambda df: df.join(split, "host").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - F.lit(1).cast("long")))).drop("shards")
     found = dealt.groupBy(*key).applyInArrow(propose, FOUND).distinct()
     counted = dealt.groupBy(*key).cogroup(everywhere(found).groupBy(*key)).applyInArrow(count, COUNTED)
-    sums = counted.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.sum("inside").alias("inside"))
-    n = sums.where("run is null").select("host", F.col("pages").alias("n"))
+    sums = counted.groupBy("host", "run").agg(*(F.sum(c).alias(c) for c in ("pages", "inside", "n")))
     least = lambda c, limit: (F.col(c) >= limit[0]) & (F.col(c) * limit[1] >= F.col("n"))
-    judged = sums.where("run is not null").join(n, "host").select("host", "run", least("pages", OPEN).alias("open"), least("inside", INSIDE).alias("inside")).where("open or inside")
+    judged = sums.select("host", "run", least("pages", OPEN).alias("open"), least("inside", INSIDE).alias("inside")).where("open or inside")
     return dealt.groupBy(*key).cogroup(everywhere(judged).groupBy(*key)).applyInArrow(decide, RESULT)
