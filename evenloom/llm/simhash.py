@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import best_rows, durable, partitions, ready, salted_lookup, text_key, whole
@@ -47,7 +47,12 @@ def shingle_hashes(text: str, size: int) -> list[int]:
 
 def fingerprints_of(texts: list[str], size: int, words: int) -> np.ndarray:
     """(len(texts), words) unsigned longs; a bit is 1 if set in over half the hashes. No words: zero."""
-    out = np.zeros((len(texts), words), np.uint64)
+    return majorities((np.array(shingle_hashes(t, size), np.uint64) for t in texts), len(texts), words)
+
+
+def majorities(shingles: Iterable[np.ndarray], n: int, words: int) -> np.ndarray:
+    """The fingerprints of ``n`` arrays of hashes."""
+    out = np.zeros((n, words), np.uint64)
     pending: list[np.ndarray] = []
     rows: list[int] = []
     held = 0
@@ -68,10 +73,9 @@ def fingerprints_of(texts: list[str], size: int, words: int) -> np.ndarray:
         rows.clear()
         held = 0
 
-    for i, text in enumerate(texts):
-        found = shingle_hashes(text, size)
-        if found:
-            pending.append(np.array(found, np.uint64))
+    for i, found in enumerate(shingles):
+        if len(found):
+            pending.append(found)
             rows.append(i)
             held += len(found)
             if held > 1 << 15:
@@ -165,11 +169,13 @@ def links_in(key: np.ndarray, prints: np.ndarray, max_bits: int, reference: np.n
     return (np.concatenate(out_a), np.concatenate(out_b)) if out_a else (none, none)
 
 
+#: At most so many buckets are known to hold many rows.
+MOST_LARGE = 1_000_000
+
+
 def near_links(distinct: DataFrame, words: int, tables: list[np.ndarray], max_bits: int, cap: int = 4096) -> DataFrame:
     """distinct(id, f0..): one row per fingerprint -> links(u, v), a spanning forest of each bucket's near pairs."""
     names = [f"f{k}" for k in range(words)]
-    spark = distinct.sparkSession
-    n = partitions(spark)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,46 +189,68 @@ def near_links(distinct: DataFrame, words: int, tables: list[np.ndarray], max_bi
                 key[:, 7] = t
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[:, 0]), batch.column(0), *cols], ["key", "id", *names])
 
+    # keys have at most 56 bits; the top byte is the number of the table
+    assert len(tables) <= 127 and all(len(x) <= 56 for x in tables)
+    schema = ", ".join(f"{c} long" for c in ("key", "id", *names))
+    return bucket_links(distinct.select("id", *names).mapInArrow(keyed, schema), words, max_bits, cap)
+
+
+def bucket_links(rows: DataFrame, words: int, max_bits: int, cap: int = 4096) -> DataFrame:
+    """rows(key, id, f0..) -> links(u, v), a spanning forest of the near pairs of each bucket of rows with one key.
+
+    Buckets above ``cap`` rows, or above a millionth of all rows if that is more, are dealt in pairs of sub-blocks
+    before anything is shuffled by the key; there are at most MOST_LARGE of them.
+    """
+    names = [f"f{k}" for k in range(words)]
+    spark = rows.sparkSession
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reference = pivots(words)
-        rest: pa.Table | None = None
-
-        def links(t: pa.Table) -> pa.RecordBatch:
+        for t in whole_groups(batches, ("key", "part")):
             raw = [t.column(c).to_numpy() for c in ("key", "part")]
             change = np.concatenate([[False], (raw[0][1:] != raw[0][:-1]) | (raw[1][1:] != raw[1][:-1])])
             prints = np.stack([t.column(c).to_numpy() for c in names], axis=1).view(np.uint64)
             a, b = links_in(np.cumsum(change), prints, max_bits, reference)
             ids = t.column("id").to_numpy()
-            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["u", "v"])
-
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            if not len(t):
-                continue
-            key, part = t.column("key").to_numpy(), t.column("part").to_numpy()
-            last = int(np.flatnonzero((key != key[-1]) | (part != part[-1])).max(initial=-1)) + 1  # where the last group begins
-            rest = t.slice(last).combine_chunks()
-            if last:
-                yield links(t.slice(0, last))
-        if rest is not None and len(rest):
-            yield links(rest)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], ["u", "v"])
 
-    # keys have at most 56 bits; the top byte is the number of the table
-    assert len(tables) <= 127 and all(len(x) <= 56 for x in tables)
-    schema = ", ".join(f"{c} long" for c in ("key", "id", *names))
-    rows = distinct.select("id", *names).mapInArrow(keyed, schema)
-    sizes = rows.groupBy("key").count().where("count > 1")
-    sizes = sizes.select("key", F.ceil(F.col("count") / cap).cast("int").alias("blocks"))
+    sizes = durable(rows.groupBy("key").count().where(F.col("count") > cap))
+    most = max(cap, -(-(sizes.agg(F.sum("count")).first()[0] or 0) // MOST_LARGE))
+    # fewer than MOST_LARGE keys, as each has over a MOST_LARGE-th of the rows counted
+    large = F.broadcast(sizes.where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("blocks")))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pair = lambda x: 1 + F.least(F.col("own"), x) * F.lit(1 << 31).cast("long") + F.greatest(F.col("own"), x)
-    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")), pair)
-    parts = F.when(F.col("blocks") == 1, F.array(F.lit(0).cast("long"))).otherwise(others)
-    paired = rows.join(sizes, "key").withColumn("own", own).withColumn("part", F.explode(parts))
-    dealt = paired.repartition(n, "key", "part").sortWithinPartitions("key", "part")
+    parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(block_pairs())
+    paired = rows.join(large, "key", "left").withColumn("own", own).withColumn("part", F.explode(parts))
+    dealt = paired.repartition(partitions(spark), "key", "part").sortWithinPartitions("key", "part")
     return dealt.select("key", "part", "id", *names).mapInArrow(linked, "u long, v long")
 
 
+def block_pairs() -> Column:
+    """The numbers of the pairs of ``blocks`` sub-blocks that the sub-block ``own`` is part of."""
+    pair = lambda x: 1 + F.least(F.col("own"), x) * F.lit(1 << 31).cast("long") + F.greatest(F.col("own"), x)
+    return F.transform(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")), pair)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows sorted by the columns ``names`` of longs."""
+    rest: pa.Table | None = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = pa.concat_tables([rest, t]) if rest is not None else t
+        if not len(t):
+            continue
+        other = np.zeros(len(t), bool)
+        for n in names:
+            v = t.column(n).to_numpy()
+            other |= v != v[-1]
+        last = int(np.flatnonzero(other).max(initial=-1)) + 1
+        rest = t.slice(last)
+        if last:
+            yield t.slice(0, last)
+    if rest is not None and len(rest):
+        yield rest
+
+
 def near_groups(docs: DataFrame, shingle: int, words: int, tables: list[np.ndarray], max_bits: int, cap: int = 4096, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, f0.., component_id) of every row; component_id is the smallest id that links of near fingerprints reach.
 
@@ -255,11 +283,6 @@ def simhash_components(docs: DataFrame, max_bits: int = 3, blocks: int = 5, shin
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Five-word shingles on 256 bits. 46 differing bits are a cosine of 0.84; of pairs with a Jaccard similarity of 0.8 or
-#: more, 98 % differ in so many bits or fewer.
-WIDE_WORDS, WIDE_BITS, WIDE_KEY = 4, 46, 16
-
-
 def near_dedup(docs: DataFrame) -> DataFrame:
     """Keep one row of each near-duplicate group: texts linked by a Jaccard similarity of 0.8 or more of five-word shingles.
 
@@ -269,7 +292,4 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     from .jaccard import near_sets
 
     ready(docs.sparkSession)
-    # one row per text: its group decides for all rows that hold it
-    texts = docs.select(text_key().alias("text_key"), whole().alias("text")).dropDuplicates(["text_key"])
-    groups = near_sets(texts)
-    return best_rows(docs, groups, text_key())
+    return best_rows(docs, near_sets(docs.select(text_key().alias("text_key"), whole().alias("text"))), text_key())
