@@ -2,24 +2,28 @@
 
 A logistic model over hashed features (each distinct word and its leading characters, present or not) is fitted on
 labelled rows by proximal gradient steps with an L1 term, so that words without evidence weigh nothing and long texts
-don't drift. For labelled sentences that mention an identity term, copies with the term swapped for others of its
-group are made, and the squared change of the raw score between a text and its copies is added to the loss: a neutral
-mention can't make a text look toxic, however the labels are distributed over groups.
+don't drift. For labelled texts that mention an identity term, copies with the term swapped for others of its group are
+made, and the squared change of the raw score between a text and its copies is added to the loss: a neutral mention
+can't make a text look toxic, however the labels are distributed over groups.
+
+Groups are those of IDENTITY_TERMS, which a caller may replace, and those mined from the training rows: words that many
+rows mention and whose rows are toxic about as often as others (``mentions``) may stand for each other. A copy is kept
+as its difference from its text, the few features that go and come, so equal swaps of many texts travel once.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ready, whole
+from .common import durable, ready, whole
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 BUCKETS = 1 << 18
@@ -31,7 +35,6 @@ IDENTITY_TERMS = (
     ("immigrants", "refugees", "foreigners", "natives"), ("immigrant", "refugee", "foreigner", "native"), ("disabled", "deaf", "blind"),
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
-GROUP_OF = {term: group for group in IDENTITY_TERMS for term in group}
 PREFIXES = range(3, 9)
 MEMO = 300_000
 
@@ -50,12 +53,16 @@ def features(words: set[str]) -> np.ndarray:
     return np.array(sorted({f for w in words for f in word_features(w)}), np.int32)
 
 
-def swapped(words: set[str]) -> list[set[str]]:
-    """A copy for each other term of the groups that the words mention."""
+def swaps(words: set[str], groups: dict[str, tuple[str, ...]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(features that go, features that come) of a copy for each other term of the groups that the words mention."""
+    held = Counter(f for w in words for f in set(word_features(w)))
     out = []
-    for term in sorted(words & GROUP_OF.keys()):
-        group = GROUP_OF[term]
-        out += [(words - {term}) | {other} for other in group if other not in words]
+    for term in sorted(words & groups.keys()):
+        for other in groups[term]:
+            if other != term and other not in words:
+                old, new = set(word_features(term)), set(word_features(other))
+                gone = {f for f in old - new if held[f] == 1}
+                out.append((np.array(sorted(gone), np.int32), np.array(sorted(f for f in new - old if not held[f]), np.int32)))
     return out
 
 
@@ -75,14 +82,15 @@ class Sparse:
         return np.bincount(self.col, g[self.row], self.n)
 
 
-def fit(rows: list[np.ndarray], labels: list[int], pairs: list[tuple[int, np.ndarray]], balance: float = 1.0, l1: float = 6e-4, steps: int = 120, least: int = 3) -> tuple[np.ndarray, float]:
-    """Weights and bias. pairs: (row number, features of a counterfactual copy); ``balance`` weighs their penalty."""
+def fit(rows: list[np.ndarray], labels: list[int], pairs: list[tuple[np.ndarray, np.ndarray, int]], balance: float = 1.0, l1: float = 6e-4, steps: int = 120, least: int = 3) -> tuple[np.ndarray, float]:
+    """Weights and bias. pairs: features that a swap takes and gives, and how many texts it was made of; ``balance`` weighs
+    the mean square of the changes of the raw score."""
     seen = np.zeros(BUCKETS, np.int64)
     for r in rows:
         seen[r] += 1
     usable = seen >= least
-    for i, copy in pairs:  # a swapped-in term must be able to receive weight, or there is nothing to balance
-        usable[copy] |= seen[copy] > 0
+    for _, new, _ in pairs:  # a swapped-in term must be able to receive weight, or there is nothing to balance
+        usable[new] |= seen[new] > 0
     place = np.full(BUCKETS, -1, np.int64)
     ids = np.flatnonzero(usable)
     place[ids] = np.arange(len(ids))
@@ -91,14 +99,16 @@ def fit(rows: list[np.ndarray], labels: list[int], pairs: list[tuple[int, np.nda
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS), float(-4 if not len(y) or y.max() == 0 else 4)
-    left, right = Sparse([thin(rows[i]) for i, _ in pairs], len(ids)), Sparse([thin(c) for _, c in pairs], len(ids))
+    left, right = Sparse([thin(a) for a, _, _ in pairs], len(ids)), Sparse([thin(b) for _, b, _ in pairs], len(ids))
+    share = np.array([n for _, _, n in pairs], float)
+    share = balance * share / share.sum() if pairs else share
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both classes count alike
     w, b = np.zeros(len(ids)), 0.0
     ahead, ahead_b, t = w.copy(), b, 1.0
-    scale = np.zeros(len(ids))  # per-feature step sizes: a diagonal bound on the curvature
-    scale += x.back(weight * np.maximum(x.counts, 1)) * 0.25
+    scale = x.back(weight * np.maximum(x.counts, 1)) * 0.25  # per-feature step sizes: a diagonal bound on the curvature
     if pairs:
-        scale += balance * 2 * (left.back(np.maximum(left.counts + right.counts, 1) / len(pairs)) + right.back(np.maximum(left.counts + right.counts, 1) / len(pairs)))
+        both = 2 * share * np.maximum(left.counts + right.counts, 1)
+        scale += left.back(both) + right.back(both)
     rate = 1 / np.maximum(scale, 1e-6)
     bias_rate = 1.0 / 0.25 / 2
     for _ in range(steps):
@@ -106,7 +116,7 @@ def fit(rows: list[np.ndarray], labels: list[int], pairs: list[tuple[int, np.nda
         g = weight * (p - y)
         grad = x.back(g)
         if pairs:
-            change = (left.dot(ahead) - right.dot(ahead)) * (2 * balance / len(pairs))
+            change = 2 * share * (left.dot(ahead) - right.dot(ahead))
             grad += left.back(change) - right.back(change)
         new = ahead - rate * grad
         new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
@@ -121,68 +131,105 @@ def fit(rows: list[np.ndarray], labels: list[int], pairs: list[tuple[int, np.nda
     return out, float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, balance: float = 1.0) -> tuple[np.ndarray, float]:
-    """Fit on at most ``max_rows`` labelled documents with crc32(doc_id as text) mod 5 not 0.
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
+    """(toxic, text) of at most ``max_rows`` labelled documents with crc32(doc_id as text) mod 5 not 0.
 
     The sample is the labelled ids with the smallest hashes, so it is the same in every run. Labels that are null are
-    no labels. Rows of one id count once each; an id with several labels has the largest.
+    no labels; an id with several labels has the largest, one with several rows the text with the smallest hash.
     """
-    spark = ready(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    found = [(r.doc_id, r.toxic) for r in known.collect()]
-    sample = spark.createDataFrame(found, "doc_id long, toxic int")
+    sample = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in known.collect()], "doc_id long, toxic int")
+    # at most max_rows small rows, by the limit above
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).join(F.broadcast(sample), "doc_id")
+    return chosen.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), F.sha2("text", 256))).alias("text")).select("toxic", "text")
+
+
+def mentions(rows: DataFrame, share: float = 0.02, most_z: float = 1.5, size: int = 4, most: int = 400) -> list[tuple[str, ...]]:
+    """Groups of ``size`` words that may stand for each other, from training rows (toxic, text).
+
+    They are words of three letters or more that at least ``share`` of the rows have and whose rows are toxic as often
+    as all are, within ``most_z`` standard errors: mentions that say nothing about toxicity. Words of about the same
+    frequency make a group; at most ``most`` words, the most frequent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [distinct_words(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(w).tobytes() for w in words], pa.binary()), pa.array([[features(c).tobytes() for c in swapped(w)] for w in words], pa.list_(pa.binary()))], ["toxic", "features", "copies"])
+            words = [[w for w in distinct_words(t) if len(w) >= 3] for t in batch.column(1).to_pylist()]
+            each = [y for y, ws in zip(batch.column(0).to_pylist(), words) for _ in ws]
+            yield pa.RecordBatch.from_arrays([pa.array([w for ws in words for w in ws], pa.string()), pa.array(each, pa.int32())], ["word", "toxic"])
+
+    n, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
+    if not n or not toxic or toxic == n:
+        return []
+    rate = toxic / n
+    counted = rows.select("toxic", "text").mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= share * n)
+    off = F.abs(F.col("t") / F.col("n") - rate) * F.sqrt("n") / (rate * (1 - rate)) ** 0.5
+    words = [r.word for r in counted.where(off <= most_z).orderBy(F.desc("n"), "word").limit(most).collect()]
+    return [tuple(words[k : k + size]) for k in range(0, len(words) - 1, size)]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, balance: float = 1.0, identity_terms: tuple[tuple[str, ...], ...] = IDENTITY_TERMS) -> tuple[np.ndarray, float]:
+    """Fit on training_rows(); the groups to swap are ``identity_terms`` and the mined mentions()."""
+    ready(docs.sparkSession)
+    rows = durable(training_rows(docs, labels, max_rows))
+    groups = {term: group for group in (*mentions(rows), *identity_terms) for term in group}
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(distinct_words(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["toxic", "features"])
 
-    # at most max_rows small rows, by the limit above
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).join(F.broadcast(sample), "doc_id")
-    got = chosen.select("toxic", "text").mapInArrow(run, "toxic int, features binary, copies array<binary>").limit(2 * max_rows).collect()
+    def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for t in batch.column(1).to_pylist() for x in swaps(distinct_words(t), groups)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)], ["old", "new"])
+
+    got = rows.mapInArrow(described, "toxic int, features binary").collect()  # at most max_rows
     got.sort(key=lambda r: (r.toxic, r.features))
+    # pairs of terms, and the few ways in which their features may overlap with a text's other words
+    pairs = rows.mapInArrow(swapped, "old binary, new binary").groupBy("old", "new").count().collect()
+    pairs.sort(key=lambda r: (r.old, r.new))
     buckets = lambda b: np.frombuffer(b, np.int32)
-    return fit([buckets(r.features) for r in got], [r.toxic for r in got], [(i, buckets(c)) for i, r in enumerate(got) for c in r.copies], balance)
+    return fit([buckets(r.features) for r in got], [r.toxic for r in got], [(buckets(r.old), buckets(r.new), r["count"]) for r in pairs], balance)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], id_column: str = "doc_id") -> DataFrame:
-    """(doc_id, score) of every whole text; null and empty texts get the score of no words."""
-    spark = ready(docs.sparkSession)
+def score_column(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callable[[Column], Column]:
+    """A function from a text column to its score; null and empty texts get the score of no words."""
     weights, bias = model
-    shared = spark.sparkContext.broadcast((np.asarray(weights, np.float32), bias))  # BUCKETS numbers
+    shared = ready(spark).sparkContext.broadcast((np.asarray(weights, np.float32), bias))  # BUCKETS numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w, b = shared.value
         memo: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             out = []
-            for text in batch.column(1).to_pylist():
+            for text in batch.to_pylist():
                 used: set[int] = set()
                 if len(memo) > MEMO:
                     memo.clear()
-                for word in distinct_words(text):
+                for word in distinct_words(text or ""):
                     got = memo.get(word)
                     if got is None:
                         got = memo[word] = tuple(f for f in word_features(word) if w[f])
                     if got:
                         used.update(got)
                 out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, b + sum(float(w[f]) for f in sorted(used)))))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["id", "score"])
+            yield pa.array(out, pa.float64())
 
-    plain = docs.select(F.col(id_column).cast("long").alias("id"), whole().alias("text"))
-    return plain.mapInArrow(run, T.StructType([T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType())])).withColumnRenamed("id", id_column)
+    return run
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, balance: float = 1.0) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; a null id is not held out."""
-    scored = score(docs, train(docs, labels, max_rows))
+    score = score_column(docs.sparkSession, train(docs, labels, max_rows, balance))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score(F.col("text")).alias("score"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return rows.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> DataFrame:
-    """The documents that the classifier doesn't reject, with all their columns. Of rows with one id, all go if one does."""
-    gone = toxicity(docs, labels, max_rows).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows that the classifier doesn't reject, with all their columns; each row by its own text."""
+    score = score_column(docs.sparkSession, train(docs, labels, max_rows))
+    return docs.where(score(F.col("text")) < 0.5)

@@ -234,7 +234,8 @@ def test_counterfactual_penalty_balances_identity_terms():
         texts.append({*rng.choice(words, 12), group, *(["vileword"] if bad and rng.random() < 0.8 else [])})
         labels.append(int(bad))
     rows = [toxicity.features(t) for t in texts]
-    pairs = [(i, toxicity.features(c)) for i, t in enumerate(texts) for c in toxicity.swapped(t) if not c.isdisjoint({"muslims", "christians"})]
+    groups = {"muslims": ("muslims", "christians"), "christians": ("muslims", "christians")}
+    pairs = [(*x, 1) for t in texts for x in toxicity.swaps(t, groups)]
     gap = {}
     for balance in (0.0, 3.0):
         w, b = toxicity.fit(rows, labels, pairs, balance)
@@ -242,6 +243,73 @@ def test_counterfactual_penalty_balances_identity_terms():
     assert gap[3.0] < 0.3 * gap[0.0]
 
 
+def test_swaps_against_whole_copies():
+    rng = np.random.default_rng(11)
+    words = ["the", "then", "there", "other", "others", "moth", "mother", "father", "fat", "an"]
+    group = ("mother", "father", "moth")
+    for _ in range(50):
+        text = set(rng.choice(words, 5))
+        got = [(a.tolist(), b.tolist()) for a, b in toxicity.swaps(text, {t: group for t in group})]
+        before, want = set(toxicity.features(text).tolist()), []
+        for term in sorted(text & set(group)):
+            for other in group:
+                if other not in text:
+                    after = set(toxicity.features(text - {term} | {other}).tolist())
+                    want.append((sorted(before - after), sorted(after - before)))
+        assert got == want
+
+
+def test_given_rows_have_counterfactual_pairs_that_act(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.training_rows(docs, labels)
+    groups = toxicity.mentions(rows)
+    assert len(groups) >= 5 and all(len(g) >= 2 for g in groups)
+    groups_of = {t: g for g in groups for t in g}
+    texts = [toxicity.distinct_words(r.text) for r in rows.collect()]
+    swaps = [x for t in texts for x in toxicity.swaps(t, groups_of)]
+    assert len(swaps) > 1000
+    change = {}
+    for balance in (0.0, 5.0):
+        w, _ = toxicity.train(docs, labels, balance=balance)
+        change[balance] = np.mean([(w[a].sum() - w[b].sum()) ** 2 for a, b in swaps])
+    assert change[5.0] < 0.5 * change[0.0]
+
+
+def test_fit_minimises_the_stated_loss():
+    rng = np.random.default_rng(12)
+    words = [f"k{k:02d}" for k in range(12)]
+    texts = [set(rng.choice(words, 4)) for _ in range(80)]
+    labels = [int("k00" in t or "k01" in t and rng.random() < 0.7) for t in texts]
+    rows = [toxicity.features(t) for t in texts]
+    pairs = [(*x, 2) for t in texts[:20] for x in toxicity.swaps(t, {w: ("k01", "k02") for w in ("k01", "k02")})]
+    w, b = toxicity.fit(rows, labels, pairs, 2.0, 1e-3, 4000, 1)
+
+    def loss(w, b):
+        raw = np.array([w[r].sum() + b for r in rows])
+        y = np.array(labels)
+        own = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+        n = sum(p[2] for p in pairs)
+        return (own * np.logaddexp(0, np.where(y > 0, -raw, raw))).sum() + 2.0 * sum(k * (w[a].sum() - w[c].sum()) ** 2 for a, c, k in pairs) / n + 1e-3 * np.abs(w).sum()
+
+    best, used = loss(w, b), np.unique(np.concatenate(rows))
+    for _ in range(300):  # no small step from the solution lowers the loss
+        step = np.zeros_like(w)
+        step[used] = rng.normal(0, 0.01, len(used)) * (rng.random(len(used)) < 0.2)
+        assert loss(w + step, b + rng.normal(0, 0.01)) > best - 1e-6
+
+
+def test_drop_toxic_acts_by_row(spark):
+    rng = np.random.default_rng(13)
+    words = [f"word{k}" for k in range(300)]
+    rows = [(k, " ".join([*rng.choice(words, 20), *(["vileword"] if k % 4 == 0 else [])])) for k in range(300)]
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)], "doc_id long, toxic int")
+    rows += [(0, "word1 word2 word3"), (None, "word4 vileword"), (None, "word4 word5"), (7, "word6 vileword"), (301, None), (302, "")]
+    df = frame(spark, rows)
+    out = toxicity.drop_toxic(df, labels)
+    assert out.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted(((i, t) for i, t in rows if "vileword" not in (t or "")), key=str)
+
+
 def test_quality_separates_noise(spark):
     rng = np.random.default_rng(8)
     words = ["the", "of", "and", "river", "mountain", "letter", "window", "garden", "quiet", "morning", "people", "would", "there"]
