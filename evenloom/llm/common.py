@@ -41,6 +41,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table of so many narrow rows (some megabytes) may be broadcast.
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A narrow table marked for broadcast if its counted ``rows`` are few; else left to a shuffled join."""
+    return F.broadcast(df) if rows <= SMALL_ROWS else df
+
+
+def packed(df: DataFrame, rows: int, each: int = 100_000) -> DataFrame:
+    """df of at most ``rows`` narrow rows in no more partitions than they need: what is nearly empty costs files and tasks."""
+    return df.coalesce(max(1, min(partitions(df.sparkSession), -(-rows // each))))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

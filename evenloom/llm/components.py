@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, packed, small
 
 MAX_ROUNDS = 60
 
@@ -15,28 +15,38 @@ def components(edges: DataFrame) -> DataFrame:
 
     In every round each node hooks on to the neighbour (or itself) that comes first in a per-round pseudo-random
     order; hooked nodes merge and the edges between merged nodes go. Chains lose a constant share of their nodes a
-    round and stars collapse at once, so the number of rounds is logarithmic; each is two joins and two aggregations
-    over the edges that are left. Self-loops, repeated edges and an empty edge list are allowed; rows with a null
-    end are ignored.
+    round and stars collapse at once, so the number of rounds is logarithmic; each is an aggregation and two lookups
+    over the edges that are left, and the rounds' lookups are chained at the end. Lookup tables of a counted, small
+    size are broadcast, larger ones joined. Self-loops, repeated edges and an empty edge list are allowed; rows with a
+    null end are ignored.
     """
     edges = durable(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null").distinct())
+    n = edges.count()
+    edges = packed(edges, n)
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
-    roots = nodes.select("node", F.col("node").alias("root"))
-    left = durable(edges.where("u <> v"))
+    left, found = edges.where("u <> v"), []
     for turn in range(MAX_ROUNDS):
         if left.isEmpty():
             break
         both = left.select("u", "v").union(left.select(F.col("v"), F.col("u")))
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("o"), F.col(c).alias("n"))
-        hook = durable(both.groupBy("u").agg(F.min(order("v")).alias("m")).select(F.col("u").alias("node"), F.least(F.col("m"), order("u"))["n"].alias("to")))
+        hook = both.groupBy("u").agg(F.min(order("v")).alias("m")).select(F.col("u").alias("node"), F.least(F.col("m"), order("u"))["n"].alias("to"))
+        hook = durable(packed(hook, 2 * n))
+        size = hook.count()
         # a hooked node's target may itself be hooked: follow it once, the next rounds do the rest
-        far = hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
-        far = durable(far)
-        roots = durable(roots.join(far.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        left = left.join(far.select(F.col("node").alias("u"), F.col("to").alias("u2")), "u").join(far.select(F.col("node").alias("v"), F.col("to").alias("v2")), "v")
-        left = durable(left.where("u2 <> v2").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct())
+        far = hook.join(small(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), size), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+        found.append((far, size))
+        side = lambda c: small(far.select(F.col("node").alias(c), F.col("to").alias(f"{c}2")), size)  # noqa: B023, E731
+        left = left.join(side("u"), "u").join(side("v"), "v").where("u2 <> v2").select(F.least("u2", "v2").alias("u"), F.greatest("u2", "v2").alias("v")).distinct()
+        left = durable(packed(left, n))
+        n = left.count()
+        left = packed(left, n)
     else:
         if not left.isEmpty():
             raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
-    smallest = roots.groupBy("root").agg(F.min("node").alias("component"))
-    return roots.join(smallest, "root").select("node", "component")
+    roots = nodes.select("node", F.col("node").alias("root"))
+    for far, size in found:
+        roots = roots.join(small(far.select(F.col("node").alias("root"), "to"), size), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    roots = durable(packed(roots, 2 * found[0][1] if found else n))
+    smallest = durable(roots.groupBy("root").agg(F.min("node").alias("component")))
+    return roots.join(small(smallest, smallest.count()), "root").select("node", "component")

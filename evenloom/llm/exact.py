@@ -2,8 +2,9 @@
 
 Each input partition makes a run: one row per distinct text it holds (digest, a second independent check, smallest
 id, count), so a text repeated a million times leaves a partition as one row. Runs then meet in rounds: in every round
-``fan_in`` neighbouring runs are sent to one parent, where their sorted rows are merged and equal digests fold into
-one row, until one run is left. A run is cut into digest ranges that travel separately, so no task ever holds a whole
+``fan_in`` neighbouring runs (2: binomial rounds) are sent to one parent, where their rows are merged and equal digests
+fold into one row, until one run is left; Spark's shuffle has no merging reader, so a parent sorts the sorted runs that
+it gets. A run is cut into digest ranges that travel separately, so no task ever holds a whole
 run, and no round moves a text. Rows fold only if the SHA-256, the byte length and an independent XXH64 all agree.
 """
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, ready, salted_lookup, whole
+from .common import durable, once, partitions, ready, salted_lookup, whole
 
 RUN = "run long, digest binary, n_bytes long, check_sum long, keep_id long, group_size long"
 
@@ -98,6 +99,14 @@ def exact_groups(docs: DataFrame, text: Column | None = None, fan_in: int = 8, i
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay: of equal texts the row with the smallest id; extra columns are kept."""
-    gone = exact_groups(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """The rows that stay: one of each group of equal texts, with all its columns.
+
+    Rows are told apart by id and text, so that rows of one id with different texts don't decide for each other. The
+    smallest id of a text stays, a null id only if there is no other; of rows that repeat an id with the same text the
+    one whose columns come first as JSON.
+    """
+    key = F.sha2(normalised(), 256)
+    found = durable(exact_groups(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key"), "kept").groupBy("_id", "_key", "kept").agg(F.count("*").alias("rows")))
+    gone = found.where("not kept")
+    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    return once(left, found.where("kept and rows > 1").select("_id", "_key"), key)

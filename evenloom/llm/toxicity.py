@@ -140,7 +140,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> D
     known = labels.where("toxic is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    sample = docs.sparkSession.createDataFrame([(r.doc_id, r.toxic) for r in known.collect()], "doc_id long, toxic int")
+    sample = ready(docs.sparkSession).createDataFrame([(r.doc_id, r.toxic) for r in known.collect()], "doc_id long, toxic int")
     # at most max_rows small rows, by the limit above
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text")).join(F.broadcast(sample), "doc_id")
     return chosen.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), F.sha2("text", 256))).alias("text")).select("toxic", "text")
@@ -160,6 +160,7 @@ def mentions(rows: DataFrame, share: float = 0.02, most_z: float = 1.5, size: in
             each = [y for y, ws in zip(batch.column(0).to_pylist(), words) for _ in ws]
             yield pa.RecordBatch.from_arrays([pa.array([w for ws in words for w in ws], pa.string()), pa.array(each, pa.int32())], ["word", "toxic"])
 
+    ready(rows.sparkSession)
     n, toxic = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not toxic or toxic == n:
         return []

@@ -120,7 +120,17 @@ def test_exact_groups_against_brute_force(spark):
         want.append((i, keep, len(ids), i == keep, hashlib.sha256(t.encode()).hexdigest()))
     assert got == sorted(want, key=str)
     out = exact.exact_dedup(df)
-    assert out.columns == df.columns and {1, 3, 4, 6, 7} <= {r.doc_id for r in out.collect()} and 5 not in {r.doc_id for r in out.collect()}
+    assert out.columns == df.columns
+    first = {}
+    for i, t in norm:
+        first[t] = min(first.get(t, (True, 0)), (i is None, i or 0))
+    assert sorted(((r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in out.collect()), key=str) == sorted(((None if no else i, t) for t, (no, i) in first.items()), key=str)
+
+
+def test_exact_dedup_keeps_unique_texts_of_repeated_ids(spark):
+    rows = [(1, "same text"), (2, "same text"), (2, "unique other text"), (None, "same text"), (None, "alone"), (None, "alone"), (5, "twice"), (5, "twice")]
+    out = exact.exact_dedup(frame(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=str) == sorted([(1, "same text"), (2, "unique other text"), (None, "alone"), (5, "twice")], key=str)
 
 
 @pytest.fixture(scope="module")
@@ -197,15 +207,76 @@ def test_mixing_meets_its_marginals(spark):
     assert set(again[again.kept].doc_id) == set(kept.doc_id)
 
 
-def test_raking_with_an_empty_level():
-    w = mixing.rake(np.array([1.0, 2.0, 3.0]), np.array([[0, 0], [0, 1], [1, 1]]), [np.array([0.5, 0.3, 0.2]), np.array([0.4, 0.6])])
-    assert w.sum() == pytest.approx(1) and w[:2].sum() == pytest.approx(0.625, abs=1e-6) and w[0] == pytest.approx(0.4, abs=1e-6)
+def plain_mixing(rows, targets, power=0.7):
+    """rows (source, lang, topic, tokens) -> weight of each row, by plain loops over cells."""
+    cells = {}
+    for *cell, n in rows:
+        cells[tuple(cell)] = cells.get(tuple(cell), 0) + n
+    cells = {c: n for c, n in cells.items() if n}
+    total = sum(cells.values())
+    w = {c: n / total for c, n in cells.items()}
+    pools, want = [], []
+    for d in range(3):
+        levels = {c[d] for c in cells}
+        if targets is None:
+            pool = {x: x for x in levels}
+            share = {x: sum(n for c, n in cells.items() if c[d] == x) ** power for x in levels}
+        else:
+            named = targets[d]
+            pool = {x: x if x in named else "*" for x in levels}
+            share = {p: named.get(p, 1 - sum(named.values())) for p in pool.values()}
+        total_share = sum(share.values())
+        pools.append(pool)
+        want.append({p: x / total_share for p, x in share.items()})
+    for _ in range(300):
+        for d in range(3):
+            now = {}
+            for c, x in w.items():
+                now[pools[d][c[d]]] = now.get(pools[d][c[d]], 0) + x
+            w = {c: x * want[d][pools[d][c[d]]] / now[pools[d][c[d]]] for c, x in w.items()}
+    return {c: w[c] * total / n for c, n in cells.items()}
+
+
+def test_mixing_against_plain_raking(spark):
+    rng = np.random.default_rng(14)
+    rows = [(k, f"s{int(rng.integers(90) ** 1.2) // 2}", ["en", "de", None][int(rng.integers(3))], f"t{int(rng.integers(4))}", " ".join(["w"] * int(rng.integers(0, 30)))) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, topic string, text string")
+    plain = [(s, l or "unknown", t, len(x.split())) for _, s, l, t, x in rows]
+    assert len({r[0] for r in plain}) > 64  # every level has its own marginal
+    for targets, named in ((None, None), (mixing.Targets({"source": {"s1": 0.3, "s2": 0.2}, "lang": {"en": 0.5, "none": 0.2}}), ({"s1": 0.3, "s2": 0.2}, {"en": 0.5, "none": 0.2}, {}))):
+        got = mixing.mixed(df, targets).collect()
+        want = plain_mixing(plain, named)
+        top = max(want.values())
+        assert len(got) == len(rows)
+        for r in got:
+            x = want.get((r.source, r.lang, r.topic), 0.0)
+            assert r.weight == pytest.approx(x, rel=1e-4, abs=1e-6) and r.probability == pytest.approx(min(1, x / top), rel=1e-4, abs=1e-6)
+        kept = sum(r.kept for r in got) / len(got)
+        assert kept == pytest.approx(np.mean([r.probability for r in got]), abs=0.03)
+
+
+def test_topics_read_whole_texts(spark):
+    rng = np.random.default_rng(15)
+    a, b = [f"alpha{chr(97 + k)}" for k in range(20)], [f"beta{chr(97 + k)}" for k in range(20)]
+    same = "the same first line of every text"
+    rows = [(k, same + "\n" + " ".join(rng.choice(a if k % 2 else b, 40))) for k in range(200)]
+    rows.append((1000, same + "\n" + "zeta " * 30000 + "\n" + " ".join(rng.choice(a, 40))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.topic for r in mixing.mixed(df).collect()}
+    even, odd = ({got[k] for k in range(p, 200, 2)} for p in (0, 1))
+    assert even and odd and not even & odd
+    again = {r.doc_id: r.topic for r in mixing.mixed(df.repartition(7)).collect()}
+    assert again == got
 
 
 def test_mixing_edge_rows(spark):
     got = mixing.mixed(frame(spark, ROWS)).collect()
     assert len(got) == len(ROWS) and all(0 <= r.probability <= 1 for r in got)
-    assert mixing.sample(frame(spark, ROWS)).columns == frame(spark, ROWS).columns
+    df = frame(spark, ROWS)
+    out = mixing.sample(df)
+    assert out.columns == df.columns
+    kept = sorted((str(r.doc_id), r.n_tokens) for r in got if r.kept)
+    assert sorted((str(r.doc_id), len(simhash.WORD.findall((r.text or "").encode()))) for r in out.collect()) == kept
 
 
 def test_toxicity_learns_only_from_the_other_rows(spark):
