@@ -86,7 +86,7 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, steps: int = 200) ->
 
 def shape_bucket(word: str) -> int:
     """The bucket of a word's shape: kinds of characters with runs shortened, and its length's class."""
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:40])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return xxhash.xxh32_intdigest(f"{_RUN.sub(r'\1', kinds)}:{min(len(word), 30) // 4}") % (BUCKETS - 1)
 
 
@@ -107,12 +107,12 @@ def bucket_list(text: str, memo: dict[str, int]) -> np.ndarray:
     return got
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient steps; rows are (buckets, shares)."""
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, l2: float = 1e-3, steps: int = 300) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by accelerated gradient steps; rows are (buckets, counts)."""
     if not rows:
         return np.zeros(BUCKETS), 0.0
-    col = np.concatenate([np.array(b, np.int64) for b, _ in rows])
-    val = np.concatenate([np.sqrt(np.array(v, float)) for _, v in rows])
+    col = np.concatenate([b for b, _ in rows])
+    val = np.concatenate([values(c) for _, c in rows])
     row = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows])
     w, b = np.zeros(BUCKETS), 0.0
     ahead, ahead_b = w.copy(), b
@@ -126,55 +126,59 @@ def fit_scorer(rows: list[tuple[list[int], list[float]]], labels: np.ndarray, l2
     return w, float(b)
 
 
+def values(counts: np.ndarray) -> np.ndarray:
+    """A row's feature values: the roots of its buckets' shares."""
+    return np.sqrt(counts / max(1, counts.sum()))
+
+
+def scored(buckets: np.ndarray, counts: np.ndarray, w: np.ndarray, b: float, prior: float) -> float:
+    """The probability of a good text; the prior if it has no words."""
+    if not len(buckets):
+        return prior
+    return float(1 / (1 + np.exp(-np.clip((w[buckets] * values(counts)).sum() + b, -30, 30))))
+
+
+def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) -> (id, pattern, buckets, counts): the votes, and the word shapes as packed numbers."""
+    memo: dict[str, int] = {}
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        found = [np.unique(bucket_list(t, memo), return_counts=True) for t in texts]
+        patterns = ["".join(MARKS[v] for v in votes(t)) for t in texts]
+        cols = [pa.array([x.astype(kind).tobytes() for x in xs], pa.binary()) for xs, kind in (([b for b, _ in found], np.int16), ([c for _, c in found], np.int32))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(patterns, pa.string()), *cols], ["id", "pattern", "buckets", "counts"])
+
+
+def unpacked(buckets: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(buckets, np.int16).astype(np.int64), np.frombuffer(counts, np.int32).astype(np.int64)
+
+
 def quality(docs: DataFrame, max_rows: int = 8000) -> DataFrame:
-    """(doc_id, score, keep, n_good, n_bad) of every document.
+    """(doc_id, score, keep, n_good, n_bad) of every row, by its own text.
 
     score is the probability of a good text, keep whether it is at least 0.5, n_good and n_bad the labellers' votes.
-    The scorer is fitted on at most ``max_rows`` documents, those with the smallest hashed ids; the labellers on all.
-    Null and empty texts have no words and get the prior's score. An empty table gives no rows.
+    The scorer is fitted on at most ``max_rows`` rows, those with the smallest hashes of id and description (equal ones
+    are alike); the labellers on all. Rows that repeat an id, and null ids, are rows like others. Null and empty texts
+    have no words, no votes and the prior's score. An empty table gives no rows.
     """
     spark = ready(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("id"), whole().alias("text"))
-
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["".join(MARKS[v] for v in votes(t)) for t in batch.column(1).to_pylist()], pa.string())], ["id", "pattern"])
-
-    patterns = durable(plain.mapInArrow(vote, "id long, pattern string"))
-    counted = sorted((r.pattern, r["count"]) for r in patterns.groupBy("pattern").count().collect())  # some hundreds of rows: votes depend on each other
+    rows = durable(plain.mapInArrow(describe, "id long, pattern string, buckets binary, counts binary"))  # texts are read once
+    counted = sorted((r.pattern, r["count"]) for r in rows.groupBy("pattern").count().collect())  # some hundreds of rows: votes depend on each other
     if not counted:
         return plain.selectExpr("id as doc_id", "0d as score", "true as keep", "0 as n_good", "0 as n_bad")
     table = np.array([[VOTE[c] for c in p] for p, _ in counted])
     post, _, share = fit_labellers(table, np.array([n for _, n in counted]))
     label = {p: float(x) for (p, _), x in zip(counted, post)}
 
-    chosen = patterns.orderBy(F.xxhash64("id"), "id").limit(max_rows)
-
-    def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
-        for batch in batches:
-            found = [np.unique(bucket_list(t, memo), return_counts=True) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b for b, _ in found], pa.list_(pa.int32())), pa.array([c / max(1, c.sum()) for _, c in found], pa.list_(pa.float64()))], ["pattern", "buckets", "shares"])
-
-    # at most max_rows ids, by the limit above
-    sample = plain.join(F.broadcast(chosen), "id").select("pattern", "text").mapInArrow(shapes, "pattern string, buckets array<int>, shares array<double>").limit(2 * max_rows).collect()
-    sample.sort(key=lambda r: (r.pattern, r.buckets))
-    w, b = fit_scorer([(r.buckets, r.shares) for r in sample], np.array([label[r.pattern] for r in sample]))
+    sample = rows.orderBy(F.xxhash64("id", "pattern", "buckets", "counts"), "id", "pattern", "buckets", "counts").limit(max_rows).collect()
+    w, b = fit_scorer([unpacked(r.buckets, r.counts) for r in sample], np.array([label[r.pattern] for r in sample]))
     shared = spark.sparkContext.broadcast((w, b, float(share[1])))  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[str, int] = {}
-        w, b, prior = shared.value
         for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                got, count = np.unique(bucket_list(text, memo), return_counts=True)
-                raw = float((w[got] * np.sqrt(count / count.sum())).sum()) + b if len(got) else None
-                scores.append(prior if raw is None else float(1 / (1 + np.exp(-np.clip(raw, -30, 30)))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["id", "score"])
-
-    scored = plain.mapInArrow(run, "id long, score double")
-    votes_of = patterns.groupBy("id").agg(F.max("pattern").alias("pattern"))
-    out = scored.join(votes_of, "id", "left")
+            scores = [scored(*unpacked(x, c), *shared.value) for x, c in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64())], ["id", "pattern", "score"])
+
     count = lambda c: (F.length("pattern") - F.length(F.replace("pattern", F.lit(c), F.lit("")))).cast("int")
-    return out.select(F.col("id").alias("doc_id"), "score", (F.col("score") >= 0.5).alias("keep"), count("1").alias("n_good"), count("0").alias("n_bad"))
+    return rows.mapInArrow(run, "id long, pattern string, score double").select(F.col("id").alias("doc_id"), "score", (F.col("score") >= 0.5).alias("keep"), count("1").alias("n_good"), count("0").alias("n_bad"))

@@ -392,6 +392,57 @@ def test_quality_separates_noise(spark):
     assert quality.quality(frame(spark, ROWS)).count() == len(ROWS)
 
 
+def plain_em(patterns, steps=200):
+    """EM by loops over documents: posterior of good for each, and the share of good."""
+    post = []
+    for p in patterns:
+        good, bad = p.count(1), p.count(0)
+        x = (good + 0.5) / (good + bad + 1)
+        post.append(min(x, 0.3) if bad >= 2 else x)
+    n = len(patterns[0])
+    for _ in range(steps):
+        share, likely = [0.0, 0.0], [[{-1: 1.0, 0: 1.0, 1: 1.0} for _ in range(n)] for _ in range(2)]
+        for p, x in zip(patterns, post):
+            for c, weight in ((0, 1 - x), (1, x)):
+                share[c] += weight
+                for j, v in enumerate(p):
+                    if v > -2:
+                        likely[c][j][v] += weight
+        share = [(x + 1) / (len(patterns) + 2) for x in share]
+        new = []
+        for p in patterns:
+            each = []
+            for c in (0, 1):
+                x = share[c]
+                for j, v in enumerate(p):
+                    if v > -2:
+                        x *= likely[c][j][v] / sum(likely[c][j].values())
+                each.append(x)
+            new.append(each[1] / (each[0] + each[1]))
+        post = new
+    return post, share[1]
+
+
+def test_quality_against_a_plain_version(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()][:150]
+    rows += [(1, "plain words of the letter in the garden, and a quiet morning for people."), (1, "$$$ ###"), (None, "$$$ ### @@@"), (None, None), (2, ""), (3, "x" * 50 + "$"), (3, "x" * 50 + "9")]
+    words = {r: quality.votes(r[1] or "") for r in rows}
+    post, prior = plain_em([words[r] for r in rows])
+    features = [np.unique(quality.bucket_list(r[1] or "", {}), return_counts=True) for r in rows]
+    assert features[-1][0].tolist() != features[-2][0].tolist()  # the end of a long word counts
+    dense = np.zeros((len(rows), quality.BUCKETS))
+    for k, (at, n) in enumerate(features):
+        dense[k, at] = np.sqrt(n / max(1, n.sum()))
+    got = quality.quality(frame(spark, rows)).collect()
+    fitted = quality.fit_scorer(features, np.array(post))
+    raw = dense @ fitted[0] + fitted[1]
+    grad = (1 / (1 + np.exp(-raw)) - np.array(post)) / len(rows)
+    assert np.abs(dense.T @ grad + 1e-3 * fitted[0]).max() < 1e-4 and abs(grad.sum()) < 1e-4  # the loss is at its least
+    want = [(str(r[0]), round(prior if not len(at) else float(1 / (1 + np.exp(-x))), 3), words[r].count(1), words[r].count(0)) for r, x, (at, _) in zip(rows, raw, features)]
+    assert sorted((str(r.doc_id), round(r.score, 3), r.n_good, r.n_bad) for r in got) == sorted(want)
+    assert all(r.keep == (r.score >= 0.5) for r in got)
+
+
 def test_fingerprints_against_brute_force(spark):
     df = frame(spark, [r for r in ROWS])
     got = {(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in fingerprints.edit_report(df).collect()}
