@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,9 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers on this machine import the package, and make sure that checkpoint() has a folder.
 
-    On a cluster the package is installed or sent with ``spark.submit.pyFiles`` and ``spark.checkpoint.dir`` names a
-    shared folder; a temporary folder is taken only where that setting is absent, as in tests.
+    On a cluster the package is installed or sent with ``spark.submit.pyFiles``, and ``spark.checkpoint.dir`` names a
+    shared folder. Where that setting is absent, a temporary folder serves if one process on one machine is all there is,
+    as in tests; on a cluster it is an error.
     """
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -30,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="evenloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -69,7 +73,7 @@ def u64_hex(column: Column) -> Column:
     return F.lower(F.lpad(F.hex(column), 16, "0"))
 
 
-def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], salt_from: str, salts: int = 16) -> DataFrame:
+def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], salt_from: str | Column, salts: int = 16) -> DataFrame:
     """Left join against ``right``, which has one row per key, where one key may hold a large part of ``left``.
 
     Every row of ``right`` is repeated for each salt and the rows of a key are dealt over the salts, so that no task

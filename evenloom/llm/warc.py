@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import uuid
 import zlib
@@ -19,6 +20,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,19 +132,39 @@ def normalise(source: BinaryIO, target: BinaryIO, level: int = 6) -> Iterator[di
         offset += length
 
 
-def payload_report(member: bytes) -> tuple[int, int, str, str, int | None]:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of one record's member."""
-    for _, headers, block in Reader(iter([zlib.decompress(member, 31)])):
-        body = b"".join(block)
-        http, _, payload = body.partition(b"\r\n\r\n")
-        stated = headers["warc-payload-digest"].removeprefix("sha1:")
-        size = int(parse_headers(http)["content-length"])
+class Part:
+    """``length`` bytes of a file from ``offset`` on."""
+
+    def __init__(self, source: BinaryIO, offset: int, length: int):
+        source.seek(offset)
+        self.source, self.left = source, length
+
+    def read(self, n: int) -> bytes:
+        data = self.source.read(min(n, self.left))
+        self.left -= len(data)
+        return data
+
+
+def payload_report(member: BinaryIO) -> tuple[int, int, str, str, int | None]:
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to) of one record's member, a chunk at a time."""
+    for _, headers, block in Reader(inflate(member)):
+        http, digest, size = b"", None, 0
+        for chunk in block:
+            if digest is None:
+                http += chunk
+                at = http.find(b"\r\n\r\n")
+                if at < 0:
+                    continue
+                http, chunk, digest = http[:at], http[at + 4 :], hashlib.sha1()
+            digest.update(chunk)
+            size += len(chunk)
+        stated, stated_size = headers["warc-payload-digest"].removeprefix("sha1:"), int(parse_headers(http)["content-length"])
         if headers["warc-type"] == "revisit":
-            return page_of(headers["warc-record-id"]), size, stated, "revisit", page_of(headers["warc-refers-to"])
-        digest = base32_sha1(payload)
-        if digest != stated or size != len(payload):
+            return page_of(headers["warc-record-id"]), stated_size, stated, "revisit", page_of(headers["warc-refers-to"])
+        found = base64.b32encode(digest.digest()).decode() if digest else ""
+        if found != stated or size != stated_size:
             raise ValueError(f"{headers['warc-record-id']}: the payload isn't what its header says")
-        return page_of(headers["warc-record-id"]), size, digest, "response", None
+        return page_of(headers["warc-record-id"]), size, found, "response", None
     raise ValueError("an empty member")
 
 
@@ -171,66 +193,70 @@ def kinds(pages: DataFrame) -> DataFrame:
     keyed = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), "url", F.sha1(html).alias("digest"), F.octet_length(html).alias("n"), F.xxhash64(html).alias("other"))
     key = ["digest", "n", "other"]
     largest = keyed.groupBy(*key).agg(F.max("page_id").alias("last"), F.count("*").alias("rows"))
-    found = salted_lookup(keyed, largest.where("rows > 1").drop("rows"), key, "page_id")  # a payload of one row refers to none
+    found = salted_lookup(keyed, largest.where("rows > 1").drop("rows"), key, F.struct("page_id", "url"))  # a payload of one row refers to none
     return found.select("page_id", "url", "digest", F.when(F.col("page_id") != F.col("last"), F.col("last")).alias("refers_to"))
 
 
-ROW = "archive long, page_id long, digest string, payload binary, url string, refers_to long"
+ROW = "page_id long, digest string, payload binary, url string, refers_to long"
+#: Bytes of a record besides its payload, for dealing.
+HEADERS = 700
 
 
-def payloads(pages: DataFrame, n: int) -> DataFrame:
+def payloads(pages: DataFrame) -> DataFrame:
     """ROW of every page with its compressed payload, to be met by the rows of kinds()."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = [t.encode("utf-8", "surrogatepass") for t in batch.column(3).to_pylist()]
             packed = [len(t).to_bytes(8, "little") + pa.compress(t, "zstd", asbytes=True) for t in raw]
-            empty = [None] * len(raw)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), pa.array(packed, pa.binary()), pa.array(empty, pa.string()), pa.array(empty, pa.int64())], [x.split()[0] for x in ROW.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary()), batch.column(2), pa.nulls(len(raw), pa.int64())], [x.split()[0] for x in ROW.split(", ")])
 
     html = whole("html")
-    body = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), html.alias("html"), F.sha1(html).alias("digest"))
-    return body.select(F.pmod(F.xxhash64("page_id"), F.lit(n)).alias("archive"), "page_id", "digest", "html").mapInArrow(pack, ROW)
+    body = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NO_ID)).alias("page_id"), F.sha1(html).alias("digest"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    return body.mapInArrow(pack, ROW)
 
 
 def write_archives(pages: DataFrame, root: str, archive_bytes: int = 32 << 20, level: int = 6) -> DataFrame:
-    """Write pages as monolithic gzip archives of about ``archive_bytes`` of payload; (path, n_records) of each."""
+    """Write pages as monolithic gzip archives of about ``archive_bytes`` of records; (path, n_records) of each.
+
+    Each task writes the archive of its number. Rows are dealt by id, payload and url, so rows without an id spread too.
+    """
     spark = ready(pages.sparkSession)
-    total = pages.agg(F.sum(F.octet_length(whole("html")))).first()[0] or 0
-    n = max(1, -(-total // archive_bytes))
+    size = pages.agg(F.sum(F.octet_length(whole("html")) + HEADERS)).first()[0] or 0
+    n = max(1, -(-size // archive_bytes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # sorted by (archive, page_id, digest), of which the rows without payload come first
-        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(6))))
-        row = next(rows, None)
-        while row is not None:
-            archive, count = row[0], 0
-
-            def write(out: BinaryIO) -> None:
-                nonlocal row, count
-                z = zlib.compressobj(level, zlib.DEFLATED, 31)
-                out.write(z.compress(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x-archive:{archive}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode()))
-                waiting: list[tuple] = []
-                while row is not None and row[0] == archive:
-                    if row[3] is None:
-                        waiting.append(row)
-                    elif waiting:  # a repeated row's payload finds its records written
-                        payload = pa.decompress(row[3][8:], int.from_bytes(row[3][:8], "little"), "zstd", asbytes=True)
-                        digest = base64.b32encode(bytes.fromhex(row[2])).decode()
-                        for _, page_id, _, _, url, refers_to in waiting:
-                            out.write(z.compress(record(page_id, url, payload, digest, refers_to)))
-                            count += 1
-                        waiting.clear()
-                    row = next(rows, None)
-                out.write(z.flush())
-
-            path = publish(f"{root}/raw", f"pages-{archive:06d}.warc.gz", write)
-            yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [count]})
-
-    told = kinds(pages).select(F.pmod(F.xxhash64("page_id"), F.lit(n)).alias("archive"), "page_id", "digest", F.lit(None).cast("binary").alias("payload"), "url", "refers_to")
-    dealt = told.unionByName(payloads(pages, n)).withColumn("whole", F.col("payload").isNotNull())
-    dealt = dealt.repartition(min(n, 1 << 20), "archive").sortWithinPartitions("archive", "page_id", "digest", "whole")
-    return durable(dealt.select("archive", "page_id", "digest", "payload", "url", "refers_to").mapInArrow(run, "path string, n_records long"))
+        # sorted by (page_id, digest, url), of which the rows without payload come first
+        rows = (r for b in batches for r in zip(*(b.column(k).to_pylist() for k in range(5))))
+        first = next(rows, None)
+        if first is None:
+            return
+        archive, count = TaskContext.get().partitionId(), 0
+
+        def write(out: BinaryIO) -> None:
+            nonlocal count
+            z = zlib.compressobj(level, zlib.DEFLATED, 31)
+            out.write(z.compress(f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:x-archive:{archive}>\r\nWARC-Date: {DATE}\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n\r\n".encode()))
+            waiting: list[tuple] = []
+            for row in itertools.chain([first], rows):
+                if row[2] is None:
+                    waiting.append(row)
+                elif waiting:  # a repeated row's payload finds its records written
+                    payload = pa.decompress(row[2][8:], int.from_bytes(row[2][:8], "little"), "zstd", asbytes=True)
+                    digest = base64.b32encode(bytes.fromhex(row[1])).decode()
+                    for page_id, _, _, url, refers_to in waiting:
+                        out.write(z.compress(record(page_id, url, payload, digest, refers_to)))
+                        count += 1
+                    waiting.clear()
+            out.write(z.flush())
+
+        path = publish(f"{root}/raw", f"pages-{archive:06d}.warc.gz", write)
+        yield pa.RecordBatch.from_pydict({"path": [path], "n_records": [count]})
+
+    told = kinds(pages).select("page_id", "digest", F.lit(None).cast("binary").alias("payload"), F.col("url").cast("string").alias("url"), "refers_to")
+    both = told.unionByName(payloads(pages)).withColumn("whole", F.col("payload").isNotNull())
+    dealt = both.repartition(min(n, 1 << 20), "page_id", "digest", "url").sortWithinPartitions("page_id", "digest", "url", "whole")
+    return durable(dealt.select("page_id", "digest", "payload", "url", "refers_to").mapInArrow(run, "path string, n_records long"))
 
 
 def normalise_archives(archives: DataFrame, root: str, level: int = 6) -> DataFrame:
@@ -253,8 +279,8 @@ def normalise_archives(archives: DataFrame, root: str, level: int = 6) -> DataFr
                 yield pa.RecordBatch.from_pydict({"path": [target] * len(entries)} | cols)
 
     ready(archives.sparkSession)
-    n = max(1, archives.rdd.getNumPartitions())
-    return durable(archives.select("path").repartition(n, "path").mapInArrow(run, "path string, record_id string, type string, offset long, length long"))
+    # archives come one a partition from write_archives()
+    return durable(archives.select("path").mapInArrow(run, "path string, record_id string, type string, offset long, length long"))
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -270,8 +296,7 @@ def read_records(index: DataFrame) -> DataFrame:
                         source.close()
                     where, plain = fs.FileSystem.from_uri(path)
                     open_path, source = path, where.open_input_file(plain)
-                source.seek(offset)
-                out.append(payload_report(source.read(length)))
+                out.append(payload_report(Part(source, offset, length)))
             cols = list(zip(*out)) if out else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         if source is not None:

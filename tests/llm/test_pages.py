@@ -29,6 +29,27 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(frame(spark, [])).count() == 0
 
 
+def test_warc_deals_rows_without_an_id(spark):
+    rows = [(None, f"http://x/{k % 7}", f"<p>{k % 50}</p>" if k % 3 else None) for k in range(300)] + [(k, None, "") for k in range(40)]
+    root = warc.shared_dir(spark).rstrip("/") + "/warc-test"
+    archives = warc.write_archives(frame(spark, rows), root, archive_bytes=20_000)
+    assert archives.count() > 5 and sum(r.n_records for r in archives.collect()) == len(rows)
+    got = sorted((str(r.page_id), r.payload_bytes, r.record_type, str(r.refers_to)) for r in warc.read_records(warc.normalise_archives(archives, root)).collect())
+    last = {h or "": max((i for i, _, g in rows if (g or "") == (h or "") and i is not None), default=None) for _, _, h in rows}
+    want = [(str(i), len(h or ""), "response" if i == last[h or ""] else "revisit", "None" if i == last[h or ""] else str(last[h or ""])) for i, _, h in rows]
+    assert got == sorted(want)
+
+
+def test_reports_read_members_in_chunks():
+    big = bytes(range(256)) * 3000
+    data = gzip.compress(warc.record(5, "u", big, warc.base32_sha1(big), None))
+    stream = io.BytesIO(b"before" + data + b"after")
+    assert warc.payload_report(warc.Part(stream, 6, len(data))) == (5, len(big), warc.base32_sha1(big), "response", None)
+    wrong = gzip.compress(warc.record(5, "u", big, warc.base32_sha1(b""), None))
+    with pytest.raises(ValueError):
+        warc.payload_report(warc.Part(io.BytesIO(wrong), 0, len(wrong)))
+
+
 def test_normaliser_makes_members_that_stand_alone():
     records = [warc.record(k, f"http://x/{k}", p, warc.base32_sha1(p), None) for k, p in enumerate((b"", b"abc" * 50000, b"\r\n\r\n", bytes(range(256))))]
     out = io.BytesIO()
