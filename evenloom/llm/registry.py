@@ -56,6 +56,15 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_simhash, op2_quality, op3_bpe, op4_token_counts, op5_warc, op6_exact_dedup, op7_mixing, op8_toxicity, op9_html_text, op10_fingerprints)}
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_warc": r"""
+        WITH t AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, body, strlen(body) AS payload_bytes, sha1(body) AS hex FROM t),
+        -- eight base-32 digits for every ten hexadecimal ones
+        b AS (SELECT page_id, body, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(((CAST('0x' || substr(hex, 1 + 10 * (i // 8), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) AS INTEGER), 1)), '') AS payload_digest FROM d),
+        g AS (SELECT body, max(page_id) AS last FROM t GROUP BY body)
+        SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM b JOIN g USING (body)
+    """,
     "op6_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents),
         g AS (SELECT body, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)

@@ -228,12 +228,18 @@ def plain_mixing(rows, targets, power=0.7):
         total_share = sum(share.values())
         pools.append(pool)
         want.append({p: x / total_share for p, x in share.items()})
-    for _ in range(300):
+    last = float("inf")
+    for _ in range(60):  # ends as rake() states
+        worst = 0.0
         for d in range(3):
             now = {}
             for c, x in w.items():
                 now[pools[d][c[d]]] = now.get(pools[d][c[d]], 0) + x
+            worst = max(worst, *(abs(x - want[d][p]) for p, x in now.items()))
             w = {c: x * want[d][pools[d][c[d]]] / now[pools[d][c[d]]] for c, x in w.items()}
+        if worst < 1e-6 or worst > 0.99 * last:
+            break
+        last = worst
     return {c: w[c] * total / n for c, n in cells.items()}
 
 
