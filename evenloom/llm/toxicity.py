@@ -67,19 +67,31 @@ def swaps(words: set[str], groups: dict[str, tuple[str, ...]]) -> list[tuple[np.
 
 
 class Sparse:
-    """Rows of present features."""
+    """Rows of present features, in one array; products take ``CHUNK`` entries at a time."""
+
+    CHUNK = 1 << 20
 
     def __init__(self, rows: list[np.ndarray], n: int):
         self.n = n
         self.counts = np.array([len(r) for r in rows], np.int64)
-        self.col = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(rows)), self.counts)
+        self.col = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        ends = np.cumsum(self.counts)
+        cuts = [0, *np.unique(np.searchsorted(ends, np.arange(self.CHUNK, len(self.col) + self.CHUNK, self.CHUNK)) + 1).tolist()]
+        bounds = [min(x, len(rows)) for x in cuts]
+        self.parts = [(i, j, int(ends[i] - self.counts[i]), int(ends[j - 1])) for i, j in zip(bounds, bounds[1:]) if j > i]
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, w[self.col], len(self.counts))
+        out = np.zeros(len(self.counts))
+        for i, j, a, b in self.parts:
+            own = np.repeat(np.arange(j - i), self.counts[i:j])
+            out[i:j] = np.bincount(own, w[self.col[a:b]], j - i)
+        return out
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.col, g[self.row], self.n)
+        out = np.zeros(self.n)
+        for i, j, a, b in self.parts:
+            out += np.bincount(self.col[a:b], np.repeat(g[i:j], self.counts[i:j]), self.n)
+        return out
 
 
 def fit(rows: list[np.ndarray], labels: list[int], pairs: list[tuple[np.ndarray, np.ndarray, int]], balance: float = 1.0, l1: float = 6e-4, steps: int = 120, least: int = 3) -> tuple[np.ndarray, float]:
@@ -94,7 +106,7 @@ def fit(rows: list[np.ndarray], labels: list[int], pairs: list[tuple[np.ndarray,
     place = np.full(BUCKETS, -1, np.int64)
     ids = np.flatnonzero(usable)
     place[ids] = np.arange(len(ids))
-    thin = lambda r: place[r][place[r] >= 0]
+    thin = lambda r: (at := place[r])[at >= 0].astype(np.int32)
     x = Sparse([thin(r) for r in rows], len(ids))
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -146,7 +158,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> D
     return chosen.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), F.sha2("text", 256))).alias("text")).select("toxic", "text")
 
 
-def mentions(rows: DataFrame, share: float = 0.02, most_z: float = 1.5, size: int = 4, most: int = 400) -> list[tuple[str, ...]]:
+def mentions(rows: DataFrame, share: float = 0.02, most_z: float = 1.5, size: int = 4, most: int = 64) -> list[tuple[str, ...]]:
     """Groups of ``size`` words that may stand for each other, from training rows (toxic, text).
 
     They are words of three letters or more that at least ``share`` of the rows have and whose rows are toxic as often

@@ -207,7 +207,7 @@ def test_mixing_meets_its_marginals(spark):
     assert set(again[again.kept].doc_id) == set(kept.doc_id)
 
 
-def plain_mixing(rows, targets, power=0.7):
+def plain_mixing(rows, targets, power=mixing.POWER):
     """rows (source, lang, topic, tokens) -> weight of each row, by plain loops over cells."""
     cells = {}
     for *cell, n in rows:
@@ -243,6 +243,13 @@ def plain_mixing(rows, targets, power=0.7):
     return {c: w[c] * total / n for c, n in cells.items()}
 
 
+def tokens_by_cell(rows):
+    out = {}
+    for *cell, n in rows:
+        out[tuple(cell)] = out.get(tuple(cell), 0) + n
+    return out
+
+
 def test_mixing_against_plain_raking(spark):
     rng = np.random.default_rng(14)
     rows = [(k, f"s{int(rng.integers(90) ** 1.2) // 2}", ["en", "de", None][int(rng.integers(3))], f"t{int(rng.integers(4))}", " ".join(["w"] * int(rng.integers(0, 30)))) for k in range(4000)]
@@ -257,6 +264,10 @@ def test_mixing_against_plain_raking(spark):
         for r in got:
             x = want.get((r.source, r.lang, r.topic), 0.0)
             assert r.weight == pytest.approx(x, rel=1e-4, abs=1e-6) and r.probability == pytest.approx(min(1, x / top), rel=1e-4, abs=1e-6)
+        cells = spark.createDataFrame([(*c, n) for c, n in tokens_by_cell(plain).items() if n], "source string, lang string, topic string, t long")
+        by = mixing.goals(cells, targets)
+        one, two = ({(r.source, r.lang, r.topic): r.w for r in mixing.rake(cells, by, few=few).collect()} for few in (0, 10_000))
+        assert one.keys() == two.keys() and all(one[k] == pytest.approx(two[k], rel=1e-6, abs=1e-9) for k in one)  # in Spark or in the driver
         kept = sum(r.kept for r in got) / len(got)
         assert kept == pytest.approx(np.mean([r.probability for r in got]), abs=0.03)
 
