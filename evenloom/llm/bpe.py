@@ -24,9 +24,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ready, whole
+from .common import ready, strings, whole
 
-MEMO = 400_000
+MEMO = 200_000
 STATES = 200_000
 
 
@@ -266,7 +266,7 @@ def encoded(docs: DataFrame, vocabulary: bytes, pattern: str, ids: bool = False,
         c = codec(shared.value, pattern)
         for batch in batches:
             out: list[tuple] = []
-            for text in batch.column(1).to_pylist():
+            for text in strings(batch.column(1)):
                 got = c.encode(text)
                 sha, stream, chars = hashlib.sha256(), Utf8Stream(), 0
                 for chunk in c.decode(got):

@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,12 @@ def whole(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def strings(column: pa.Array, each: int = 256) -> Iterator[str]:
+    """The values of a column of texts, a few at a time: a batch may hold many megabytes."""
+    for at in range(0, len(column), each):
+        yield from column.slice(at, each).to_pylist()
+
+
 def u64_hex(column: Column) -> Column:
     """A long as 16 lowercase hexadecimal digits of its 64 bits."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))

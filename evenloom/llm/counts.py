@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import public_vocabulary, read_ranks
-from .common import ready, whole
+from .common import ready, strings, whole
 
 MAX_NODES = 1_500_000
 
@@ -81,7 +81,7 @@ def token_counts(docs: DataFrame, vocabulary: bytes | None = None, pattern: str
         trie, split = ForwardTrie(rank_scores(read_ranks(shared.value))), regex.compile(pattern).findall
         for batch in batches:
             totals, pieces = [], []
-            for text in batch.column(1).to_pylist():
+            for text in strings(batch.column(1)):
                 found = split(text)
                 known = trie.terminal
                 for p in sorted({p for p in found if p not in known}):  # neighbours share the longest prefixes

@@ -18,10 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ready, whole
+from .common import durable, ready, strings, whole
 
 BUCKETS = 1 << 12
-MEMO = 300_000
+MEMO = 100_000
 SYMBOLS = "#$%&*|{}<>@\\^~=_"
 #: Frequent function words of the corpus's languages.
 FUNCTION_WORDS = frozenset("the of and to in a is that it for was on as with be by this are at an from de la le et les un une des du que der die und das den von zu mit el los las y en es se por con para il che non per".split())
@@ -142,9 +142,10 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (id, text) -> (id, pattern, buckets, counts): the votes, and the word shapes as packed numbers."""
     memo: dict[str, int] = {}
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        found = [np.unique(bucket_list(t, memo), return_counts=True) for t in texts]
-        patterns = ["".join(MARKS[v] for v in votes(t)) for t in texts]
+        found, patterns = [], []
+        for t in strings(batch.column(1)):
+            found.append(np.unique(bucket_list(t, memo), return_counts=True))
+            patterns.append("".join(MARKS[v] for v in votes(t)))
         cols = [pa.array([x.astype(kind).tobytes() for x in xs], pa.binary()) for xs, kind in (([b for b, _ in found], np.int16), ([c for _, c in found], np.int32))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(patterns, pa.string()), *cols], ["id", "pattern", "buckets", "counts"])
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import best_rows, durable, partitions, ready, salted_lookup, text_key, whole
+from .common import best_rows, durable, partitions, ready, salted_lookup, strings, text_key, whole
 from .components import components
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -97,7 +97,7 @@ def fingerprint(docs: DataFrame, shingle: int = 3, words: int = 1, id_column: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = fingerprints_of(batch.column(1).to_pylist(), shingle, words).view(np.int64)
+            found = majorities((np.array(shingle_hashes(t, shingle), np.uint64) for t in strings(batch.column(1))), len(batch), words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(words))], ["id", *names])
 
     ready(docs.sparkSession)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, ready, whole
+from .common import durable, ready, strings, whole
 
 WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
 BUCKETS = 1 << 18
@@ -36,7 +36,7 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("muslime", "christen", "juden"), ("femmes", "hommes"), ("musulmans", "chrétiens", "juifs"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
 PREFIXES = range(3, 9)
-MEMO = 300_000
+MEMO = 100_000
 
 
 def word_features(word: str) -> list[int]:
@@ -168,7 +168,7 @@ def mentions(rows: DataFrame, share: float = 0.02, most_z: float = 1.5, size: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [[w for w in distinct_words(t) if len(w) >= 3] for t in batch.column(1).to_pylist()]
+            words = [[w for w in distinct_words(t) if len(w) >= 3] for t in strings(batch.column(1))]
             each = [y for y, ws in zip(batch.column(0).to_pylist(), words) for _ in ws]
             yield pa.RecordBatch.from_arrays([pa.array([w for ws in words for w in ws], pa.string()), pa.array(each, pa.int32())], ["word", "toxic"])
 
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, balance: flo
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(distinct_words(t)).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([features(distinct_words(t)).tobytes() for t in strings(batch.column(1))], pa.binary())], ["toxic", "features"])
 
     def swapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,7 +218,7 @@ def score_column(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callab
         memo: dict[str, tuple[int, ...]] = {}
         for batch in batches:
             out = []
-            for text in batch.to_pylist():
+            for text in strings(batch):
                 used: set[int] = set()
                 if len(memo) > MEMO:
                     memo.clear()
