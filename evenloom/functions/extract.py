@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 #: Month names and abbreviations as sites write them.
 MONTHS = {
     "januari": 1, "februari": 2, "maart": 3, "april": 4, "mei": 5, "juni": 6, "juli": 7, "augustus": 8, "september": 9, "oktober": 10, "november": 11, "december": 12,
-    "jan": 1, "feb": 2, "mrt": 3, "maa": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "okt": 10, "nov": 11, "dec": 12,
+    "jan": 1, "feb": 2, "mrt": 3, "apr": 4, "jun": 6, "jul": 7, "aug": 8, "sep": 9, "sept": 9, "okt": 10, "nov": 11, "dec": 12,
     "january": 1, "february": 2, "march": 3, "may": 5, "june": 6, "july": 7, "august": 8, "october": 10, "oct": 10, "mar": 3,
 }
-_NAMES = "|".join(sorted(MONTHS, key=lambda m: (-len(m), m)))
-_NUMERIC = r"(?<!\d)(\d{1,2})[-/.](\d{1,2})[-/.](20\d\d)(?!\d)"
-_DAY_MONTH = rf"(?i)(?<![\d:.])(\d{{1,2}})(?:e|st|nd|rd|th)?\s+({_NAMES})\b\.?(?:,?\s+(20\d\d)(?![\d:]))?"
-_MONTH_DAY = rf"(?i)\b({_NAMES})\.?\s+(\d{{1,2}})(?:st|nd|rd|th)?\b(?!:)(?:,?\s+(20\d\d))?"
+#: Months that only Dutch text names; English ones stand before the day too, "may" then only as May.
+DUTCH_MONTHS = ("januari", "februari", "maart", "mrt", "mei", "juni", "juli", "augustus", "okt", "oktober", "may")
+_ordered = lambda names: "|".join(sorted(names, key=lambda m: (-len(m), m)))
+_NAMES, _ENGLISH = _ordered(MONTHS), _ordered(m for m in MONTHS if m not in DUTCH_MONTHS)
+_NUMERIC = r"\b\d{1,2}[-/.]\d{1,2}[-/.]20\d\d\b"
+_DAY_MONTH = rf"\b\d{{1,2}}\s+(?:{_NAMES})\.?\b(?:\s*,?\s+'?(?:\d{{4}}|\d\d)(?![:.]\d)(?!\s*u(?:ur)?\b))?\b"
+_MONTH_DAY = rf"\b(?:(?-i:May)|{_ENGLISH})\.?\s+\d{{1,2}}(?:st|nd|rd|th)?\b(?![:.]\d)(?:,?\s+20\d\d)?"
+#: Any date that names its month, in one scan of a text.
+DATES = rf"(?i){_NUMERIC}|{_DAY_MONTH}|{_MONTH_DAY}"
 
 
 def month_number(name: Column) -> Column:
@@ -23,14 +28,15 @@ def month_number(name: Column) -> Column:
 
 
 def _date(y: Column, m: Column, d: Column) -> Column:
-    text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
+    """The day of three numbers; null if there is none."""
+    first = F.when((m >= 1) & (m <= 12) & (y >= 1) & (y <= 9999), F.make_date(y, m, F.lit(1)))
+    return F.when((d >= 1) & (d <= F.dayofmonth(F.last_day(first))), F.date_add(first, d - 1))
 
 
 def infer_year(m: Column, d: Column, today: Column, back: int = 60) -> Column:
     """A date without a year: this year's, or next year's if that is over ``back`` days ago."""
     this = _date(F.year(today), m, d)
-    return F.when(F.datediff(today, this) > back, _date(F.year(today) + 1, m, d)).otherwise(F.coalesce(this, _date(F.year(today) + 1, m, d)))
+    return F.when(F.datediff(today, this) > back, _date(F.year(today) + 1, m, d)).otherwise(this)
 
 
 def groups(text: Column, pattern: str, n: int) -> Column:
@@ -38,27 +44,34 @@ def groups(text: Column, pattern: str, n: int) -> Column:
     return F.struct(F.regexp_instr(text, F.lit(pattern)).alias("at"), *(F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).alias(f"g{k}") for k in range(1, n + 1)))
 
 
-def with_date(df: DataFrame, text: str, today: Column, out: str = "date") -> DataFrame:
-    """Add the first date that a text column gives; one right after "datum" goes before others.
+def first_date(text: Column, today: Column) -> Column:
+    """The first date in a text that exists. Years of two digits are 20xx.
 
-    In steps, so that no pattern is matched twice: groups, then dates, then the choice.
+    Each match of DATES is cut in its words, the words are read as numbers, and the numbers made a date, in steps, as
+    an array function evaluates what it names as often as it names it.
     """
-    df = df.withColumn("_label", F.nullif(F.regexp_extract(text, r"(?is)\bdatum\b:?\s*(.{0,40})", 1), F.lit(""))).withColumn("_today", today)
-    df = df.withColumns({f"_{n}{t}": groups(F.col(c), p, 3) for t, c in (("l", "_label"), ("t", text)) for n, p in (("n", _NUMERIC), ("d", _DAY_MONTH), ("m", _MONTH_DAY))} | {"_s": groups(F.col(text), r"(?i)\bdatum:?\s*(\d{1,2})[-/](\d{1,2})(?![-/\d])", 2)})
-    parts = {}
-    for t in "lt":
-        parts |= {f"_y{t}": F.struct(F.col(f"_d{t}.g3").cast("int").alias("dy"), month_number(F.col(f"_d{t}.g2")).alias("dm"), F.col(f"_d{t}.g1").cast("int").alias("dd"), F.col(f"_m{t}.g3").cast("int").alias("my"), month_number(F.col(f"_m{t}.g1")).alias("mm"), F.col(f"_m{t}.g2").cast("int").alias("md"))}
-    df = df.withColumns(parts)
-    named = lambda y, m, d: F.when(y.isNotNull(), _date(y, m, d)).otherwise(infer_year(m, d, F.col("_today")))
-    dates = {}
-    for t in "lt":
-        c = lambda k, t=t: F.col(f"_y{t}.{k}")
-        dates |= {f"_a{t}": _date(F.col(f"_n{t}.g3").cast("int"), F.col(f"_n{t}.g2").cast("int"), F.col(f"_n{t}.g1").cast("int")), f"_b{t}": named(c("dy"), c("dm"), c("dd")), f"_c{t}": named(c("my"), c("mm"), c("md"))}
-    df = df.withColumns(dates | {"_short": infer_year(F.col("_s.g2").cast("int"), F.col("_s.g1").cast("int"), F.col("_today"))})
-    at = lambda p, v: F.when(F.col(v).isNotNull(), F.struct(F.col(f"{p}.at").alias("at"), F.col(v).alias("v")))
-    first = lambda t: F.array_min(F.filter(F.array(at(f"_n{t}", f"_a{t}"), at(f"_d{t}", f"_b{t}"), at(f"_m{t}", f"_c{t}")), lambda x: x.isNotNull()))["v"]
-    df = df.withColumn(out, F.coalesce(first("l"), first("t"), F.col("_short")))
-    return df.drop("_label", "_today", "_s", "_short", *(f"_{n}{t}" for n in "ndmyabc" for t in "lt"))
+    words = F.transform(F.regexp_extract_all(text, F.lit(DATES), F.lit(0)), lambda x: F.split(x, r"[\s,.'/-]+"))
+
+    def numbers(w: Column) -> Column:
+        a, b, y = F.get(w, F.lit(0)), F.get(w, F.lit(1)), F.get(w, F.lit(2)).try_cast("int")
+        first = a.try_cast("int")
+        day = F.coalesce(first, F.translate(b, "stndrhSTNDRH", "").try_cast("int"))
+        month = F.when(first.isNull(), month_number(a)).otherwise(F.coalesce(b.try_cast("int"), month_number(b)))
+        return F.struct(F.when(y < 100, 2000 + y).otherwise(y).alias("y"), month.alias("m"), day.alias("d"))
+
+    dates = F.transform(F.transform(words, numbers), lambda n: F.when(n["y"].isNotNull(), _date(n["y"], n["m"], n["d"])).otherwise(infer_year(n["m"], n["d"], today)))
+    return F.get(F.filter(dates, lambda d: d.isNotNull()), F.lit(0))
+
+
+def with_date(df: DataFrame, text: str, today: Column, out: str = "date") -> DataFrame:
+    """Add the date that a text column gives: what stands right after "datum", also without a month's name or a year, or
+    else the first in the text."""
+    after = F.nullif(F.regexp_extract(text, r"(?is)\bdatum\s*:?\s*(.{0,40})", 1), F.lit(""))
+    short = r"(?i)^(?:[a-z]{2,9}\.?\s+)?(\d{1,2})[-/.](\d{1,2})(?![-/.]?\d)"
+    number = lambda k: F.regexp_extract(F.col("_after"), short, k).try_cast("int")
+    df = df.withColumns({"_after": after, "_today": today})
+    labelled = F.when(F.col("_after").isNotNull(), F.coalesce(first_date(F.col("_after"), F.col("_today")), infer_year(number(2), number(1), F.col("_today"))))
+    return df.withColumn(out, F.coalesce(labelled, first_date(F.col(text), F.col("_today")))).drop("_after", "_today")
 
 
 def parse_iso(text: Column) -> tuple[Column, Column]:
@@ -159,15 +172,29 @@ def clean_act_list(text: Column) -> Column:
     return F.filter(names, lambda x: (x != "") & ~x.rlike(r"(?i)^(geen|none|n\.?v\.?t\.?|tba|t\.?b\.?a\.?|n\.?t\.?b\.?|nader te bepalen)$"))
 
 
+#: Headings that name no show.
+GENERIC = r"(?i)^(agenda|programma|home|evenementen?|events?|concerten|voorstellingen|tickets?|menu)$"
+
+
+def clean_title(title: Column, site: Column) -> Column:
+    """A page's title without the site's name, what follows its last bar, or the day and place of the show."""
+    t = F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", " "))
+    name = F.regexp_replace(F.coalesce(site, F.lit("")), r"([^\w\s])", r"\\$1")
+    own = F.regexp_replace(t, F.concat(F.lit(r"(?i)\s*[|–—:-]\s*"), name, F.lit(r"\s*$")), F.lit(""))
+    t = F.when(name != "", own).otherwise(t)
+    t = F.when(t.rlike(r"\s[|–—]\s"), F.regexp_replace(t, r"\s*[|–—]\s*[^|–—]{2,40}$", "")).otherwise(t)
+    t = F.regexp_replace(t, r"(?i)\s+(op|on|in|at|@)\s+(ma|di|wo|do|vr|za|zo|maandag|dinsdag|woensdag|donderdag|vrijdag|zaterdag|zondag)?\.?\s*\d{1,2}[\s./-]+\w+[\s./-]+\d{2,4}\b.*$", "")
+    at = F.regexp_replace(t, F.concat(F.lit(r"(?i)\s+(naar|in|bij|live in|@)\s+"), name, F.lit(".*$")), F.lit(""))
+    return F.regexp_replace(F.when(name != "", at).otherwise(t), r"^[ \-|!]+|[ \-|!]+$", "")
+
+
 def pick_title(h1: Column, og: Column, page: Column, url: Column, site: Column) -> Column:
-    """The first usable of heading, shared title and page title without the site's name, else the address's last words."""
-    generic = r"(?i)^(agenda|programma|home|evenementen?|events?|concerten|voorstellingen|tickets?|menu)$"
+    """The first usable of heading, shared title and page title, cleaned, else the address's last words."""
 
     def usable(c: Column) -> Column:
-        t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
-        parts = F.split(t, r"\s+[|–•]\s+|\s+-\s+(?=[^-]*$)")
-        t = F.when(F.lower(F.element_at(parts, -1)) == F.lower(site), F.trim(parts[0])).otherwise(t)
-        return F.when((F.length(t) >= 2) & ~t.rlike(generic) & (F.lower(t) != F.lower(site)), t)
+        t = clean_title(c, site)
+        return F.when((F.length(t) >= 2) & ~t.rlike(GENERIC) & (F.lower(t) != F.lower(F.coalesce(site, F.lit("")))), t)
 
-    words = F.replace(F.element_at(F.split(F.regexp_replace(F.split(url, r"\?")[0], "/+$", ""), "/"), -1), F.lit("-"), F.lit(" "))
+    last = F.element_at(F.split(F.regexp_replace(F.regexp_replace(F.split(url, r"[?#]")[0], "^[a-z]+://[^/]*", ""), "/+$", ""), "/"), -1)
+    words = F.trim(F.regexp_replace(F.regexp_replace(last, r"^\d+-|-\d+$|\.\w+$", ""), "[-_]+", " "))
     return F.coalesce(usable(h1), usable(og), usable(page), F.concat(F.upper(F.left(words, F.lit(1))), F.substring(words, 2, 500)))

@@ -179,6 +179,26 @@ def similar(df: DataFrame, n: int = 4) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("place"))).where(F.col("rank") <= n).select("id", "other", "rank")
 
 
+def same_day_nearby(df: DataFrame, n: int = 4, within: int = 45) -> DataFrame:
+    """(id, other, rank): up to n nearest acts of the same type on an event's day, within so many minutes by car.
+
+    Periods count on each of their days. An act is represented by its first event; only the best n + 1 of a type and
+    day are joined, since an event's own act is the only one it leaves out.
+    """
+    near = df.where(F.col("car") <= within).withColumn("day", F.explode(F.sequence(F.col("d"), F.greatest("d", F.coalesce("end_d", "d")))))
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("type", "day", "ak").orderBy("ord"))).where("r = 1")
+    best = first.withColumn("place", F.row_number().over(Window.partitionBy("type", "day").orderBy("car", F.coalesce("time", F.lit(10_000)), "ord"))).where(F.col("place") <= n + 1)
+    best = best.select("type", F.col("day").alias("d"), F.col("ak").alias("other_ak"), F.col("id").alias("other"), "place")
+    pairs = df.select("id", "type", "d", "ak").join(best, ["type", "d"]).where("ak <> other_ak")
+    return pairs.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("place"))).where(F.col("rank") <= n).select("id", "other", "rank")
+
+
+def stale(updated: Column, now: Column, hours: int = 36) -> Column:
+    """Whether a snapshot's local time of update ("2026-10-09 08:00", Amsterdam) lies over ``hours`` hours before ``now``."""
+    at = F.to_utc_timestamp(F.try_to_timestamp(updated, F.lit("yyyy-MM-dd HH:mm")), "Europe/Amsterdam")
+    return F.coalesce(F.unix_timestamp(now) - F.unix_timestamp(at) > hours * 3600, F.lit(False))
+
+
 def tours(df: DataFrame, most: int = 120) -> DataFrame:
     """(id, key) of the keys that two to ``most`` touring events share."""
     able = df.where(F.col("type").isin("pop", "thea") & F.col("end").isNull() & (F.length("ak") >= 4))

@@ -101,7 +101,11 @@ def venue_type(name: Column, keywords: list[str], overrides: dict[str, str]) ->
 
 
 #: Words of titles for children.
-KIDS = r"(?i)kinder(?!loos|achtig)|\bkids?\s*(edition|editie|club|factory|rondleiding|atelier|workshop|middag|dag|disco|concert|voorstelling|theater|tour|special|feest|party)\b|voor (de )?kids|met kids|\bkids\s*$|nederlandse versie|nl versie|nl gesproken|nederlands gesproken|familie(voorstelling|concert|film|dag|theater|middag|musical|tour|tentoonstelling|programma|zondag|weekend|activiteit|vertelling)|voor (het hele )?gezin|gezinsvoorstelling|\bjeugd(theater|voorstelling|film|concert|orkest)|peuter|kleuter|\bjunior|voorlees|poppenkast|poppentheater|sprookje|sinterklaas|\bsint\b|kidsclub|kinderfeest|schoolvoorstelling"
+KIDS = (
+    r"(?i)kinder(?!loos|achtig)|\bkids?\s*(edition|editie|club|factory|rondleiding|atelier|workshop|middag|dag|disco|concert|voorstelling|theater|tour|special|feest|party)\b|\bkids\s*/\s*jeugd|\bkids\s+x\s|voor (de )?kids|met kids|\bkids\s*$|nederlandse versie|nl versie|2d nl|nl gesproken|nederlands gesproken|\b(museum|edition|editie|bookshop)\s+kids\b|"
+    r"familie(voorstelling|concert|film|dag|theater|middag|musical|tour|tentoonstelling|programma|zondag|weekend|activiteit|vertelling)|familietheater|voor (het hele )?gezin|gezinsvoorstelling|\bjeugd(theater|voorstelling|film|concert|orkest)|peuter|kleuter|\bjunior|voorlees|poppenkast|poppentheater|sprookje|sinterklaas|\bsint\b|"
+    r"nijntje|dikkie dik|kikker|buurman en buurman|pieter post|paw patrol|\bk3\b|samson|bumba|woezel|\bpip\b|pippi|minoes|pluk van de petteflet|jip en janneke|taartrovers|cinemini|kidsclub|kinderfeest|schoolvoorstelling"
+)
 
 
 def min_age(title: Column) -> Column:

@@ -266,7 +266,10 @@ def search_names(name: Column, clean_least: int = 10) -> Column:
 
 
 #: Titles that are no music, and series of comedy evenings.
-NOT_MUSIC = r"(?i)workshop|lezing|cursus|quiz|bingo|borrel|lunch|diner|rondleiding|open dag|proefles|clinic|filmavond|tentoonstelling|expositie|vergadering|netwerk|markt|\wbeurs\b|yoga|game night|jam ?sessi(e|on)|open (mic|podium|stage)|proeverij|proefavond|boekenclub|masterclass|social dance|spelletjes|boekpresentatie|podcast|business club|\bmeeting\b"
+NOT_MUSIC = (
+    r"(?i)workshop|lezing|cursus|quiz|bingo|borrel|lunch|diner|rondleiding|open dag|proefles|clinic|filmavond|tentoonstelling|expositie|vergadering|netwerk|markt|\wbeurs\b|yoga|game night|jam ?sessi(e|on)|open (mic|podium|stage)|proeverij|proefavond|springkussen|boekenclub|(hedon|nacht) academy|publieke tribune|masterclass|^(ajax|vitesse)\s+-\s|"
+    r"social dance|spelletjes|vaccinatie|science caf|subsidie|boekpresentatie|podcast|business club|\bmeeting\b|protestborden|woonprotest|stadssafari|crafternoon|design week|\bddw\b|cultuurnacht|museumnacht"
+)
 SERIES = r"(?i)comedy|cabaret|stand-?up|try-?out|conferen|caf[eé]\b|\bclub\b|night|train\b|kwis"
 
 
@@ -279,15 +282,15 @@ def link_eligibility(df: DataFrame) -> Column:
     return F.when(~F.coalesce(base, F.lit(False)), "none").when(dash | series, "search").otherwise("lookup")
 
 
-def page_text(pages: DataFrame) -> DataFrame:
-    """(url, text): the visible text of a page's main part without navigation, hidden and other-event blocks, native."""
+def page_text(pages: DataFrame, keep: tuple[str, ...] = ("url",)) -> DataFrame:
+    """(url, text), or other columns to keep: the visible text of a page's main part without navigation, hidden and other-event blocks, native."""
     body = F.regexp_replace("html", r"(?is)<(script|style|nav|header|footer|aside|form|noscript)\b.*?</\1\s*>|<!--.*?-->", " ")
     main = F.coalesce(F.nullif(F.regexp_extract(body, r"(?is)<(main|article)\b[^>]*>(.*?)</\1\s*>", 2), F.lit("")), body)
     shown = F.regexp_replace(main, r"""(?is)<(\w+)[^>]*(?:\bhidden\b|display:\s*none)[^>]*>.*?</\1\s*>""", " ")
     from ..functions.keys import unescape
 
     text = F.trim(F.regexp_replace(unescape(F.regexp_replace(F.regexp_replace(shown, r"(?i)<(br|/p|/div|/li|/h\d)[^>]*>", "\n"), "<[^>]+>", " ")), r"[ \t\r]+", " "))
-    return pages.select("url", once(text).alias("text"))
+    return pages.select(*keep, once(text).alias("text"))
 
 
 def once(c: Column) -> Column:
@@ -300,7 +303,8 @@ def event_from_page(pages: DataFrame, today: str) -> DataFrame:
     from ..functions.extract import clock_times
 
     t = F.lit(today).cast("date")
-    rows = page_text(pages).join(pages.select("url", F.trim(F.regexp_extract("html", r"(?is)<h1[^>]*>\s*([^<]+?)\s*</h1>", 1)).alias("title")), "url")
+    title = F.trim(F.regexp_extract("html", r"(?is)<h1[^>]*>\s*([^<]+?)\s*</h1>", 1))
+    rows = page_text(pages.select("url", "html", title.alias("title")), ("url", "title"))
     rows = with_date(rows.withColumn("head", F.left("text", F.lit(6000))), "head", t)
     rows = rows.withColumn("date", once(F.col("date"))).where((F.datediff(t, "date") <= 365) & (F.col("title") != "")).withColumn("_c", once(clock_times(F.col("head"))))
     rows = rows.withColumns({"end": until_date(F.col("head"), F.col("date")), "price": price_from_text(F.col("head")), "status": sale_status(F.col("head"))})

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import _NAMES, _date, month_number
+from .resolve import containing
 from ..functions.keys import slug
 
 #: Kinds of listed events by their part of the address, and the form of their labels.
@@ -145,7 +146,7 @@ def twelve_hour(text: Column) -> Column:
 def alarm_hits(events: DataFrame, words: DataFrame) -> DataFrame:
     """(id, word): the first of a user's words(word, place) that occurs in title, venue or city."""
     hay = F.lower(F.concat_ws(" ", "title", "venue", "city"))
-    hits = events.select("id", hay.alias("hay")).join(words.select(F.lower("word").alias("w"), "word", "place"), F.expr("contains(hay, w)"))
+    hits = containing(events.select("id", hay.alias("hay")), "hay", words.select(F.lower("word").alias("w"), "word", "place"), "w")
     return hits.groupBy("id").agg(F.min_by("word", "place").alias("word"))
 
 

@@ -42,7 +42,7 @@ def duration(start: Column, end: Column) -> Column:
 
 
 def json_links(df: DataFrame, payload: str, path: str, template: str) -> DataFrame:
-    """Values at a dotted path of a JSON list, put into a link template; distinct in order."""
+    """Values at a dotted path of a JSON list, put into a link template; each link of a source once."""
     v = F.explode(F.expr(f"variant_get(try_parse_json({payload}), '$', 'array<variant>')"))
     rows = df.select("source", v.alias("_v")).select("source", F.expr(f"try_variant_get(_v, '$.{path}', 'string')").alias("value")).where("value is not null")
     return rows.select("source", F.replace(F.lit(template), F.lit("{}"), F.col("value")).alias("url")).distinct()
@@ -50,24 +50,33 @@ def json_links(df: DataFrame, payload: str, path: str, template: str) -> DataFra
 
 def embedded_shows(df: DataFrame, html: str, attribute: str, schema: str) -> DataFrame:
     """JSON in an HTML attribute -> a row per showing."""
-    raw = F.regexp_extract(html, rf"""\b{attribute}=(?:"([^"]*)"|'([^']*)')""", 1)
+    quoted = lambda k: F.nullif(F.regexp_extract(html, rf"""\b{attribute}=(?:"([^"]*)"|'([^']*)')""", k), F.lit(""))
+    raw = F.coalesce(quoted(1), quoted(2))
     text = F.replace(F.replace(raw, F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
     return df.select(*(c for c in df.columns if c != html), F.explode(F.from_json(text, f"struct<items: array<struct<{schema}>>>")["items"]).alias("_x")).select(*(c for c in df.columns if c != html), "_x.*")
 
 
+def absolute(href: Column) -> Column:
+    """A link of the page ``url`` in full; an empty one is null."""
+    path = F.regexp_extract("url", r"^([^?#]*)", 1)
+    folder = F.when(path.rlike("^https?://[^/]+$"), F.concat(path, F.lit("/"))).otherwise(F.regexp_extract("url", r"^(https?://[^?#]*/)", 1))
+    rest = F.when(href.startswith("//"), F.concat(F.lit("https:"), href)).when(href.startswith("/"), F.concat(F.regexp_extract("url", r"^(https?://[^/?#]+)", 1), href)).when(href.startswith("?"), F.concat(path, href)).otherwise(F.concat(folder, href))
+    return F.when(href != "", F.when(href.rlike("^https?://"), href).otherwise(rest))
+
+
 def page_links(pages: DataFrame, pattern: str = ".*") -> DataFrame:
     """Links of a page on its own host: (url, link, place), each once, at its first place."""
     hrefs = F.regexp_extract_all("html", F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']([^"'#]+)"""), F.lit(1))
     rows = pages.select("url", F.posexplode(hrefs).alias("place", "href"))
     host = F.regexp_extract("url", r"^(https?://[^/]+)", 1)
-    link = F.when(F.col("href").rlike("^https?://"), F.col("href")).when(F.col("href").startswith("//"), F.concat(F.lit("https:"), "href")).when(F.col("href").startswith("/"), F.concat(host, "href")).otherwise(F.concat(F.regexp_extract("url", r"^(https?://[^?#]*/)", 1), "href"))
-    rows = rows.where(~F.col("href").rlike(r"(?i)^(mailto|tel|javascript|data):")).withColumn("link", link).where((F.regexp_extract("link", r"^(https?://[^/]+)", 1) == host) & F.col("link").rlike(pattern))
+    rows = rows.where(~F.col("href").rlike(r"(?i)^(mailto|tel|javascript|data):")).withColumn("link", absolute(F.col("href"))).where((F.regexp_extract("link", r"^(https?://[^/]+)", 1) == host) & F.col("link").rlike(pattern))
     return rows.groupBy("url", "link").agg(F.min("place").alias("place"))
 
 
 def next_pages(pages: DataFrame) -> DataFrame:
     """Further pages of a listing: rel=next, and numbered pages of the same path."""
-    rel = F.regexp_extract("html", r"""(?i)<(?:a|link)\s[^>]*rel=["']next["'][^>]*href=["']([^"']+)""", 1)
+    tag = F.regexp_extract("html", r"""(?i)<(?:a|link)\s[^>]*\brel=["']next["'][^>]*>""", 0)
+    rel = absolute(F.regexp_extract(tag, r"""(?i)\bhref=["']([^"']+)""", 1))
     numbered = page_links(pages).where((F.split("link", r"\?")[0] == F.split("url", r"\?")[0]) & F.col("link").rlike(r"[?&](page|pagina|p)=\d+")).select("url", "link")
     return pages.select("url", rel.alias("link")).where("link <> ''").union(numbered).distinct()
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keys import artist_key, compare_key, event_id, first_act, norm14, title_tokens, unescape, url_host, url_page
+from ..functions.keys import artist_key, compare_key, event_id, first_act, headline, norm14, title_tokens, unescape, url_host, url_page
 
 #: Titles that many venues use and that identify nothing.
 GENERIC = r"(?i)open ?(mic|podium|stage|jam)|jam ?sessi|pub ?quiz|\bquiz\b|karaoke|bingo|live ?muziek|live ?music|\bdj\b|borrel|happy hour|afterparty|after party|\bparty\b|\bfeest\b|\bsessie\b|\bsession\b|\bcover|dansavond|dance night|salsa|singalong"
@@ -66,11 +66,18 @@ def fix_series_ends(df: DataFrame) -> DataFrame:
     return out.withColumn("end", F.when(F.col("_starts").isNull() | ~able, F.col("end"))).drop("_starts").select(df.columns)
 
 
+def known(df: DataFrame, c: str, column: Column | None = None) -> Column:
+    """A column's value where it says something: empty texts and lists are null."""
+    column = F.col(c) if column is None else column
+    kind = dict(df.dtypes)[c]
+    return F.when(F.size(column) > 0, column) if kind.startswith("array") else F.when(column != "", column) if kind == "string" else column
+
+
 def richness(df: DataFrame) -> Column:
-    return sum((F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in ("times", "doors", "start", "support", "time", "price") if c in df.columns), F.lit(0))
+    return sum((F.when(known(df, c).isNotNull(), 1).otherwise(0) for c in ("times", "doors", "start", "support", "time", "price") if c in df.columns), F.lit(0))
 
 
-_FILLED = ("time", "doors", "start", "tot", "price", "status")
+_FILLED = ("time", "doors", "start", "support", "times", "tot", "price", "status")
 
 
 def merge_same_evening(df: DataFrame) -> DataFrame:
@@ -78,17 +85,20 @@ def merge_same_evening(df: DataFrame) -> DataFrame:
 
     Rows need id, ord, venue, city, date, title, url, vtype, genre, end, first_seen, time (minutes). A greedy fold in
     order of richness over the rows of one (venue, city, date, act): a row joins the first head whose site differs and
-    whose known time is within two hours. Returns the rows that stay with filled fields and ``merged``, how many rows
+    whose known time is within two hours. A head without support takes that of the other's title ("A + B"), but for names
+    that its own title has. Columns support (array of names) and times (array) are optional. Returns the rows that stay with filled fields and ``merged``, how many rows
     each has taken in. Only groups of two or more rows are folded; all others pass by.
     """
     act = first_act("title")
     able = F.col("end").isNull() & ~F.col("vtype").isin("film", "festival") & ~F.coalesce(F.col("genre").isin("Film", "Tentoonstelling", "Festival"), F.lit(False)) & (F.length(act) >= 4) & ~F.col("title").rlike(GENERIC)
-    key = ["venue", "city", "date", "_act"]
-    rows = df.withColumn("_act", F.when(able, act))
+    key = ["_venue", "_city", "date", "_act"]  # a missing city is a city
+    rows = df.withColumns({"_act": F.when(able, act), "_venue": F.coalesce("venue", F.lit("")), "_city": F.coalesce("city", F.lit(""))})
     sizes = rows.where("_act is not null").groupBy(*key).count().where("count > 1").drop("count")
     groups = rows.join(sizes, key, "left_semi")
     filled = [c for c in _FILLED if c in df.columns]
-    member = F.struct((-richness(df)).alias("poor"), F.col("ord"), F.col("id"), url_host("url").alias("host"), F.col("first_seen"), *(F.col(c) for c in filled), F.lit(0).alias("merged"), F.array().cast("array<string>").alias("gone"))
+    others = F.transform(F.slice(F.split(headline("title"), r"\s\+\s"), 2, 99), lambda x: F.trim(F.regexp_replace(x, r"\s*\([^)]*\)", "")))
+    others = F.transform(F.filter(others, lambda x: (F.length(x) > 1) & (F.length(x) <= 60)), lambda x: F.struct(x.alias("name"), artist_key(x).alias("key")))
+    member = F.struct((-richness(df)).alias("poor"), F.col("ord"), F.col("id"), url_host("url").alias("host"), F.col("first_seen"), *(known(df, c).alias(c) for c in filled), artist_key("title").alias("key"), others.cast("array<struct<name:string,key:string>>").alias("others"), F.lit(0).alias("merged"), F.array().cast("array<string>").alias("gone"))
     kind = groups.select(member.alias("m")).schema["m"].dataType
 
     def joins(h: Column, b: Column) -> Column:
@@ -98,6 +108,9 @@ def merge_same_evening(df: DataFrame) -> DataFrame:
     def take(h: Column, b: Column) -> Column:
         fields = {f.name: h[f.name] for f in kind.fields}
         fields |= {c: F.coalesce(h[c], b[c]) for c in filled}
+        if "support" in filled:
+            named = F.slice(F.transform(F.filter(b["others"], lambda x: ~h["key"].contains(x["key"])), lambda x: x["name"]), 1, 4)
+            fields["support"] = F.coalesce(h["support"], b["support"], F.when(F.size(named) > 0, named))
         fields |= {"first_seen": F.least(h["first_seen"], b["first_seen"]), "merged": h["merged"] + 1, "gone": F.concat(h["gone"], F.array(b["id"]))}
         return F.struct(*(fields[f.name].cast(f.dataType).alias(f.name) for f in kind.fields))
 
@@ -109,7 +122,7 @@ def merge_same_evening(df: DataFrame) -> DataFrame:
     heads = heads.select(F.col("h.id").alias("id"), *(F.col(f"h.{c}").alias(f"_{c}") for c in [*filled, "first_seen"]), F.col("h.merged").alias("merged"))
     kept_groups = groups.join(heads, "id")
     for c in [*filled, "first_seen"]:
-        kept_groups = kept_groups.withColumn(c, F.col(f"_{c}"))
+        kept_groups = kept_groups.withColumn(c, F.coalesce(f"_{c}", c) if c in filled else F.col(f"_{c}"))
     alone = rows.join(sizes, key, "left_anti").withColumn("merged", F.lit(0))
     return kept_groups.select(*df.columns, "merged").unionByName(alone.select(*df.columns, "merged"))
 
@@ -210,6 +223,19 @@ def geocode_worklist(dimension: DataFrame, budget: int = 300) -> DataFrame:
     return dimension.where("lat is null").orderBy("vid").limit(budget)
 
 
+def containing(texts: DataFrame, text: str, words: DataFrame, word: str, size: int = 3) -> DataFrame:
+    """Pairs of rows whose ``text`` contains ``word``, joined by equal pieces: a word's first ``size`` letters (all of a
+    shorter one) are one of the pieces that a text has. Empty words are in no text."""
+
+    def of(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(k)))
+
+    pieces = F.flatten(F.array(*(of(k) for k in range(1, size + 1))))
+    cut = texts.withColumn("_piece", F.explode(F.array_distinct(pieces)))
+    found = words.where(F.length(word) > 0).withColumn("_piece", F.left(word, F.lit(size)))
+    return cut.join(found, "_piece").where(F.contains(F.col(text), F.col(word))).drop("_piece")
+
+
 def match_alerts(events: DataFrame, artists: DataFrame, venues: DataFrame, keywords: DataFrame) -> DataFrame:
     """(id, reason, rank): why a watch list asks for an event; an artist goes before a venue before a keyword.
 
@@ -222,29 +248,44 @@ def match_alerts(events: DataFrame, artists: DataFrame, venues: DataFrame, keywo
     keys = events.select("id", F.explode(acts(F.col("title"), F.col("support") if "support" in events.columns else None)).alias("act")).select("id", artist_key("act").alias("key"))
     exact = keys.join(a, "key").select("id", F.concat(F.lit("artiest: "), "name").alias("reason"), F.lit(1).alias("rank"))
     titles = events.select("id", artist_key("title").alias("tk"), F.lower("title").alias("low"), F.lower("venue").alias("vlow"))
-    within = titles.join(a.where("length(key) >= 6"), F.expr("contains(tk, key)")).select("id", F.concat(F.lit("artiest: "), "name").alias("reason"), F.lit(1).alias("rank"))
+    within = containing(titles, "tk", a.where("length(key) >= 6"), "key", 6).select("id", F.concat(F.lit("artiest: "), "name").alias("reason"), F.lit(1).alias("rank"))
     at = titles.join(venues.select("name", F.lower("name").alias("vlow")), "vlow").select("id", F.concat(F.lit("podium: "), "name").alias("reason"), F.lit(2).alias("rank"))
-    word = titles.join(keywords.select(F.lower("word").alias("word")), F.expr("contains(low, word)")).select("id", F.concat(F.lit("alarm: "), "word").alias("reason"), F.lit(3).alias("rank"))
+    word = containing(titles, "low", keywords.select(F.lower("word").alias("word")), "word").select("id", F.concat(F.lit("alarm: "), "word").alias("reason"), F.lit(3).alias("rank"))
     hits = exact.unionByName(within).unionByName(at).unionByName(word)
     return hits.groupBy("id").agg(F.min_by(F.struct("reason", "rank"), F.struct("rank", "reason")).alias("x")).select("id", "x.reason", "x.rank")
 
 
 def resolve_artists(artists: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """(key, artist_id): artists(key, variants array<struct<name,least,unknown_ok>>) against catalogue(artist_id, name, popularity).
+    """(key, artist_id): artists(key, variants array<struct<name,least,part,unknown_ok>>) against catalogue(artist_id, name, popularity).
 
-    The first variant that an equal comparing key finds counts; of several candidates the most popular.
+    The first variant of a whole name that an equal comparing key finds counts; of several candidates the most popular.
+    Variants that are ``part`` of a name, a side of a colon, count only if no whole one does and exactly one of them
+    finds somebody: where both sides are artists, neither is the name.
     """
-    v = artists.select("key", F.posexplode("variants").alias("place", "v")).select("key", "place", compare_key("v.name").alias("ck"), "v.least", "v.unknown_ok")
+    v = artists.select("key", F.posexplode("variants").alias("place", "v")).select("key", "place", compare_key("v.name").alias("ck"), "v.least", "v.unknown_ok", F.coalesce("v.part", F.lit(False)).alias("part"))
     c = catalogue.select("artist_id", compare_key("name").alias("ck"), "popularity").where("ck <> ''")
     ok = F.when(F.col("popularity").isNull(), F.col("unknown_ok")).otherwise(F.col("popularity") >= F.col("least"))
-    hits = v.join(c, "ck").where(ok)
-    return hits.groupBy("key").agg(F.min_by("artist_id", F.struct("place", (-F.coalesce("popularity", F.lit(-1))).alias("p"), "artist_id")).alias("artist_id"))
+    best = F.min_by("artist_id", F.struct((-F.coalesce("popularity", F.lit(-1))).alias("p"), "artist_id"))
+    hits = v.join(c, "ck").where(ok).groupBy("key", "place", "part").agg(best.alias("artist_id"))
+    whole = F.min_by("artist_id", F.when(~F.col("part"), F.col("place")))
+    found = hits.groupBy("key").agg(F.when(F.count_if(~F.col("part")) > 0, whole).when(F.count_if("part") == 1, F.max(F.when(F.col("part"), F.col("artist_id")))).alias("artist_id"))
+    return found.where("artist_id is not null")
+
+
+#: Names that no artist has.
+PROGRAMME_NAME = r"(?i)\s(ft\.?|feat\.?|featuring|presents?|met|with|spelen?|speelt|plays?)\s|,"
 
 
 def publish_matches(artists: DataFrame, found: DataFrame, cache: DataFrame, overrides: DataFrame) -> DataFrame:
-    """(key, artist_id, state): overrides(key, artist_id, skip) win, then what was found now, then cache(key, artist_id)."""
+    """(key, artist_id, state): overrides(key, artist_id, skip) win, then what was found now, then cache(key, artist_id).
+
+    A name that was looked up in vain is none, unless it has over 40 characters or reads like a programme: no artist's
+    name, so the search stays open. artists may carry ``name``.
+    """
     o = overrides.select("key", F.col("artist_id").alias("_o"), F.coalesce("skip", F.lit(False)).alias("_skip"), F.lit(True).alias("_over"))
-    out = artists.select("key").distinct().join(o, "key", "left").join(found.select("key", F.col("artist_id").alias("_f")), "key", "left").join(cache.select("key", F.col("artist_id").alias("_c"), F.lit(True).alias("_cached")), "key", "left")
+    named = F.min("name") if "name" in artists.columns else F.lit("")
+    out = artists.groupBy("key").agg(F.coalesce(named, F.lit("")).alias("_name")).join(o, "key", "left").join(found.select("key", F.col("artist_id").alias("_f")), "key", "left").join(cache.select("key", F.col("artist_id").alias("_c"), F.lit(True).alias("_cached")), "key", "left")
     best = F.when(F.col("_over"), F.col("_o")).otherwise(F.coalesce("_f", "_c"))
-    state = F.when(F.col("_skip"), "skip").when(best.isNotNull(), "found").when(F.col("_over") | F.col("_cached"), "none").otherwise("pending")
+    odd = (F.length("_name") > 40) | F.col("_name").rlike(PROGRAMME_NAME)
+    state = F.when(F.col("_skip"), "skip").when(best.isNotNull(), "found").when(F.col("_over"), "none").when(F.col("_cached"), F.when(odd, "pending").otherwise("none")).otherwise("pending")
     return out.select("key", best.alias("artist_id"), state.alias("state"))

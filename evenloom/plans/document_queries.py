@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +14,7 @@ from ..operators import documents as D
 from ..sources import calendar as K
 from ..streaming import snapshots as T
 from .agenda_queries import W, enriched
-from .binding import table
+from .binding import shared_dir, table
 from .extract_queries import _month
 
 
@@ -154,19 +153,10 @@ def s06(spark, sf_dir):
     return enriched(spark, sf_dir).select("id", F.row_number().over(Window.partitionBy("date").orderBy(t, "ord")).alias("place"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        root = "file://" + tempfile.mkdtemp(prefix="evenloom-stream-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def _streamed(out: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there and read what it wrote."""
     spark = out.sparkSession
-    place = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = out.writeStream.format("parquet").option("path", f"{place}/out").option("checkpointLocation", f"{place}/state").outputMode("append").trigger(availableNow=True).start()
     else:
@@ -203,7 +193,7 @@ def t01s(spark, sf_dir):
     n = e.where("user_id % 50 % 3 <> 0 or day(ts) < 12").groupBy((F.col("user_id") % 50).alias("source"), F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
     grid = sources.withColumn("day", F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-30").cast("date"))))
     counts = grid.join(n, ["source", "day"], "left").select(F.col("source").cast("string").alias("source"), F.col("day").cast("timestamp").alias("night"), F.coalesce("n", F.lit(0)).alias("n"))
-    place = f"{_shared(spark)}/counts-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/counts-{uuid.uuid4().hex}"
     counts.write.parquet(place)
     return _streamed(T.safety_net(spark.readStream.schema(counts.schema).parquet(place)), "append").select("source", F.to_date("night").alias("night"), "n", "verdict")
 

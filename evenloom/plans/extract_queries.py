@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..functions import extract as X
+from ..functions.display import MONTHS as SHORT
 from ..operators import payload as P
 from .binding import table
 
@@ -16,19 +17,31 @@ def _month(c):
     return F.element_at(F.array(*(F.lit(m) for m in NL)), F.month(c))
 
 
-@query("x01_extract_date", "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS date FROM lineitem WHERE l_linenumber <= 3")
+EN = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+
+
+@query("x01_extract_date", "SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS date FROM lineitem")
 def x01(spark, sf_dir):
+    """Seven ways to write a date, among numbers, times, prices and lower-case mays that are none."""
     d = F.to_date("l_shipdate")
-    today = F.to_date(F.concat(F.lit("20"), F.substring(F.year(d).cast("string"), 3, 2), F.lit("-01-01")))
-    # ship dates lie in the 1990s or later; the extractor reads years from 2000 on, so shift by a whole cycle of 28 years where needed
+    # years of 2000 and later are read, so dates before them move by a whole cycle of 28 years
     shift = F.when(F.year(d) < 2000, 28).otherwise(0)
     moved = F.add_months(d, 12 * shift)
-    full = F.concat_ws(" ", F.lit("Kom op"), F.dayofmonth(moved).cast("string"), _month(moved), F.year(moved).cast("string"), F.lit("om 20:30 naar de zaal"))
-    numeric = F.concat(F.lit("Kaarten 12,50. "), F.date_format(moved, "d-M-yyyy"), F.lit(" en 1 mei 2030"))
-    label = F.concat(F.lit("1 mei 2031 geplaatst. Datum: "), F.dayofmonth(moved).cast("string"), F.lit(" "), _month(moved), F.lit(" "), F.year(moved).cast("string"))
-    text = F.when(F.col("l_linenumber") == 1, full).when(F.col("l_linenumber") == 2, numeric).otherwise(label)
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select("l_orderkey", "l_linenumber", text.alias("text"), today.alias("t"), shift.alias("shift"))
-    return X.with_date(rows, "text", F.col("t")).select("l_orderkey", "l_linenumber", F.add_months("date", F.col("shift") * -12).alias("date"))
+    day, year = F.dayofmonth(moved).cast("string"), F.year(moved).cast("string")
+    english = F.element_at(F.array(*(F.lit(m) for m in EN)), F.month(moved))
+    texts = (
+        F.concat_ws(" ", F.lit("Kom op"), day, _month(moved), year, F.lit("om 20:30 naar de zaal")),
+        F.concat(F.lit("Kaarten 12,50. "), F.date_format(moved, "d-M-yyyy"), F.lit(" en 1 mei 2030")),
+        F.concat(F.lit("1 mei 2031 geplaatst. Datum: "), day, F.lit(" "), _month(moved), F.lit(" "), year),
+        F.concat(F.lit("05 Maassilo, 31 februari 2025, "), day, F.lit(" "), F.element_at(F.array(*(F.lit(m) for m in SHORT)), F.month(moved)), F.lit(" '"), F.substring(year, 3, 2), F.lit(" 20:30")),
+        F.concat(F.lit("you may 3 times. "), english, F.lit(" "), day, F.lit("th, "), year),
+        F.concat(F.lit("zaal 12 Junior "), day, F.lit(" "), _month(moved), F.lit(" , "), year, F.lit(" 19 uur")),
+        F.concat(F.lit("32-1-2026 en "), F.date_format(moved, "dd/MM/yyyy")),
+    )
+    k = F.col("l_linenumber")
+    text = F.coalesce(*(F.when(k == n + 1, t) for n, t in enumerate(texts)))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.alias("text"), shift.alias("shift"))
+    return X.with_date(rows, "text", F.lit("2024-01-10").cast("date")).select("l_orderkey", "l_linenumber", F.add_months("date", F.col("shift") * -12).alias("date"))
 
 
 @query("x01b_year_inference", "SELECT event_id, CAST(ts AS DATE) AS date FROM events")
@@ -39,10 +52,10 @@ def x01b(spark, sf_dir):
     return X.with_date(rows, "text", F.lit("2023-12-20").cast("date")).select("event_id", "date")
 
 
-@query("x02_parse_iso", "SELECT event_id, CAST(timezone('Europe/Amsterdam', timezone('UTC', ts)) AS DATE) AS date, strftime(timezone('Europe/Amsterdam', timezone('UTC', ts)), '%H:%M') AS time FROM events WHERE strftime(timezone('Europe/Amsterdam', timezone('UTC', ts)), '%H:%M') <> '00:00'")
+@query("x02_parse_iso", "SELECT event_id, CAST(timezone('Europe/Amsterdam', timezone('UTC', ts)) AS DATE) AS date, nullif(strftime(timezone('Europe/Amsterdam', timezone('UTC', ts)), '%H:%M'), '00:00') AS time FROM events")
 def x02(spark, sf_dir):
     date, clock = X.parse_iso(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-    return table(spark, sf_dir, "events").select("event_id", date.alias("date"), clock.alias("time")).where("time is not null")
+    return table(spark, sf_dir, "events").select("event_id", date.alias("date"), clock.alias("time"))
 
 
 @query("x03_date_in_title", "SELECT event_id, concat('act ', event_id) AS name, CAST(ts AS DATE) AS date FROM events")
@@ -103,11 +116,20 @@ def x18(spark, sf_dir):
     return P.page_links(table(spark, sf_dir, "pages")).groupBy("url").agg(F.count("*").alias("links"))
 
 
-@query("x14_pick_title", "SELECT page_id, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS title FROM pages WHERE NOT regexp_matches(html, '<h1>[^<]*[|&–•-][^<]*</h1>') AND length(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1))) >= 2")
+@query("x14_pick_title", r"""
+WITH p AS (SELECT page_id, url, trim(regexp_replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '\s+', ' ', 'g')) AS h FROM pages),
+b AS (SELECT *, CASE WHEN regexp_matches(h, '\s[|–—]\s') THEN CASE page_id % 4 WHEN 3 THEN replace(regexp_replace(concat(h, ' op vr 3 oktober 2026 naar The Venue!'), '\s*[|–—]\s*[^|–—]{2,40}$', ''), ' op vr 3 oktober 2026 naar The Venue!', '') ELSE regexp_replace(h, '\s*[|–—]\s*[^|–—]{2,40}$', '') END ELSE h END AS cut FROM p),
+t AS (SELECT *, regexp_replace(cut, '^[ \-|!]+|[ \-|!]+$', '', 'g') AS t, list_extract(string_split(regexp_replace(regexp_replace(string_split(string_split(url, '?')[1], '#')[1], '^[a-z]+://[^/]*', ''), '/+$', ''), '/'), -1) AS last FROM b),
+w AS (SELECT *, trim(regexp_replace(regexp_replace(last, '^\d+-|-\d+$|\.\w+$', '', 'g'), '[-_]+', ' ', 'g')) AS words FROM t)
+SELECT page_id, CASE WHEN page_id % 5 <> 0 AND length(t) >= 2 THEN t ELSE concat(upper(words[1]), words[2:]) END AS title FROM w""")
 def x14(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").where(~F.col("html").rlike("<h1>[^<]*[|&–•-][^<]*</h1>"))
-    h1, t = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return p.where(F.length(F.trim(h1)) >= 2).select("page_id", X.pick_title(h1, F.lit(None).cast("string"), t, F.col("url"), F.lit("example")).alias("title"))
+    """Headings as they are, bars and dashes included, with the site's name, day or place behind; some name no show."""
+    h = F.trim(F.regexp_replace(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), r"\s+", " "))
+    k = F.col("page_id") % 4
+    full = F.when(k == 0, h).when(k == 1, F.concat(h, F.lit(" | The Venue"))).when(k == 2, F.concat(h, F.lit(" - the venue"))).otherwise(F.concat(h, F.lit(" op vr 3 oktober 2026 naar The Venue!")))
+    shown = F.when(F.col("page_id") % 5 == 0, "Agenda | The Venue").otherwise(full)
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "pages").select("page_id", X.pick_title(shown, none, none, F.col("url"), F.lit("The Venue")).alias("title"))
 
 
 @query("x19_sitemap", "SELECT 'example.org' AS host, concat('https://example.org/e/', o_custkey) AS link, strftime(max(o_orderdate), '%Y-%m-%d') AS lastmod FROM orders GROUP BY 2")

@@ -176,6 +176,16 @@ def d04(spark, sf_dir):
     return R.merge_same_evening(_hours(spark, sf_dir)).select("id", "merged", "time", "price")
 
 
+@query("d04b_same_evening_support", f"""{W} SELECT id, 1 AS merged, array_to_string(['CARNE'], ',') AS support, ord % 1000 AS doors FROM agenda WHERE vtype NOT IN ('film', 'festival')""")
+def d04b(spark, sf_dir):
+    """Every evening stands on two sites: the hall's with the doors, the other with the support act in its title, some without a city."""
+    k = F.col("ord")
+    act = F.concat(F.lit("Carsick "), k.cast("string"))
+    first = agenda(spark, sf_dir).where("vtype not in ('film', 'festival')").withColumns({"title": act, "url": F.lit("https://hall.example/x"), "end": F.lit(None).cast("date"), "genre": F.lit("Pop"), "doors": (k % 1000).cast("int"), "support": F.array().cast("array<string>"), "city": F.when(k % 3 != 0, F.col("city"))})
+    second = first.withColumns({"id": F.concat(F.lit("x"), "id"), "title": F.concat(F.upper(act), F.lit(" + CARNE (BE)")), "url": F.lit("https://www.other.example/y"), "doors": F.lit(None).cast("int"), "time": F.col("time") + 100, "price": F.lit(None).cast("double")})
+    return R.merge_same_evening(first.unionByName(second)).select("id", "merged", F.array_join("support", ",").alias("support"), "doors")
+
+
 @query("d05_multi_venue")
 def d05(spark, sf_dir):
     rows = agenda(spark, sf_dir).withColumns({"time": (F.col("time") / 360).cast("int") * 360, "title": F.concat("title", F.lit(" big band night"), F.when(F.col("ord") % 2 == 0, " extra").otherwise("")), "vtype": F.when(F.col("vtype") == "film", "cafe").otherwise(F.col("vtype"))})
@@ -230,24 +240,35 @@ def j06(spark, sf_dir):
     return R.match_alerts(agenda(spark, sf_dir), artists, venues, words)
 
 
-@query("j08_resolve_artists", """WITH c AS (SELECT p_name, p_partkey, p_size, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) AS r FROM part WHERE p_size >= 20) SELECT concat(p_name, '!') AS key, p_partkey AS artist_id FROM c WHERE r = 1""")
+@query("j08_resolve_artists", """WITH c AS (SELECT p_name, p_partkey, p_size, row_number() OVER (PARTITION BY p_name ORDER BY p_size DESC, p_partkey) AS r FROM part WHERE p_size >= 20),
+    b AS (SELECT p_name, p_partkey FROM c WHERE r = 1), n AS (SELECT DISTINCT p_name FROM part)
+    SELECT concat(p_name, '!') AS key, p_partkey AS artist_id FROM b
+    UNION ALL SELECT concat(p_name, ': nobody'), p_partkey FROM b""")
 def j08(spark, sf_dir):
+    """Whole names, names with an artist on one side of a colon, and names with one on both sides, which stay open."""
     p = table(spark, sf_dir, "part")
-    v = F.struct(F.concat(F.lit("The "), F.upper("p_name")).alias("name"), F.lit(20).alias("least"), F.lit(False).alias("unknown_ok"))
-    artists = p.select("p_name").distinct().select(F.concat("p_name", F.lit("!")).alias("key"), F.array(v.withField("name", F.lit("nobody at all")), v).alias("variants"))
+    item = lambda name, part: F.struct(name.alias("name"), F.lit(20).alias("least"), F.lit(part).alias("part"), F.lit(False).alias("unknown_ok"))
+    the, nobody = F.concat(F.lit("The "), F.upper("p_name")), F.lit("nobody at all")
+    names = p.select("p_name").distinct()
+    kinds = (("!", F.array(item(nobody, False), item(the, False))), (": nobody", F.array(item(nobody, False), item(the, True), item(nobody, True))), (": both", F.array(item(nobody, False), item(the, True), item(F.upper("p_name"), True))))
+    artists = None
+    for end, variants in kinds:
+        one = names.select(F.concat("p_name", F.lit(end)).alias("key"), variants.alias("variants"))
+        artists = one if artists is None else artists.union(one)
     catalogue = p.select(F.col("p_partkey").alias("artist_id"), F.col("p_name").alias("name"), F.col("p_size").alias("popularity"))
     return R.resolve_artists(artists, catalogue)
 
 
 @query("j09_publish_matches", """SELECT p_partkey AS key, CASE WHEN p_partkey % 5 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN p_partkey + 7 WHEN p_partkey % 3 = 0 THEN p_partkey WHEN p_partkey % 4 = 0 THEN NULL END AS artist_id,
-    CASE WHEN p_partkey % 5 = 0 THEN 'skip' WHEN p_partkey % 5 = 1 OR p_partkey % 3 = 0 THEN 'found' WHEN p_partkey % 4 = 0 THEN 'none' ELSE 'pending' END AS state FROM part""")
+    CASE WHEN p_partkey % 5 = 0 THEN 'skip' WHEN p_partkey % 5 = 1 OR p_partkey % 3 = 0 THEN 'found' WHEN p_partkey % 4 = 0 AND p_partkey % 7 > 1 THEN 'none' ELSE 'pending' END AS state FROM part""")
 def j09(spark, sf_dir):
     k = F.col("p_partkey")
-    p = table(spark, sf_dir, "part").select(k.alias("key"), "p_partkey")
+    name = F.when(k % 7 == 0, F.concat(F.lit("A"), "p_name", F.lit(" feat. B"))).when(k % 7 == 1, F.rpad("p_name", 41, "x")).otherwise(F.left("p_name", F.lit(20)))
+    p = table(spark, sf_dir, "part").select(k.alias("key"), "p_partkey", F.regexp_replace(name, ",", "").alias("name"))
     found = p.where(k % 3 == 0).select("key", k.alias("artist_id"))
     cache = p.where(k % 4 == 0).select("key", F.lit(None).cast("bigint").alias("artist_id"))
     over = p.where(k % 5 < 2).select("key", F.when(k % 5 == 1, k + 7).alias("artist_id"), (k % 5 == 0).alias("skip"))
-    return R.publish_matches(p.select("key"), found, cache, over)
+    return R.publish_matches(p.select("key", "name"), found, cache, over)
 
 
 @query("a05_artists", f"{W} SELECT regexp_replace(lower(title), '[^a-z0-9]', '', 'g') AS key, arg_min(title, ord) AS name, min(date) AS first_date FROM agenda GROUP BY 1")

@@ -61,6 +61,27 @@ def not_yet_sent(hits: DataFrame, days: int = 60) -> DataFrame:
     return hits.withWatermark("night", f"{days} days").dropDuplicatesWithinWatermark(["id"])
 
 
-def handover_carry(counts: DataFrame, days: int = 14) -> DataFrame:
-    """The safety net of hand-overs: previous items stay up to 14 days when a source of six or more returns none."""
-    return safety_net(counts, 6, days)
+def handover_carry(counts: DataFrame, days: int = 14, least: int = 6) -> DataFrame:
+    """counts(source, night, n), a row per source and night -> VERDICTS of hand-overs.
+
+    A source that gives none where it had ``least`` items or more keeps those for up to ``days`` days after they were
+    fetched ("houd"), the last day included; then they go ("vervallen"). ok is the night of the items that count.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fetched, held = state.get if state.exists else (None, 0)
+        rows = pd.concat(list(frames)).sort_values("night")
+        out = []
+        for night, n in zip(rows["night"], rows["n"]):
+            stamp = int(night.value // 1000)
+            if n or held < least:
+                verdict, fetched, held = "ok", stamp, int(n)
+            elif (stamp - fetched) // 86_400_000_000 <= days:
+                verdict = "houd"
+            else:
+                verdict, fetched, held = "vervallen", stamp, 0
+            out.append((key[0], night, int(n), verdict, pd.Timestamp(fetched * 1000)))
+        state.update((fetched, held))
+        yield pd.DataFrame(out, columns=["source", "night", "n", "verdict", "ok"])
+
+    return counts.groupBy("source").applyInPandasWithState(step, VERDICTS, "fetched long, held long", "append", GroupStateTimeout.NoTimeout)

@@ -1,10 +1,11 @@
 """Operators with ordered or stateful logic against plain loops and hand cases."""
 
-from datetime import date
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from evenloom.functions import extract as X
 from evenloom.operators import agenda as A
 from evenloom.operators import clean as L
 from evenloom.operators import documents as D
@@ -139,3 +140,60 @@ def test_weekend(spark, first, last, day):
     w = spark.range(1).select(A.weekend_range(F.lit(day).cast("date")).alias("w")).first().w
     assert (w.first, w.last) == (first, last)
 
+
+
+def test_handover_keeps_items_for_fourteen_days_of_silence(spark, tmp_path):
+    from evenloom.streaming import snapshots
+
+    start = date(2026, 1, 1)
+    counts = {"a": [10, 3, 0, 7, *[0] * 20, 5], "b": [5, 0, 0, 6, 0, 1], "c": [0, 0, 6, *[0] * 14, 2], "d": [100, 10, 0]}
+    rows = [(s, datetime(2026, 1, 1) + timedelta(days=k), n) for s, ns in counts.items() for k, n in enumerate(ns)]
+    want = []
+    for s, ns in counts.items():
+        held, fetched = 0, None
+        for k, n in enumerate(ns):
+            day = start + timedelta(days=k)
+            if n or held < 6:
+                held, fetched, verdict = n, day, "ok"
+            elif (day - fetched).days <= 14:
+                verdict = "houd"
+            else:
+                held, fetched, verdict = 0, day, "vervallen"
+            want.append((s, day, n, verdict, fetched))
+    spark.createDataFrame(rows, "source string, night timestamp, n long").write.parquet(f"{tmp_path}/in")
+    stream = snapshots.handover_carry(spark.readStream.schema("source string, night timestamp, n long").parquet(f"{tmp_path}/in"))
+    stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    got = [(r.source, r.night.date(), r.n, r.verdict, r.ok.date()) for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(got) == sorted(want) and {"houd", "vervallen"} <= {r[3] for r in got}
+
+
+def test_dates_in_text(spark):
+    cases = {
+        "3 jan '23 20:30": date(2023, 1, 3), "op 15 okt 26": date(2026, 10, 15), "15 okt 26 uur": date(2024, 10, 15), "3 okt 12:40": date(2024, 10, 3), "12 november , 2026": date(2026, 11, 12), "05 Maassilo 12 Junior": None,
+        "May 5, 2027": date(2027, 5, 5), "you may 5, 2027": None, "October 15th": date(2024, 10, 15), "31 februari 2025, 1 mei": date(2024, 5, 1), "1 november": date(2024, 11, 1), "1 mei 2030. Datum: 16-10": date(2024, 10, 16), "Datum vr. 3/4": date(2024, 4, 3),
+        "2 jan": date(2024, 1, 2), "3-1-2026 of 2 jan 2025": date(2026, 1, 3), "32-1-2026": None, "": None, "9 nov 2023": date(2023, 11, 9), "10 december": date(2024, 12, 10), "30 oktober": date(2024, 10, 30),
+    }
+    df = spark.createDataFrame([(t,) for t in cases] + [(None,)], "t string")
+    got = {r.t: r.date for r in X.with_date(df, "t", F.lit("2024-01-10").cast("date")).collect()}
+    assert got == cases | {None: None}
+
+
+def test_artists_on_both_sides_of_a_colon_stay_open(spark):
+    kind = "key string, variants array<struct<name:string,least:int,part:boolean,unknown_ok:boolean>>"
+    item = lambda n, part=False: (n, 0, part, False)
+    rows = [("one", [item("Nobody"), item("Left", True), item("Gone", True)]), ("both", [item("Left", True), item("Right", True)]), ("whole", [item("Right"), item("Left", True)])]
+    catalogue = spark.createDataFrame([(1, "Left", 50), (2, "Right", 60), (3, "right", 10)], "artist_id int, name string, popularity int")
+    assert {r.key: r.artist_id for r in R.resolve_artists(spark.createDataFrame(rows, kind), catalogue).collect()} == {"one": 1, "whole": 2}
+
+
+def test_support_from_the_other_title_isn_t_lost(spark):
+    cols = EVENT + ", support array<string>, doors int"
+    rows = [event(1, city=None, title="Coilguns (extra)") + ([], 1170), event(2, city=None, title="COILGUNS + Haatdrager (NL) + Coilguns", time=1230) + (None, None)]
+    got = {r.id: (r.support, r.doors, r.merged) for r in R.merge_same_evening(spark.createDataFrame(rows, cols)).collect()}
+    assert got == {"e1": (["Haatdrager"], 1170, 1)}
+
+
+def test_containing_joins_by_pieces(spark):
+    texts = spark.createDataFrame([(1, "the quick fox"), (2, "ab"), (3, ""), (4, None)], "id int, text string")
+    words = spark.createDataFrame([("quick",), ("x",), ("ab",), ("he q",), ("",), ("zebra",), ("abc",)], "word string")
+    assert sorted((r.id, r.word) for r in R.containing(texts, "text", words, "word").collect()) == [(1, "he q"), (1, "quick"), (1, "x"), (2, "ab")]
