@@ -26,7 +26,9 @@ GENRE_WORDS = (
     ("Nederlandstalig", ("hollandse", "toppers", "nederlandstalig", "smartlap")),
     ("Lezing", ("lezing", "talk", "podcast", "debat", "college")), ("Toneel", ("toneel", "voorstelling", "theater")),
 )
+#: Genres as published.
 DEFAULT_GENRE = {"pop": "Overig", "concert": "Klassiek", "arena": "Overig", "cafe": "Overig", "thea": "Theater", "museum": "Tentoonstelling", "festival": "Festival", "film": "Film"}
+#: Genres as published.
 ALLOWED_GENRES = ("Pop", "Rock", "Indie", "Metal", "Punk", "Hiphop", "Dance", "Jazz", "Soul/Funk", "Blues", "Folk/Americana", "Wereld", "Nederlandstalig", "Singer-songwriter", "Klassiek", "Tribute", "Feest", "Cabaret", "Lezing", "Jeugd", "Toneel", "Musical", "Dans", "Opera", "Muziektheater", "Show", "Circus")
 
 

@@ -132,12 +132,12 @@ def c08(spark, sf_dir):
     return e.select("id", D.link_eligibility(e).alias("link"))
 
 
-@query("s09_calendar", f"""{W}, p AS (SELECT id, ord, title, venue, city, url, date, time, time + 120 AS e, car FROM enriched WHERE d <= 3 AND NOT started),
+@query("s09_calendar", f"""{W}, p AS (SELECT id, ord, title, venue, city, url, date, time, time + 120 AS e, car FROM enriched),
     v AS (SELECT id, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', concat('UID:', id), concat('DTSTART;TZID=Europe/Amsterdam:', strftime(date, '%Y%m%dT'), lpad(CAST(time // 60 AS VARCHAR), 2, '0'), lpad(CAST(time % 60 AS VARCHAR), 2, '0'), '00'),
     concat('DTEND;TZID=Europe/Amsterdam:', strftime(date + CAST(e // 1440 AS INTEGER), '%Y%m%dT'), lpad(CAST(e % 1440 // 60 AS VARCHAR), 2, '0'), lpad(CAST(e % 60 AS VARCHAR), 2, '0'), '00'), concat('SUMMARY:', title), concat('LOCATION:', venue, chr(92), ', ', city), concat('URL:', url), 'BEGIN:VALARM', 'ACTION:DISPLAY', concat('TRIGGER:-PT', car + 30, 'M'), 'END:VALARM', 'END:VEVENT') AS vevent FROM p)
     SELECT id, md5(vevent) AS digest FROM v""")
 def s09(spark, sf_dir):
-    return K.calendar_events(enriched(spark, sf_dir).where("d <= 3 and not started")).select("id", F.md5("vevent").alias("digest"))
+    return K.calendar_events(enriched(spark, sf_dir)).select("id", F.md5("vevent").alias("digest"))
 
 
 @query("s10_share_text", f"{W} SELECT id, concat(title, ' – ', venue, ', ', city, ', ', strftime(date, '%d-%m'), chr(10), url) AS share, concat('https://www.google.com/maps/dir/?api=1&destination=', replace(replace(replace(concat(venue, ', ', city), '#', '%23'), ',', '%2C'), ' ', '+')) AS map FROM enriched")

@@ -67,11 +67,11 @@ def t08(spark, sf_dir):
     return S.gate(_cleaned(spark, sf_dir), 100)
 
 
-@query("f07_used_venues", f"{W} SELECT DISTINCT v FROM agenda WHERE genre = 'view'")
+@query("f07_used_venues", f"{W} SELECT DISTINCT v FROM agenda")
 def f07(spark, sf_dir):
     from .binding import venues
 
-    return L.used_venues(venues(spark, sf_dir), agenda(spark, sf_dir).where("genre = 'view'")).select("v")
+    return L.used_venues(venues(spark, sf_dir), agenda(spark, sf_dir)).select("v")
 
 
 @query("f08_known_others", f"{W} SELECT ord, CASE WHEN (v + 3) % 10 <> 4 AND v + 3 IN (SELECT c_custkey FROM customer) THEN CAST(v + 3 AS VARCHAR) END AS others FROM agenda")
@@ -337,9 +337,9 @@ def s12(spark, sf_dir):
     return S.snapshot_before(e, TODAY).select("event_id")
 
 
-@query("q23_alert_digest", f"{W}, h AS (SELECT ord, title FROM agenda WHERE title = 'act 77' AND status = 'sold'), n AS (SELECT count(*) AS n FROM h) SELECT title AS message, 1 AS n FROM h, n WHERE n <= 8 UNION ALL SELECT string_agg(title, chr(10) ORDER BY ord) AS message, any_value(n) AS n FROM (SELECT h.*, n FROM h, n WHERE n > 8 ORDER BY ord LIMIT 15) x HAVING count(*) > 0")
+@query("q23_alert_digest", f"{W}, h AS (SELECT ord, title FROM agenda WHERE status = 'sold'), n AS (SELECT count(*) AS n FROM h) SELECT title AS message, 1 AS n FROM h, n WHERE n <= 8 UNION ALL SELECT string_agg(title, chr(10) ORDER BY ord) AS message, any_value(n) AS n FROM (SELECT h.*, n FROM h, n WHERE n > 8 ORDER BY ord LIMIT 15) x HAVING count(*) > 0")
 def q23(spark, sf_dir):
-    h = agenda(spark, sf_dir).where("title = 'act 77' and status = 'sold'").select("id", "ord", F.col("title").alias("line"))
+    h = agenda(spark, sf_dir).where("status = 'sold'").select("id", "ord", F.col("title").alias("line"))
     return S.alert_digest(h)
 
 
