@@ -366,6 +366,72 @@ def lanes(slots: DataFrame) -> DataFrame:
     return done.select("v", "day", F.explode("x").alias("x")).select("v", "day", "x.id", "x.lane")
 
 
+def act_blocks(times: Column, doors: Column, key: Column) -> Column:
+    """Blocks of known act times (s in minutes, a): an act ends five minutes before the next one, after 15 minutes at least;
+    the main act, by its key or else the last, after 120 at most and the others after 75."""
+    own = F.array_position(F.transform(times, lambda x: artist_key(x["a"]) == key), True).cast("int")
+    n = F.size(times)
+    main = F.when(own > 0, own).otherwise(n) - 1
+
+    def block(x: Column, i: Column) -> Column:
+        following = F.get(times, i + 1)["s"]
+        end = F.when(following.isNotNull(), F.greatest(x["s"] + 15, following - 5)).otherwise(x["s"] + F.when(i == main, 90).otherwise(45))
+        end = F.when((i == main) & following.isNull(), x["s"] + 90).otherwise(F.least(end, x["s"] + F.when(i == main, 120).otherwise(75)))
+        return F.struct(F.when(i == main, "main").otherwise("sup").alias("k"), x["s"].cast("int").alias("s"), end.cast("int").alias("e"), F.lit(False).alias("est"))
+
+    first = F.get(times, F.lit(0))["s"]
+    door = F.array(F.struct(F.lit("door").alias("k"), doors.cast("int").alias("s"), F.least(doors + 30, first).cast("int").alias("e"), F.lit(False).alias("est")))
+    blocks = F.transform(times, block)
+    return F.when(doors < first, F.concat(door, blocks)).otherwise(blocks)
+
+
+def first_films(df: DataFrame) -> DataFrame:
+    """A showing that a house's own agenda and the film agenda both have stands once: the first by venue name, date, time
+    and bare title; a missing time is a time. All other events stay."""
+    name = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    key = [name(F.col("venue")).alias("_v"), F.col("date"), F.col("time"), F.regexp_replace(F.lower("title"), "[^a-z0-9]", "").alias("_t")]
+    films = df.where(F.col("type") == "film")
+    first = films.groupBy(*key).agg(F.min("ord").alias("ord")).select("ord")
+    return films.join(first, "ord", "left_semi").select(df.columns).unionByName(df.where(~F.coalesce(F.col("type") == "film", F.lit(False))))
+
+
+def unfinished(df: DataFrame, ends: DataFrame, now: int) -> DataFrame:
+    """Events without those of today that are over: ends(id, end_minute), else two hours after their time, lie behind ``now``.
+
+    Periods, events of earlier days and those without a time aren't over.
+    """
+    timed = df.join(ends.groupBy("id").agg(F.max("end_minute").alias("_end")), "id", "left")
+    over = (F.col("d") == 0) & ~F.col("started") & F.col("end_d").isNull() & F.col("time").isNotNull() & (F.coalesce("_end", F.col("time") + 120) <= now)
+    return timed.where(~F.coalesce(over, F.lit(False))).select(df.columns)
+
+
+def grid_hours(slots: DataFrame, events: DataFrame) -> DataFrame:
+    """(d, first, last, unknown): the whole hours that a day's schedule spans, three at least, and its events without a time."""
+    start = F.col("time") - F.when(F.col("type") == "thea", 30).otherwise(0)
+    ends = slots.groupBy("id").agg(F.max_by("e", "s").alias("_e"))
+    day = events.join(ends, "id", "left").groupBy("d").agg(F.min(start).alias("a"), F.max(F.when(F.col("time").isNotNull(), F.col("_e"))).alias("b"), F.count_if(F.col("time").isNull()).alias("unknown"))
+    first = (F.floor(F.col("a") / 60) * 60).cast("int")
+    return day.select("d", first.alias("first"), F.greatest(first + 180, (F.ceil(F.col("b") / 60) * 60).cast("int")).alias("last"), "unknown")
+
+
+def venue_list(df: DataFrame, kinds: Sequence[str] = (), query: str = "") -> DataFrame:
+    """(key, name, city, type, n, next_d, car): venues of the same name and city with their number of events and next day."""
+    key = F.lower(F.concat_ws("|", "venue", "city"))
+    rows = df.withColumns({"key": key, "_hay": search_fold(F.concat_ws(" ", "venue", "city"))})
+    if kinds:
+        rows = rows.where(F.col("vtype").isin(*kinds))
+    if query.strip():
+        words = F.filter(F.split(search_fold(F.lit(query)), r"\s+"), lambda w: w != "")
+        rows = rows.where(F.forall(words, lambda w: F.col("_hay").contains(w)))
+    return rows.groupBy("key").agg(F.min_by("venue", "ord").alias("name"), F.min_by("city", "ord").alias("city"), F.min_by("vtype", "ord").alias("type"), F.count("*").alias("n"), F.min("d").alias("next_d"), F.min_by("car", "ord").alias("car"))
+
+
+def venue_agenda(df: DataFrame, key: str) -> DataFrame:
+    """A venue's events with their ``place`` on its page: what runs already, then by day and time, unknown times last."""
+    own = df.where(F.lower(F.concat_ws("|", "venue", "city")) == key)
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("venue").orderBy(F.col("started").desc(), "d", F.coalesce("time", F.lit(1440)), "ord")))
+
+
 def time_slots(df: DataFrame) -> DataFrame:
     """One row per block of an event's evening: (id, k, s, e, est), k is door, sup or main.
 
@@ -384,8 +450,10 @@ def time_slots(df: DataFrame) -> DataFrame:
     with_support = F.when(start > door, start).otherwise(door + 30 + 55 * n)
     first_support = F.greatest(with_support - 55 * n, door + 15)
     supports = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: block("sup", first_support + 55 * i, first_support + 55 * i + 40, yes))
+    acts = has(df, "times", "array<struct<s:int,a:string>>")
     blocks = (
-        F.when(F.col("time").isNull() & start.isNull(), F.array().cast("array<struct<k:string,s:int,e:int,est:boolean>>"))
+        F.when(F.size(acts) > 0, act_blocks(acts, doors, F.col("ak") if "ak" in df.columns else F.lit("")))
+        .when(F.col("time").isNull() & start.isNull(), F.array().cast("array<struct<k:string,s:int,e:int,est:boolean>>"))
         .when(F.col("type") == "film", F.array(block("main", t, t + F.coalesce(dur, F.lit(120)), dur.isNull())))
         .when(F.col("type") == "thea", F.array(block("door", F.coalesce(doors, t - 30), t, doors.isNull()), block("main", t, t + 120, no)))
         .when((F.col("genre") == "Feest") | ((F.col("genre") == "Dance") & (t >= 1320)), F.array(block("main", t, t + 240, no)))

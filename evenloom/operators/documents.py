@@ -168,6 +168,41 @@ def timetable(df: DataFrame, rows: str, title: str) -> DataFrame:
     return out.drop("_rows", "_acts", "_mins", "_main")
 
 
+#: Words that give a timetable's row a role, begin its label, or are all that is left of one without a name.
+ROLE = r"(?i)^(?:support(?:[ -]?acts?)?|opener|(?:very\s+)?special\s+guests?|voorprogramma|gast(?:act)?)\b[\s:–-]*"
+BEGINS = r"(?i)^(?:aanvang|start|begin)\b[\s:–-]*"
+NAMELESS = r"(?i)^(?:de\s+|het\s+)?(?:show|concert|voorstelling|programma|optreden|hoofdact|hoofdprogramma|main\s*act|headliner)?$"
+
+
+def timetable_roles(df: DataFrame, rows: str, title: str) -> DataFrame:
+    """Add doors, tot, start, support and times from an array of (time, label) rows whose labels say who plays what.
+
+    A start without a name is the main act's, named by the title; openers, guests and supports are support acts, and of
+    no use without a name. Rows may come in any order; after an evening, times before six count as the next morning.
+    Without a main act there are no start and no times.
+    """
+    bare = lambda c: F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")), r"^[ :–-]+|[ :–-]+$", "")
+    minute = lambda s: F.left(s, F.lit(2)).cast("int") * 60 + F.right(s, F.lit(2)).cast("int")
+    at = lambda r: F.nullif(F.regexp_extract(r["time"], r"\b([01]?\d|2[0-3])[:.]([0-5]\d)", 0), F.lit(""))
+    clean = F.filter(F.transform(rows, lambda r: F.struct(F.lpad(F.replace(at(r), F.lit("."), F.lit(":")), 5, "0").alias("s"), bare(r["label"]).alias("a"))), lambda r: r["s"].isNotNull() & (r["a"] != "") & ~r["a"].rlike(VIP))
+    out = df.withColumn("_rows", clean)
+    ends = r"(?i)eind|\bend\b|curfew"
+    first = lambda found: F.get(F.filter("_rows", found), F.lit(0))["s"]
+    out = out.withColumns({"tot": first(lambda r: r["a"].rlike(ends)), "doors": first(lambda r: ~r["a"].rlike(ends) & r["a"].rlike(DOORS))})
+    rest = lambda r: F.regexp_replace(r["a"], BEGINS, "")
+    acts = F.transform(F.filter("_rows", lambda r: ~r["a"].rlike(ends) & ~r["a"].rlike(DOORS)), lambda r: F.struct(r["s"].alias("s"), rest(r).rlike(ROLE).alias("sup"), (rest(r) != r["a"]).alias("begins"), bare(F.regexp_replace(rest(r), ROLE, "")).alias("a")))
+    acts = F.filter(acts, lambda x: (x["sup"] | x["begins"]) & ~(x["sup"] & x["a"].rlike(NAMELESS)))
+    acts = F.transform(acts, lambda x: F.struct(minute(x["s"]).alias("m"), x["s"].alias("s"), x["sup"].alias("sup"), F.when(x["a"].rlike(NAMELESS), F.col(title)).otherwise(x["a"]).alias("a")))
+    out = out.withColumn("_acts", F.filter(acts, lambda x: F.length(x["a"]) <= 80))
+    late = F.array_max(F.transform("_acts", lambda x: x["m"])) >= 720
+    placed = F.transform("_acts", lambda x, i: F.struct(F.when(late & (x["m"] < 360), x["m"] + 1440).otherwise(x["m"]).alias("m"), i.alias("i"), x["s"].alias("s"), x["sup"].alias("sup"), x["a"].alias("a")))
+    out = out.withColumn("_acts", F.array_sort(placed)).withColumn("_main", F.array_position(F.transform("_acts", lambda x: x["sup"]), False).cast("int"))
+    main = F.when(F.col("_main") > 0, F.col("_main"))
+    support = F.slice(F.transform(F.filter("_acts", lambda x, i: x["sup"] & (main.isNull() | (i < main - 1))), lambda x: x["a"]), 1, 6)
+    out = out.withColumns({"support": F.when(F.size(support) > 0, support), "start": F.get("_acts", main - 1)["s"], "times": F.when(main.isNotNull(), F.transform(F.slice("_acts", 1, 12), lambda x: F.struct(x["a"].alias("a"), x["s"].alias("s"))))})
+    return out.drop("_rows", "_acts", "_main")
+
+
 def valid_times(times: Column) -> Column:
     """Act times (a, s HH:MM) as minutes in order; six hours before the first is after midnight."""
     ok = F.filter(times, lambda t: t["s"].rlike(r"^\d{1,2}[:.]\d\d$") & (F.trim(t["a"]) != ""))

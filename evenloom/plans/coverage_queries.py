@@ -13,11 +13,12 @@ from ..operators import agenda as A
 from ..operators import audit as Q
 from ..operators import classify as C
 from ..operators import clean as L
+from ..operators import documents as D
 from ..operators import payload as P
 from ..operators import state as S
 from ..sources import snapshot
 from .agenda_queries import enriched
-from .binding import AGENDA_SQL, ENRICHED_SQL, TODAY, agenda, shared_dir, table
+from .binding import AGENDA_SQL, ENRICHED_SQL, NOW, TODAY, agenda, shared_dir, table
 
 W, E = f"WITH {AGENDA_SQL}", f"WITH {ENRICHED_SQL}"
 
@@ -175,3 +176,67 @@ def s06b(spark, sf_dir):
     snapshot.write_snapshot(e, venues, f"{TODAY} 08:00", path)
     events, _ = snapshot.read_snapshot(spark, path)
     return events.select("id", F.col("ord").alias("place"))
+
+
+def _hm(c):
+    return F.concat(F.lpad(F.floor(c / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((c % 60).cast("string"), 2, "0"))
+
+
+@query("x28_timetable_roles", """WITH e AS (SELECT event_id, event_id % 600 + 600 AS m FROM events), h AS (SELECT *, [lpad(CAST((m + k * 30) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((m + k * 30) % 60 AS VARCHAR), 2, '0') FOR k IN range(6)] AS t FROM e)
+    SELECT event_id, t[1] AS doors, t[6] AS tot, CASE event_id % 3 WHEN 2 THEN NULL ELSE t[4] END AS start, CASE event_id % 3 WHEN 0 THEN 'Opener One,Guest' WHEN 1 THEN NULL ELSE 'Opener One,Guest,Late' END AS support,
+    CASE event_id % 3 WHEN 0 THEN concat('Opener One ', t[2], ',Guest ', t[3], ',Title ', t[4]) WHEN 1 THEN concat('Title ', t[4], ',Somebody ', t[5]) END AS times FROM h""")
+def x28(spark, sf_dir):
+    """Schedules out of order with supports, guests, a nameless start, breaks and visits for a few; some without a main act."""
+    m, k = F.col("event_id") % 600 + 600, F.col("event_id") % 3
+    row = lambda label, n: F.struct(F.concat(_hm(m + n * 30), F.lit(" uur")).alias("time"), F.lit(label).alias("label"))
+    both = [row("Verwacht einde show", 5), row("VIP early entry", 0), row("Deuren open", 0), row("Pauze", 2)]
+    first = F.array(*both, row("Aanvang:", 3), row("Aanvang support: Opener One", 1), row("Special guest - Guest", 2), row("Support", 1))
+    second = F.array(*both, row("Aanvang: Somebody", 4), row("Start  show", 3))
+    third = F.array(*both, row("Opener: Opener One", 1), row("Voorprogramma Late", 4), row("Special guests Guest", 2))
+    e = table(spark, sf_dir, "events").select("event_id", F.when(k == 0, first).when(k == 1, second).otherwise(third).alias("rows"), F.lit("Title").alias("title"))
+    out = D.timetable_roles(e, "rows", "title")
+    return out.select("event_id", "doors", "tot", "start", F.array_join("support", ",").alias("support"), F.array_join(F.transform("times", lambda x: F.concat_ws(" ", x["a"], x["s"])), ",").alias("times"))
+
+
+@query("q04b_act_times", """WITH e AS (SELECT event_id AS id, event_id % 300 + 1080 AS s FROM events)
+    SELECT id, 'door' AS k, s - 40 AS s, s - 10 AS e FROM e WHERE id % 2 = 0 UNION ALL SELECT id, 'sup', s, s + 35 FROM e UNION ALL SELECT id, CASE id % 3 WHEN 0 THEN 'main' ELSE 'sup' END, s + 40, CASE id % 3 WHEN 0 THEN s + 160 ELSE s + 115 END FROM e
+    UNION ALL SELECT id, CASE id % 3 WHEN 0 THEN 'sup' ELSE 'main' END, s + 200, CASE WHEN id % 5 = 0 THEN s + 260 WHEN id % 3 = 0 THEN s + 245 ELSE s + 290 END FROM e""")
+def q04b(spark, sf_dir):
+    i = F.col("event_id")
+    s = (i % 300 + 1080).cast("int")
+    act = lambda n, name: F.struct((s + n).alias("s"), F.lit(name).alias("a"))
+    e = table(spark, sf_dir, "events").select(i.alias("id"), s.alias("time"), F.lit("pop").alias("type"), F.lit("Pop").alias("genre"), F.when(i % 3 == 0, "theband").otherwise("nobody").alias("ak"), F.when(i % 2 == 0, s - 40).alias("doors"), F.when(i % 5 == 0, (s + 260) % 1440).alias("tot"), F.array(act(0, "One"), act(40, "The Band"), act(200, "Two")).alias("times"))
+    return A.time_slots(e).select("id", "k", "s", "e")
+
+
+@query("d06_first_films", f"{E}, f AS (SELECT *, row_number() OVER (PARTITION BY type, venue, date, time, ak ORDER BY ord) AS r FROM enriched) SELECT id FROM f WHERE type <> 'film' UNION ALL SELECT id FROM f WHERE type = 'film' AND r = 1")
+def d06(spark, sf_dir):
+    """Every showing stands twice, once with other capitals and signs."""
+    e = enriched(spark, sf_dir).select("id", "ord", "type", "venue", "date", "time", "title")
+    again = e.where("type = 'film'").withColumns({"id": F.concat(F.lit("x"), "id"), "ord": F.col("ord") + 10_000_000_000, "title": F.concat(F.upper("title"), F.lit("!")), "venue": F.upper("venue")})
+    return A.first_films(e.unionByName(again)).select("id")
+
+
+@query("q24b_unfinished", f"{E} SELECT id FROM enriched WHERE NOT coalesce(d = 0 AND NOT started AND end_d IS NULL AND CASE WHEN ord % 2 = 0 THEN time + 60 ELSE time + 120 END <= {NOW}, false)")
+def q24b(spark, sf_dir):
+    e = enriched(spark, sf_dir)
+    return A.unfinished(e, e.where("ord % 2 = 0").select("id", (F.col("time") + 60).alias("end_minute")), NOW).select("id")
+
+
+@query("q20b_grid_hours", f"{E}, t AS (SELECT *, CASE WHEN ord % 9 > 0 THEN time END AS t FROM enriched), g AS (SELECT d, min(t - CASE WHEN type = 'thea' THEN 30 ELSE 0 END) AS a, max(t + 90) AS b, count_if(t IS NULL) AS unknown FROM t GROUP BY d) SELECT d, a // 60 * 60 AS first, greatest(a // 60 * 60 + 180, CAST(ceil(b / 60) AS INTEGER) * 60) AS last, unknown FROM g")
+def q20b(spark, sf_dir):
+    e = enriched(spark, sf_dir).withColumn("time", F.when(F.col("ord") % 9 > 0, F.col("time")))
+    slots = e.where("time is not null").select("id", F.col("time").alias("s"), (F.col("time") + 90).alias("e"))
+    return A.grid_hours(slots, e)
+
+
+@query("q14b_venue_list", f"{E} SELECT lower(concat(venue, '|', city)) AS key, any_value(venue) AS name, any_value(city) AS city, any_value(vtype) AS type, count(*) AS n, min(d) AS next_d, min(car) AS car FROM enriched WHERE vtype IN ('pop', 'thea') AND city LIKE 'NATION_1%' GROUP BY venue, city")
+def q14b(spark, sf_dir):
+    return A.venue_list(enriched(spark, sf_dir), ("pop", "thea"), " nation_1 ")
+
+
+@query("q14c_venue_agenda", f"{E}, o AS (SELECT * FROM enriched WHERE venue = (SELECT min(venue) FROM enriched)) SELECT id, row_number() OVER (ORDER BY started DESC, d, coalesce(time, 1440), ord) AS place FROM o")
+def q14c(spark, sf_dir):
+    e = enriched(spark, sf_dir)
+    first = e.agg(F.min_by(F.lower(F.concat_ws("|", "venue", "city")), "venue").alias("key")).first()["key"]
+    return A.venue_agenda(e, first).select("id", "place")
