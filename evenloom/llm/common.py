@@ -76,11 +76,6 @@ def strings(column: pa.Array, each: int = 256) -> Iterator[str]:
         yield from column.slice(at, each).to_pylist()
 
 
-def u64_hex(column: Column) -> Column:
-    """A long as 16 lowercase hexadecimal digits of its 64 bits."""
-    return F.lower(F.lpad(F.hex(column), 16, "0"))
-
-
 def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], salt_from: str | Column, salts: int = 16) -> DataFrame:
     """Left join against ``right``, which has one row per key, where one key may hold a large part of ``left``.
 

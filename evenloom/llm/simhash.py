@@ -45,13 +45,8 @@ def shingle_hashes(text: str, size: int) -> list[int]:
     return [digest(data[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
 
 
-def fingerprints_of(texts: list[str], size: int, words: int) -> np.ndarray:
-    """(len(texts), words) unsigned longs; a bit is 1 if set in over half the hashes. No words: zero."""
-    return majorities((np.array(shingle_hashes(t, size), np.uint64) for t in texts), len(texts), words)
-
-
 def majorities(shingles: Iterable[np.ndarray], n: int, words: int) -> np.ndarray:
-    """The fingerprints of ``n`` arrays of hashes."""
+    """(n, words) unsigned longs, a fingerprint for each array of hashes: a bit is 1 if set in over half of them. None: zero."""
     out = np.zeros((n, words), np.uint64)
     pending: list[np.ndarray] = []
     rows: list[int] = []
@@ -111,13 +106,6 @@ def block_tables(words: int, blocks: int, agree: int) -> list[np.ndarray]:
     return [np.concatenate(x) for x in itertools.combinations(parts, agree)]
 
 
-def strided_tables(words: int, key_bits: int, rounds: int = 3) -> list[np.ndarray]:
-    """Several partitions of all bits in keys of ``key_bits`` bits: neighbouring bits, then bits in other fixed orders."""
-    n = 64 * words
-    orders = [np.arange(n) * step % n for step in (1, 2 * (n // key_bits) + 1, 2 * key_bits + 45, 77)[:rounds]]  # odd steps: permutations
-    return [t for order in orders for t in np.array_split(order, n // key_bits)]
-
-
 def pivots(words: int, count: int = PIVOTS) -> np.ndarray:
     """Reference fingerprints: fixed, evenly random, the same on every executor."""
     return np.random.default_rng(20240229).integers(0, 1 << 64, (count, words), dtype=np.uint64)
