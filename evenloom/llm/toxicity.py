@@ -198,13 +198,13 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, balance: flo
             found = [x for t in batch.column(1).to_pylist() for x in swaps(distinct_words(t), groups)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)], ["old", "new"])
 
-    got = rows.mapInArrow(described, "toxic int, features binary").collect()  # at most max_rows
-    got.sort(key=lambda r: (r.toxic, r.features))
+    got = rows.mapInArrow(described, "toxic int, features binary").toArrow()  # at most max_rows
+    texts = sorted(zip(got.column("toxic").to_pylist(), got.column("features").to_pylist()))
     # pairs of terms, and the few ways in which their features may overlap with a text's other words
-    pairs = rows.mapInArrow(swapped, "old binary, new binary").groupBy("old", "new").count().collect()
-    pairs.sort(key=lambda r: (r.old, r.new))
+    got = rows.mapInArrow(swapped, "old binary, new binary").groupBy("old", "new").count().toArrow()
+    pairs = sorted(zip(*(got.column(c).to_pylist() for c in ("old", "new", "count"))))
     buckets = lambda b: np.frombuffer(b, np.int32)
-    return fit([buckets(r.features) for r in got], [r.toxic for r in got], [(buckets(r.old), buckets(r.new), r["count"]) for r in pairs], balance)
+    return fit([buckets(x) for _, x in texts], [y for y, _ in texts], [(buckets(a), buckets(b), n) for a, b, n in pairs], balance)
 
 
 def score_column(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callable[[Column], Column]:
