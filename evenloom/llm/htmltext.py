@@ -2,8 +2,9 @@
 
 A page is cut into blocks with the kind of markup around them. The token streams of a host's pages are concatenated
 and a suffix array, sorted to a depth of ``MIN_TOKENS`` tokens, finds the substrings of at least that length and the
-number of different pages that hold them; longer substrings are chains of overlapping ones. Pages whose longest shown
-block is the same count as one, so copies of a page repeat nothing.
+number of different pages that hold them; longer substrings are chains of overlapping ones. Pages that share the blocks
+which make up ``SAME`` of their shown text, longest first, are one page in these counts, so that copies repeat nothing,
+however long a notice they carry: the page with the smallest hash of its row counts for them all.
 
 - Where no markup tells a page's article, a run of tokens on at least ``OPEN`` pages is boilerplate and is cut from its
   block, and the unique runs stay.
@@ -12,9 +13,12 @@ block is the same count as one, so copies of a page repeat nothing.
 - Menus, footers, adverts and the like never count; where a form or an element with a telling name holds all of a
   page's article, or the whole of a page without one, it hides nothing.
 
-Both limits are a least number of pages and a least share of the host's. A host of any size is handled whole: its pages
-are dealt to shards, each shard's suffix array names the runs that reach the share there (a run that reaches it in the
-host does so in a shard), all shards count those runs, and the sums decide. The result doesn't depend on the shards.
+Both limits are a least number of pages and a least share of the host's. A host of any size is handled whole: the pages
+that count are dealt to shards of some ``SHARD_PAGES``, each shard's suffix array names the runs that reach the share there
+(a run that reaches it in the host does so in a shard), all shards count those runs, and the sums decide. A shard names
+at most as many runs as ten of its pages hold, and not every one of a page as a shard of a few pages would, so what the
+shards tell each other grows with the host. Then all pages, dealt by row, lose what was found. The result doesn't depend
+on the shards.
 """
 
 from __future__ import annotations
@@ -29,13 +33,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, ready, whole
+from .common import durable, ready, strings, whole
 
 MIN_TOKENS = 6
 #: Least number of a host's different pages, and the least share of them (one in so many).
 OPEN, INSIDE = (3, 10), (10, 2)
-#: A host of more html is dealt to shards of about so many bytes; at most MOST_SPLIT hosts are.
-SHARD_BYTES, MOST_SPLIT = 1 << 18, 1_000_000
+#: The share of a page's shown text that tells pages apart.
+SAME = 0.8
+#: A host of more html is dealt to shards of about so many bytes, but so many pages; at most MOST_SPLIT hosts are.
+SHARD_BYTES, SHARD_PAGES, MOST_SPLIT = 1 << 18, 64, 1_000_000
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "math", "select", "xmp", "noembed", "noframes", "audio", "video"))
@@ -152,9 +158,15 @@ def page_blocks(page: str) -> tuple[str, list[str]]:
 
 
 def page_class(kinds: str, texts: list[str]) -> int:
-    """A number that pages with the same longest shown block share."""
-    longest = max((t for k, t in zip(kinds, texts) if k != ASIDE_BLOCK), key=lambda t: (len(t), t), default="")
-    return xxhash.xxh64_intdigest(longest.encode("utf-8", "surrogatepass")) >> 1
+    """A number that pages share if the same blocks make up ``SAME`` of their shown text, longest first; pages without any share one."""
+    shown = sorted((t for k, t in zip(kinds, texts) if k != ASIDE_BLOCK), key=lambda t: (-len(t), t))
+    need, number = SAME * sum(map(len, shown)), xxhash.xxh64()
+    for t in shown:
+        if need <= 0:
+            break
+        need -= len(t)
+        number.update(f"{t}\n".encode("utf-8", "surrogatepass"))
+    return number.intdigest() >> 1
 
 
 class SuffixArray:
@@ -201,19 +213,20 @@ class SuffixArray:
 
 
 class Pages:
-    """Pages of a host, or of one shard of it: their blocks, classes and suffix array."""
+    """Pages of a host, or of one shard of it, with their suffix array; ``counted`` tells which of them count."""
 
-    def __init__(self, pages: list[tuple[str, list[str]]], classes: list[int], runs: list[str] = ()):  # type: ignore[assignment]
+    def __init__(self, pages: list[tuple[str, list[str]]], counted: list[bool] | None, runs: list[str] = ()):  # type: ignore[assignment]
         self.pages = pages
         self.words = [[t.split(" ") for t in texts] for _, texts in pages]
         # two streams a page: the marked article and all else
         streams = self.streams = [[w for k, block in zip(kinds, words) if (k == ARTICLE) == inside for w in block] for (kinds, _), words in zip(pages, self.words) for inside in (True, False)]
-        _, number = np.unique(np.array(classes, np.int64), return_inverse=True)
-        self.n = int(number.max(initial=-1)) + 1
         self.array = SuffixArray(streams, [r.split(" ") for r in runs])
-        owner, marked = np.repeat(number, 2), np.arange(len(streams)) % 2 == 0
-        self.everywhere = self.array.spread(owner, np.ones(len(streams), bool))
-        self.inside = self.array.spread(owner, marked)
+        if counted is None:  # nothing is to be counted here
+            return
+        self.n = sum(counted)
+        owner, marked, counts = np.repeat(np.arange(len(pages)), 2), np.arange(len(streams)) % 2 == 0, np.repeat(np.array(counted, bool), 2)
+        self.everywhere = self.array.spread(owner, counts)
+        self.inside = self.array.spread(owner, marked & counts)
 
     def candidates(self) -> list[str]:
         """The runs on at least the smaller share of these pages."""
@@ -254,37 +267,42 @@ def host_texts(pages: Pages) -> list[str]:
 def main_texts(pages: list[str]) -> list[str]:
     """The texts of all pages of one host, from their html."""
     cut = [page_blocks(p) for p in pages]
-    return host_texts(Pages(cut, [page_class(*p) for p in cut]))
+    return host_texts(Pages(cut, firsts([page_class(*p) for p in cut], list(range(len(cut))))))
 
 
-PARSED = "page_id long, url string, host string, shards int, shard long, class long, body binary"
+def firsts(classes: list[int], order: list) -> list[bool]:
+    """Which pages are the first of their class."""
+    out, seen = [False] * len(classes), set()
+    for k in sorted(range(len(classes)), key=order.__getitem__):
+        if classes[k] not in seen:
+            seen.add(classes[k])
+            out[k] = True
+    return out
+
+
+PARSED = "page_id long, url string, host string, shards int, row long, class long, body binary"
 FOUND = "host string, run string"
 COUNTED = "host string, run string, pages long, inside long, n long"
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, host, shards, html) with the html cut in blocks, compressed for the way."""
+    """Rows (page_id, url, host, shards, row, html) with the html cut in blocks, compressed for the way."""
     for batch in batches:
         out = []
-        for shards, page in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+        for page in strings(batch.column(5), 64):
             kinds, texts = page_blocks(page)
-            number = page_class(kinds, texts)
             raw = "\n".join([kinds, *texts]).encode("utf-8", "surrogatepass")
-            out.append((number % shards, number, len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)))
-        cols = list(zip(*out)) if out else [()] * 3
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary())))], [x.split()[0] for x in PARSED.split(", ")])
+            out.append((page_class(kinds, texts), len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)))
+        cols = list(zip(*out)) if out else [()] * 2
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary())))], [x.split()[0] for x in PARSED.split(", ")])
 
 
-def opened(table: pa.Table, runs: list[str] = ()) -> Pages:  # type: ignore[assignment]
+def opened(table: pa.Table) -> list[tuple[str, list[str]]]:
     pages = []
     for body in table.column("body").to_pylist():
         kinds, *texts = pa.decompress(body[8:], int.from_bytes(body[:8], "little"), "zstd", asbytes=True).decode("utf-8", "surrogatepass").split("\n")
         pages.append((kinds, texts))
-    return Pages(pages, table.column("class").to_pylist(), runs)
-
-
-def _split(table: pa.Table) -> bool:
-    return len(table) > 0 and table.column("shards")[0].as_py() > 1
+    return pages
 
 
 def _arrow(spec: str) -> pa.Schema:
@@ -293,17 +311,17 @@ def _arrow(spec: str) -> pa.Schema:
 
 
 def propose(table: pa.Table) -> pa.Table:
-    """The candidates of a shard; a host that isn't split needs none."""
-    runs = opened(table).candidates() if _split(table) else []
+    """The candidates of a shard of pages that all count."""
+    runs = Pages(opened(table), [True] * len(table)).candidates()
     return pa.table({"host": [table.column("host")[0].as_py()] * len(runs), "run": runs}, _arrow(FOUND))
 
 
 def count(table: pa.Table, found: pa.Table) -> pa.Table:
     """A shard's pages with each of the host's candidates, and its number of pages beside each."""
-    if not _split(table) or not len(found):
+    if not len(table) or not len(found):
         return _arrow(COUNTED).empty_table()
     runs = found.column("run").to_pylist()
-    pages = opened(table, runs)
+    pages = Pages(opened(table), [True] * len(table), runs)
     at = pages.array.of_runs
     host = table.column("host")[0].as_py()
     return pa.table({"host": [host] * len(runs), "run": runs, "pages": pages.everywhere[at], "inside": pages.inside[at], "n": [pages.n] * len(runs)}, _arrow(COUNTED))
@@ -312,43 +330,57 @@ def count(table: pa.Table, found: pa.Table) -> pa.Table:
 RESULT = "page_id long, url string, text string, n_chars long"
 
 
+def result(table: pa.Table, texts: list[str]) -> pa.Table:
+    return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}, _arrow(RESULT))
+
+
+def decide_host(table: pa.Table) -> pa.Table:
+    """The texts of the pages of a host that isn't split."""
+    order = list(zip(table.column("row").to_pylist(), map(str, table.column("page_id").to_pylist()), map(str, table.column("url").to_pylist()), table.column("body").to_pylist()))
+    return result(table, host_texts(Pages(opened(table), firsts(table.column("class").to_pylist(), order))))
+
+
 def decide(table: pa.Table, judged: pa.Table) -> pa.Table:
-    """The texts of a host's pages, or of a shard's by the host's boilerplate."""
+    """The texts of a shard's pages by the host's boilerplate."""
     if not len(table):
         return _arrow(RESULT).empty_table()
-    if _split(table):
-        pages = opened(table, judged.column("run").to_pylist())
-        ranks, bad = pages.array.of_runs, {}
-        for c in ("open", "inside"):
-            bad[c] = np.zeros(pages.array.ranks, bool)
-            bad[c][ranks] = judged.column(c).to_numpy(zero_copy_only=False).astype(bool)
-        texts = pages.texts(bad["open"], bad["inside"])
-    else:
-        texts = host_texts(opened(table))
-    return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}, _arrow(RESULT))
+    pages = Pages(opened(table), None, judged.column("run").to_pylist())
+    ranks, bad = pages.array.of_runs, {}
+    for c in ("open", "inside"):
+        bad[c] = np.zeros(pages.array.ranks, bool)
+        bad[c][ranks] = judged.column(c).to_numpy(zero_copy_only=False).astype(bool)
+    return result(table, pages.texts(bad["open"], bad["inside"]))
 
 
-def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every page; null html counts as empty and has an empty text.
 
     Pages without a host in their url are one host's. Equal page_ids are separate pages. An empty table gives none.
-    ``shard_bytes`` only deals the work.
+    ``shard_bytes`` and ``shard_pages`` only deal the work.
     """
     spark = ready(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), whole("html").alias("html"))
-    sizes = durable(rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes")))
+    sizes = durable(rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("n")))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     shard = max(shard_bytes, -(-total // MOST_SPLIT))
+    number = F.least(F.ceil(F.col("bytes") / shard), F.floor(F.col("n") / shard_pages)).cast("int")
     # fewer than MOST_SPLIT hosts, as each has over total / MOST_SPLIT bytes
-    split = F.broadcast(sizes.where(F.col("bytes") > shard).select("host", F.ceil(F.col("bytes") / shard).cast("int").alias("shards")))
-    known = rows.join(split, "host", "left").select("page_id", "url", "host", F.coalesce("shards", F.lit(1)).alias("shards"), "html")
-    dealt = known.mapInArrow(parse, PARSED)
+    split = F.broadcast(sizes.where(F.col("bytes") > shard).select("host", number.alias("shards")).where("shards > 1"))
+    known = rows.join(split, "host", "left").select("page_id", "url", "host", F.coalesce("shards", F.lit(1)).alias("shards"), F.xxhash64("page_id", "url", "html").alias("row"), "html")
+    parsed = durable(known.mapInArrow(parse, PARSED))  # pages are parsed once
     key = ["host", "shard"]
-    everywhere = lambda df: df.join(split, "host").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - F.lit(1).cast("long")))).drop("shards")
-    found = dealt.groupBy(*key).applyInArrow(propose, FOUND).distinct()
-    counted = dealt.groupBy(*key).cogroup(everywhere(found).groupBy(*key)).applyInArrow(count, COUNTED)
+    small_hosts, large = parsed.where("shards = 1"), parsed.where("shards > 1")
+    counting = large.groupBy("host", "class").agg(F.min_by("body", F.struct("row", F.col("page_id").cast("string"), "url", "body")).alias("body"))
+    counting = durable(counting)
+    few = counting.groupBy("host").agg(F.greatest(F.lit(1), F.floor(F.count("*") / shard_pages)).cast("long").alias("shards"))
+    few = F.broadcast(durable(few))  # split hosts only
+    counting = counting.join(few, "host").select("host", F.pmod("class", "shards").alias("shard"), "body")
+    to_all = lambda df, shards: df.join(shards, "host").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1))).drop("shards")
+    found = durable(counting.groupBy(*key).applyInArrow(propose, FOUND).distinct())
+    counted = counting.groupBy(*key).cogroup(to_all(found, few).groupBy(*key)).applyInArrow(count, COUNTED)
     sums = counted.groupBy("host", "run").agg(*(F.sum(c).alias(c) for c in ("pages", "inside", "n")))
     least = lambda c, limit: (F.col(c) >= limit[0]) & (F.col(c) * limit[1] >= F.col("n"))
-    judged = sums.select("host", "run", least("pages", OPEN).alias("open"), least("inside", INSIDE).alias("inside")).where("open or inside")
-    return dealt.groupBy(*key).cogroup(everywhere(judged).groupBy(*key)).applyInArrow(decide, RESULT)
+    judged = durable(sums.select("host", "run", least("pages", OPEN).alias("open"), least("inside", INSIDE).alias("inside")).where("open or inside"))
+    dealt = large.withColumn("shard", F.pmod(F.col("row"), F.col("shards").cast("long")))
+    return dealt.groupBy(*key).cogroup(to_all(judged, split).groupBy(*key)).applyInArrow(decide, RESULT).unionByName(small_hosts.groupBy("host").applyInArrow(decide_host, RESULT))

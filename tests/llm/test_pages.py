@@ -139,10 +139,20 @@ def unmarked(page):
     return re.sub(r"(</?)(?:article|nav|footer)\b", r"\1div", page or "").replace('class="ad"', "")
 
 
-def plain_extract(rows):
-    """Texts by position: the rules on sets of token runs, host by host."""
+def plain_class(kinds, texts):
+    """The longest shown blocks that make up four fifths of the shown text."""
+    shown = sorted((t for c, t in zip(kinds, texts) if c != "-"), key=lambda t: (-len(t), t))
+    out = []
+    while sum(map(len, out)) < 0.8 * sum(map(len, shown)):
+        out.append(shown[len(out)])
+    return tuple(out)
+
+
+def plain_extract(rows, order=None):
+    """Texts by position: the rules on sets of token runs, host by host; ``order`` tells which page counts for its class."""
     import re
 
+    order = order or (lambda r, k: k)
     hosts = {}
     for k, (_, url, page) in enumerate(rows):
         m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", url or "")
@@ -150,10 +160,11 @@ def plain_extract(rows):
     out = {}
     for members in hosts.values():
         cut = {k: htmltext.page_blocks(rows[k][2] or "") for k in members}
-        classes = {k: max((t for c, t in zip(*cut[k]) if c != "-"), key=lambda t: (len(t), t), default="") for k in members}
+        classes = {k: plain_class(*cut[k]) for k in members}
+        speaks = {k: not any(classes[j] == classes[k] and order(rows[j], j) < order(rows[k], k) for j in members) for k in members}
         seen, inside = {}, {}
         stream = lambda k, own: [w for c, t in zip(*cut[k]) if (c == "a") == own for w in t.split()]  # noqa: B023, E731
-        for k in members:
+        for k in filter(speaks.get, members):
             for own in (True, False):
                 s = stream(k, own)
                 for i in range(len(s) - 5):
@@ -182,6 +193,46 @@ def plain_extract(rows):
     return [out[k] for k in range(len(rows))]
 
 
+def row_order(spark, rows):
+    """The hash of a row, by which the operator picks the page that counts."""
+    from pyspark.sql import functions as F
+
+    got = {(r.page_id, r.url, r.html): r.row for r in frame(spark, rows).select("page_id", "url", "html", F.xxhash64("page_id", "url", F.coalesce("html", F.lit(""))).alias("row")).collect()}
+    return lambda r, k: (got[r[:3]], k)
+
+
+NOTICE = " ".join(f"notice{k}" for k in range(126))
+
+
+def test_a_notice_longer_than_the_pages_own_blocks_goes(spark):
+    """The notice is each page's longest block, and the pages count as different all the same."""
+    texts = prose(6, 120)
+    pages = [f"<div>{NOTICE}</div>" + "".join(f"<div>{t}</div>" for t in texts[3 * k : 3 * k + 3]) for k in range(40)]
+    want = ["\n".join(texts[3 * k : 3 * k + 3]) for k in range(40)]
+    assert htmltext.main_texts(pages) == want
+    rows = [(k, "http://n.example/", p) for k, p in enumerate(pages)]
+    assert [r.text for r in htmltext.extract(frame(spark, rows), 10_000, 8).orderBy("page_id").collect()] == want
+
+
+def test_copies_of_one_page_above_a_shards_size(spark):
+    """Hundreds of copies of a page count once, keep their text, and are dealt by row."""
+    texts = prose(7, 60)
+    rows = [(k, "http://c.example/", f"<div>{BAR}</div><div>{texts[0]}</div><div>{texts[1]}</div>") for k in range(400)]
+    rows += [(1000 + k, "http://c.example/", f"<div>{BAR}</div><div>{t}</div>") for k, t in enumerate(texts[2:])]
+    got = {r.page_id: r.text for r in htmltext.extract(frame(spark, rows), 4_000, 8).collect()}
+    assert {got[k] for k in range(400)} == {f"{texts[0]}\n{texts[1]}"}
+    assert [got[1000 + k] for k in range(58)] == texts[2:]
+
+
+def test_candidates_grow_with_the_host():
+    """A shard of pages without repeated text names nothing; of those that repeat, no more than ten of its pages hold."""
+    for n in (40, 64, 128):
+        pages = [("s", [t]) for t in prose(8, n)]
+        assert htmltext.Pages(pages, [True] * n).candidates() == []
+        barred = [("ss", [f"{BAR} x{k} y{k}", t]) for k, (_, [t]) in enumerate(pages)]
+        assert len(htmltext.Pages(barred, [True] * n).candidates()) == 4  # of the nine words
+
+
 def test_extract_equals_the_plain_version_however_hosts_are_split(spark, sf_dir):
     given = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet").collect()]
     texts = prose(5, 30)
@@ -189,9 +240,9 @@ def test_extract_equals_the_plain_version_however_hosts_are_split(spark, sf_dir)
     bare = [(200_000 + i, u, unmarked(h)) for i, u, h in given]
     off = [(i, "\n".join(t for c, t in zip(*htmltext.page_blocks(h or "")) if c != "-")) for i, _, h in (*given, *bare, *made)]
     for rows in ([*given, *made], bare):
-        want = sorted(zip((r[0] for r in rows), plain_extract(rows)))
-        for shard_bytes in (htmltext.SHARD_BYTES, 20_000):
-            assert sorted((r.page_id, r.text) for r in htmltext.extract(frame(spark, rows), shard_bytes).collect()) == want
+        want = sorted(zip((r[0] for r in rows), plain_extract(rows, row_order(spark, rows))))
+        for sizes in ((htmltext.SHARD_BYTES, htmltext.SHARD_PAGES), (20_000, 8)):
+            assert sorted((r.page_id, r.text) for r in htmltext.extract(frame(spark, rows), *sizes).collect()) == want
     changed = [i for (i, text), (j, without) in zip(sorted(want), sorted(x for x in off if 200_000 <= x[0])) if text != without]
     assert len(changed) > 30  # given pages whose text the suffix array changes where markup tells nothing
 
