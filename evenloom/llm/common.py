@@ -92,27 +92,34 @@ def text_key() -> Column:
     return F.unhex(F.sha2(whole(), 256))
 
 
+def rowed(docs: DataFrame, key: Column, *others: str) -> DataFrame:
+    """(row, id, key, others): whole rows in one column, beside their id and key, so that no name of theirs can clash."""
+    return docs.select(F.struct(F.col("*")).alias("row"), F.col("doc_id").alias("id"), key.alias("key"), *others)
+
+
 def best_rows(docs: DataFrame, groups: DataFrame, key: Column) -> DataFrame:
     """One row of docs for each group of groups(text_key, group), which has one row per ``key`` of docs.
 
     The smallest id stays (a null id only if there is no other), then the smallest key; of rows that share both, the
     one whose other columns come first as JSON. All columns are kept.
     """
-    rows = docs.select(F.col("doc_id").alias("_id"), key.alias("text_key")).groupBy("_id", "text_key").count()
-    rows = durable(salted_lookup(rows, groups, ["text_key"], "_id"))
-    best = rows.groupBy("group").agg(F.min(F.struct(F.col("_id").isNull().alias("no"), "_id", "text_key")).alias("best"), F.count("*").alias("n"))
+    rows = docs.select(F.col("doc_id").alias("id"), key.alias("text_key")).groupBy("id", "text_key").count()
+    rows = durable(salted_lookup(rows, groups, ["text_key"], "id"))
+    best = rows.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id", "text_key")).alias("best"), F.count("*").alias("n"))
     several = salted_lookup(rows.drop("count"), best.where("n > 1"), ["group"], "text_key").where("best is not null")
-    gone = several.where(~(F.col("_id").eqNullSafe(F.col("best._id")) & (F.col("text_key") == F.col("best.text_key")))).select("_id", F.col("text_key").alias("_key"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
-    return once(left, rows.where("count > 1").select("_id", F.col("text_key").alias("_key")), key)
-
-
-def once(docs: DataFrame, repeated: DataFrame, key: Column) -> DataFrame:
-    """docs with one row of each (id, key) in ``repeated``(_id, _key): the one whose columns come first as JSON."""
-    repeated = durable(repeated)
-    if repeated.isEmpty():
-        return docs
-    same = docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key"))
-    row = F.struct(*docs.columns)
-    one = docs.join(repeated, same, "left_semi").groupBy(F.col("doc_id").alias("_id"), key.alias("_key")).agg(F.min_by(row, F.to_json(row)).alias("row"))
-    return docs.join(repeated, same, "left_anti").union(one.select("row.*"))
+    gone = several.where(~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("text_key") == F.col("best.text_key")))).select("id", F.col("text_key").alias("key"))
+    return left_over(rowed(docs, key), gone, rows.where("count > 1").select("id", F.col("text_key").alias("key")))
+
+
+def left_over(rows: DataFrame, gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The rows of rows(row, id, key), as they were before rowed(), whose (id, key) isn't in ``gone``; of those in
+    ``repeated`` the one whose columns come first as JSON."""
+    gone, repeated = durable(gone), durable(repeated)
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.key") == F.col(f"{b}.key"))
+    left = rows.alias("r").join(small(gone, gone.count()).alias("g"), same("r", "g"), "left_anti")
+    n = repeated.count()
+    if not n:
+        return left.select("row.*")
+    repeated = small(repeated, n).alias("d")
+    one = left.alias("r").join(repeated, same("r", "d"), "left_semi").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return left.alias("r").join(repeated, same("r", "d"), "left_anti").select("row").union(one.select("row")).select("row.*")

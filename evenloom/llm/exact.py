@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, once, partitions, ready, salted_lookup, whole
+from .common import durable, left_over, partitions, ready, rowed, salted_lookup, whole
 
 RUN = "run long, digest binary, n_bytes long, check_sum long, keep_id long, group_size long"
 
@@ -106,7 +106,5 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     one whose columns come first as JSON.
     """
     key = F.sha2(normalised(), 256)
-    found = durable(exact_groups(docs).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key"), "kept").groupBy("_id", "_key", "kept").agg(F.count("*").alias("rows")))
-    gone = found.where("not kept")
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
-    return once(left, found.where("kept and rows > 1").select("_id", "_key"), key)
+    found = durable(exact_groups(docs).select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("key"), "kept").groupBy("id", "key", "kept").agg(F.count("*").alias("rows")))
+    return left_over(rowed(docs, key), found.where("not kept").select("id", "key"), found.where("kept and rows > 1").select("id", "key"))

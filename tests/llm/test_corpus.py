@@ -549,3 +549,20 @@ def test_near_sets_of_more_copies_than_a_key_holds(spark):
     got = {bytes(r.text_key): r.group for r in jaccard.near_sets(df, 5, 2, 16).collect()}  # by components, in sub-blocks
     groups = [got[hashlib.sha256(t.encode()).digest()] for t in texts]
     assert len(set(groups[:40])) == 1 and len(set(groups)) == 6
+
+
+CLASHING = "_id _key _cell _row _words _draw _salt _weight _probability _kept row id key group text_key rows kept best n gone count others title_key source_key f0 component part node hi lo cells w t level".split()
+
+
+def test_rows_keep_columns_whatever_their_names(spark):
+    """Extra columns with the names of every helper column come through the row-keeping operators as they were."""
+    rows = [(1, "alpha beta gamma delta epsilon zeta eta"), (2, "alpha beta gamma delta epsilon zeta eta"), (3, "theta iota kappa lambda mu nu xi"), (3, "theta iota kappa lambda mu nu xi"), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHING)
+    docs = spark.createDataFrame([(i, t, "en", "s", *(f"{c}{k}" for c in CLASHING)) for k, (i, t) in enumerate(rows)], schema)
+    whole_rows = {tuple(r) for r in docs.collect()}
+    for kept in (exact.exact_dedup(docs), simhash.near_dedup(docs)):
+        assert kept.columns == docs.columns
+        got = [tuple(r) for r in kept.collect()]
+        assert {r[0] for r in got} == {1, 3, None} and len(got) == 3 and set(got) <= whole_rows
+    sampled = mixing.sample(docs)
+    assert sampled.columns == docs.columns and {tuple(r) for r in sampled.collect()} <= whole_rows
