@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir  # noqa: F401
+
 TODAY, NOW = "2024-01-10", 19 * 60
 HOME = (51.5555, 5.0913)
 _TYPES = {"BUILDING": "pop", "FURNITURE": "thea", "AUTOMOBILE": "film", "HOUSEHOLD": "museum", "MACHINERY": "festival"}
@@ -17,17 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one where none is set and one process on one machine is all there is."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="evenloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 def venues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Venue dimension; it grows with the customers, so the optimizer decides by size whether to broadcast it."""
     c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
