@@ -13,12 +13,13 @@ however long a notice they carry: the page with the smallest hash of its row cou
 - Menus, footers, adverts and the like never count; where a form or an element with a telling name holds all of a
   page's article, or the whole of a page without one, it hides nothing.
 
-Both limits are a least number of pages and a least share of the host's. A host of any size is handled whole: the pages
-that count are dealt to shards of some ``SHARD_PAGES``, each shard's suffix array names the runs that reach the share there
-(a run that reaches it in the host does so in a shard), all shards count those runs, and the sums decide. A shard names
-at most as many runs as ten of its pages hold, and not every one of a page as a shard of a few pages would, so what the
-shards tell each other grows with the host. Then all pages, dealt by row, lose what was found. The result doesn't depend
-on the shards.
+Both limits are a least number of pages and a least share of the host's. A host of any size is handled whole: its pages
+are dealt by row to shards of ``SHARD_BYTES``, and of ``SHARD_PAGES`` at least. Each shard's suffix array names the runs that
+reach the share among the pages that count there (a run that reaches it in the host does so in a shard), all shards count
+those runs, and the sums decide. A shard so names as many runs as ten of its pages hold at most, and not every one of
+a page as a shard of few pages would: what the shards tell each other grows with the host. Of hosts that have under
+``DIRECT`` such pages a shard, as most of theirs are copies, each shard counts all runs of the few at once. The result doesn't
+depend on the shards.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ OPEN, INSIDE = (3, 10), (10, 2)
 #: The share of a page's shown text that tells pages apart.
 SAME = 0.8
 #: A host of more html is dealt to shards of about so many bytes, but so many pages; at most MOST_SPLIT hosts are.
-SHARD_BYTES, SHARD_PAGES, MOST_SPLIT = 1 << 18, 64, 1_000_000
+SHARD_BYTES, SHARD_PAGES, DIRECT, MOST_SPLIT = 1 << 18, 64, 16, 1_000_000
 PIECE = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "object", "canvas", "math", "select", "xmp", "noembed", "noframes", "audio", "video"))
@@ -228,14 +229,14 @@ class Pages:
         self.everywhere = self.array.spread(owner, counts)
         self.inside = self.array.spread(owner, marked & counts)
 
-    def candidates(self) -> list[str]:
-        """The runs on at least the smaller share of these pages."""
+    def candidates(self, share: int = OPEN[1]) -> list[str]:
+        """The runs on one in ``share`` of these pages that count at least; 0 for all runs on such a page."""
         a = self.array
         first = np.full(a.ranks, -1)
         at = np.flatnonzero(a.full & (a.stream < a.n_streams))
         first[a.rank[at][::-1]] = at[::-1]
         flat = [w for s in self.streams for w in (*s, "")]
-        return [" ".join(flat[p : p + a.depth]) for p in first[(first >= 0) & (self.everywhere * OPEN[1] >= self.n)]]
+        return [" ".join(flat[p : p + a.depth]) for p in first[(first >= 0) & (self.everywhere > 0) & ((self.everywhere * share >= self.n) | (share == 0))]]
 
     def texts(self, bad: np.ndarray, bad_inside: np.ndarray) -> list[str]:
         """The pages' texts, given the ranks that are boilerplate outside and inside of articles."""
@@ -280,21 +281,28 @@ def firsts(classes: list[int], order: list) -> list[bool]:
     return out
 
 
-PARSED = "page_id long, url string, host string, shards int, row long, class long, body binary"
+PARSED = "page_id long, url string, host string, shards int, shard long, row long, class long, body binary"
 FOUND = "host string, run string"
-COUNTED = "host string, run string, pages long, inside long, n long"
+COUNTED = "host string, run string, pages long, inside long"
+
+
+def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (host, row, html) -> (host, class, row)."""
+    for batch in batches:
+        number = [page_class(*page_blocks(page)) for page in strings(batch.column(2), 64)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(number, pa.int64()), batch.column(1)], ["host", "class", "row"])
 
 
 def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, host, shards, row, html) with the html cut in blocks, compressed for the way."""
+    """Rows (page_id, url, host, shards, shard, row, html) with the html cut in blocks, compressed for the way."""
     for batch in batches:
         out = []
-        for page in strings(batch.column(5), 64):
+        for page in strings(batch.column(6), 64):
             kinds, texts = page_blocks(page)
             raw = "\n".join([kinds, *texts]).encode("utf-8", "surrogatepass")
             out.append((page_class(kinds, texts), len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)))
         cols = list(zip(*out)) if out else [()] * 2
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary())))], [x.split()[0] for x in PARSED.split(", ")])
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(6)), *(pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary())))], [x.split()[0] for x in PARSED.split(", ")])
 
 
 def opened(table: pa.Table) -> list[tuple[str, list[str]]]:
@@ -310,21 +318,40 @@ def _arrow(spec: str) -> pa.Schema:
     return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in spec.split(", "))])
 
 
-def propose(table: pa.Table) -> pa.Table:
-    """The candidates of a shard of pages that all count."""
-    runs = Pages(opened(table), [True] * len(table)).candidates()
+def _counting(table: pa.Table, beside: pa.Table) -> pa.Table:
+    """The shard's pages that count, one for each row number beside them."""
+    wanted, seen, at = set(beside.column("row").drop_null().to_pylist()), set(), []
+    for k, row in enumerate(table.column("row").to_pylist()):
+        if row in wanted and row not in seen:
+            seen.add(row)
+            at.append(k)
+    return table.take(pa.array(at, pa.int64()))
+
+
+def propose(table: pa.Table, firsts_here: pa.Table) -> pa.Table:
+    """The candidates of a shard of a split host."""
+    pages = _counting(table, firsts_here) if len(table) and len(firsts_here) else table.slice(0, 0)
+    if not len(pages) or firsts_here.column("direct")[0].as_py():
+        return _arrow(FOUND).empty_table()
+    runs = Pages(opened(pages), [True] * len(pages)).candidates()
     return pa.table({"host": [table.column("host")[0].as_py()] * len(runs), "run": runs}, _arrow(FOUND))
 
 
-def count(table: pa.Table, found: pa.Table) -> pa.Table:
-    """A shard's pages with each of the host's candidates, and its number of pages beside each."""
-    if not len(table) or not len(found):
+def count(table: pa.Table, beside: pa.Table) -> pa.Table:
+    """A shard's counting pages with each of the host's candidates, or with each run at all."""
+    pages = _counting(table, beside) if len(table) and len(beside) else table.slice(0, 0)
+    if not len(pages):
         return _arrow(COUNTED).empty_table()
-    runs = found.column("run").to_pylist()
-    pages = Pages(opened(table), [True] * len(table), runs)
-    at = pages.array.of_runs
+    every = opened(pages)
+    runs = beside.column("run").drop_null().to_pylist()
+    if any(beside.column("direct").drop_null().to_pylist()):
+        runs = Pages(every, [True] * len(every)).candidates(0)
+    if not runs:
+        return _arrow(COUNTED).empty_table()
+    found = Pages(every, [True] * len(every), runs)
+    at = found.array.of_runs
     host = table.column("host")[0].as_py()
-    return pa.table({"host": [host] * len(runs), "run": runs, "pages": pages.everywhere[at], "inside": pages.inside[at], "n": [pages.n] * len(runs)}, _arrow(COUNTED))
+    return pa.table({"host": [host] * len(runs), "run": runs, "pages": found.everywhere[at], "inside": found.inside[at]}, _arrow(COUNTED))
 
 
 RESULT = "page_id long, url string, text string, n_chars long"
@@ -334,16 +361,13 @@ def result(table: pa.Table, texts: list[str]) -> pa.Table:
     return pa.table({"page_id": table.column("page_id"), "url": table.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}, _arrow(RESULT))
 
 
-def decide_host(table: pa.Table) -> pa.Table:
-    """The texts of the pages of a host that isn't split."""
-    order = list(zip(table.column("row").to_pylist(), map(str, table.column("page_id").to_pylist()), map(str, table.column("url").to_pylist()), table.column("body").to_pylist()))
-    return result(table, host_texts(Pages(opened(table), firsts(table.column("class").to_pylist(), order))))
-
-
 def decide(table: pa.Table, judged: pa.Table) -> pa.Table:
-    """The texts of a shard's pages by the host's boilerplate."""
+    """The texts of a shard's pages by the host's boilerplate, or of a host's that isn't split by its own."""
     if not len(table):
         return _arrow(RESULT).empty_table()
+    if table.column("shards")[0].as_py() == 1:
+        order = list(zip(table.column("row").to_pylist(), table.column("body").to_pylist()))
+        return result(table, host_texts(Pages(opened(table), firsts(table.column("class").to_pylist(), order))))
     pages = Pages(opened(table), None, judged.column("run").to_pylist())
     ranks, bad = pages.array.of_runs, {}
     for c in ("open", "inside"):
@@ -356,31 +380,33 @@ def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES, shard_pages: int =
     """(page_id, url, text, n_chars) of every page; null html counts as empty and has an empty text.
 
     Pages without a host in their url are one host's. Equal page_ids are separate pages. An empty table gives none.
-    ``shard_bytes`` and ``shard_pages`` only deal the work.
+    ``shard_bytes`` and ``shard_pages`` only deal the work. Pages are parsed twice, for what tells them apart and for their
+    text, and travel once.
     """
     spark = ready(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), whole("html").alias("html"))
+    rows = rows.withColumn("row", F.xxhash64("page_id", "url", "html"))
     sizes = durable(rows.groupBy("host").agg(F.sum(F.octet_length("html")).alias("bytes"), F.count("*").alias("n")))
     total = sizes.agg(F.sum("bytes")).first()[0] or 0
     shard = max(shard_bytes, -(-total // MOST_SPLIT))
     number = F.least(F.ceil(F.col("bytes") / shard), F.floor(F.col("n") / shard_pages)).cast("int")
     # fewer than MOST_SPLIT hosts, as each has over total / MOST_SPLIT bytes
-    split = F.broadcast(sizes.where(F.col("bytes") > shard).select("host", number.alias("shards")).where("shards > 1"))
-    known = rows.join(split, "host", "left").select("page_id", "url", "host", F.coalesce("shards", F.lit(1)).alias("shards"), F.xxhash64("page_id", "url", "html").alias("row"), "html")
-    parsed = durable(known.mapInArrow(parse, PARSED))  # pages are parsed once
+    large = F.broadcast(sizes.where(F.col("bytes") > shard).select("host", number.alias("shards")).where("shards > 1"))
+    told_apart = rows.join(large.select("host"), "host", "left_semi").select("host", "row", "html").mapInArrow(classify, "host string, class long, row long")
+    speakers = durable(told_apart.groupBy("host", "class").agg(F.min("row").alias("row")))
+    split = F.broadcast(durable(speakers.groupBy("host").agg(F.count("*").alias("n")).join(large, "host").withColumn("direct", F.col("n") < DIRECT * F.col("shards"))))
+
+    known = rows.join(large, "host", "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
+    known = known.select("page_id", "url", "host", "shards", F.pmod("row", F.col("shards").cast("long")).alias("shard"), "row", "html")
     key = ["host", "shard"]
-    small_hosts, large = parsed.where("shards = 1"), parsed.where("shards > 1")
-    counting = large.groupBy("host", "class").agg(F.min_by("body", F.struct("row", F.col("page_id").cast("string"), "url", "body")).alias("body"))
-    counting = durable(counting)
-    few = counting.groupBy("host").agg(F.greatest(F.lit(1), F.floor(F.count("*") / shard_pages)).cast("long").alias("shards"))
-    few = F.broadcast(durable(few))  # split hosts only
-    counting = counting.join(few, "host").select("host", F.pmod("class", "shards").alias("shard"), "body")
-    to_all = lambda df, shards: df.join(shards, "host").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1))).drop("shards")
-    found = durable(counting.groupBy(*key).applyInArrow(propose, FOUND).distinct())
-    counted = counting.groupBy(*key).cogroup(to_all(found, few).groupBy(*key)).applyInArrow(count, COUNTED)
-    sums = counted.groupBy("host", "run").agg(*(F.sum(c).alias(c) for c in ("pages", "inside", "n")))
+    dealt = known.mapInArrow(parse, PARSED).groupBy(*key)
+    counting = speakers.join(split, "host").select("host", F.pmod("row", F.col("shards").cast("long")).alias("shard"), "row", "direct")
+    everywhere = lambda df: df.join(split.select("host", "shards"), "host").withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1))).drop("shards")
+    found = dealt.cogroup(counting.groupBy(*key)).applyInArrow(propose, FOUND).distinct()
+    beside = counting.withColumn("run", F.lit(None).cast("string")).unionByName(everywhere(found), allowMissingColumns=True)
+    counted = dealt.cogroup(beside.groupBy(*key)).applyInArrow(count, COUNTED)
+    sums = counted.groupBy("host", "run").agg(F.sum("pages").alias("pages"), F.sum("inside").alias("inside")).join(split.select("host", "n"), "host")
     least = lambda c, limit: (F.col(c) >= limit[0]) & (F.col(c) * limit[1] >= F.col("n"))
-    judged = durable(sums.select("host", "run", least("pages", OPEN).alias("open"), least("inside", INSIDE).alias("inside")).where("open or inside"))
-    dealt = large.withColumn("shard", F.pmod(F.col("row"), F.col("shards").cast("long")))
-    return dealt.groupBy(*key).cogroup(to_all(judged, split).groupBy(*key)).applyInArrow(decide, RESULT).unionByName(small_hosts.groupBy("host").applyInArrow(decide_host, RESULT))
+    judged = sums.select("host", "run", least("pages", OPEN).alias("open"), least("inside", INSIDE).alias("inside")).where("open or inside")
+    return dealt.cogroup(everywhere(judged).groupBy(*key)).applyInArrow(decide, RESULT)
