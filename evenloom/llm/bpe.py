@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import ready, strings, whole
 
-MEMO = 200_000
+MEMO, SLICE = 150_000, 1 << 16
 STATES = 200_000
+#: What a worker keeps of these from one task to the next.
+KEPT = 50_000
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:
@@ -145,10 +147,25 @@ class Transducer:
             at -= size[ends[at - 1]]
         return out[::-1]
 
-    def encode(self, piece: bytes) -> list[int]:
+    def encode(self, piece: bytes, window: int = 4096) -> list[int]:
         if piece in self.ranks:
             return [self.ranks[piece]]
-        return [t for tokens in self.stream(piece) for t in tokens]
+        if len(piece) > window:
+            return [t for tokens in self.stream(piece, window) for t in tokens]
+        if len(self.members) > self.max_states:
+            self.reset()
+        state, step, ends = self.start, self.step.get, []
+        for b in piece:
+            found = step(state * 256 + b)
+            state, token = found if found is not None else self.advance(state, b)
+            ends.append(token)
+        return self.path(ends, len(ends))
+
+    def trim(self) -> None:
+        if len(self.members) > KEPT:
+            self.reset()
+        if len(self.fits) > KEPT:
+            self.fits.clear()
 
 
 class Codec:
@@ -158,26 +175,32 @@ class Codec:
         self.transducer = Transducer(read_ranks(vocabulary))
         self.split = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}  # piece -> its ids, little-endian
+        self.older: dict[str, bytes] = {}  # those of the time before; what is used again goes on
         self.token = self.transducer.bytes_of
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         found = self.split(text)
-        known = self.pieces
-        if len(known) > MEMO:
-            known.clear()
-        try:
-            return b"".join([known[p] for p in found])
-        except KeyError:
-            out = []
-            for p in found:
-                ids = known.get(p)
-                if ids is None:
-                    ids = np.array(self.transducer.encode(p.encode("utf-8", "surrogatepass")), "<u4").tobytes()
-                    if len(p) <= 64:
-                        known[p] = ids
-                out.append(ids)
-            return b"".join(out)
+        return b"".join([self._ids(found[at : at + SLICE]) for at in range(0, len(found), SLICE)])
+
+    def _ids(self, found: list[str]) -> bytes:
+        if len(self.pieces) > MEMO:
+            self.older, self.pieces = self.pieces, {}
+        known, older = self.pieces, self.older.get
+        for p in set(found).difference(known):
+            ids = older(p)
+            if ids is None:
+                ids = np.array(self.transducer.encode(p.encode("utf-8", "surrogatepass")), "<u4").tobytes()
+            known[p] = ids
+        out = b"".join([known[p] for p in found])
+        for p in [p for p in set(found) if len(p) > 64]:  # long pieces seldom return
+            del known[p]
+        return out
+
+    def trim(self) -> None:
+        """Let go of most of what a task has gathered: a worker lives on, and others share its machine."""
+        self.pieces, self.older = {}, {}
+        self.transducer.trim()
 
     def decode(self, ids: bytes, chunk: int = 65536) -> Iterator[bytes]:
         """The bytes of the ids, a chunk of tokens at a time."""
@@ -281,6 +304,7 @@ def encoded(docs: DataFrame, vocabulary: bytes, pattern: str, ids: bool = False,
                 arrays.append(pa.array(list(cols[4]), pa.list_(pa.int32())))
                 names.append("token_ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
+        c.trim()
 
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long" + ", token_ids array<int>" * ids
     plain = docs.select(F.col(id_column).cast("long").alias("id"), whole(text_column).alias("text"))

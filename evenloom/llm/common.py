@@ -70,6 +70,13 @@ def whole(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], each: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches a few rows at a time, for what makes much of a row."""
+    for batch in batches:
+        for at in range(0, len(batch), each):
+            yield batch.slice(at, each)
+
+
 def strings(column: pa.Array, each: int = 256) -> Iterator[str]:
     """The values of a column of texts, a few at a time: a batch may hold many megabytes."""
     for at in range(0, len(column), each):

@@ -25,33 +25,58 @@ from pyspark.sql import functions as F
 from .common import best_rows, durable, partitions, ready, salted_lookup, strings, text_key, whole
 from .components import components
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+WORD, GAP = re.compile(rb"[^\x20\x09-\x0D]+"), re.compile(rb"[\x20\x09-\x0D]")
+#: Bytes of a text that are cut into words at once.
+PIECE = 1 << 20
 SEED = 42
 PIVOTS = 24
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)
 
 
-def shingle_hashes(text: str, size: int) -> list[int]:
-    """XXH64 of every run of ``size`` words (repeats included), A-Z lower-cased; the whole sequence if it is shorter."""
-    words = WORD.findall(text.encode("utf-8", "surrogatepass").lower())  # bytes.lower() folds A-Z only
-    if not words:
-        return []
-    data = b" ".join(words)
-    if len(words) <= size:
-        return [xxhash.xxh64_intdigest(data, SEED)]
-    ends = list(itertools.accumulate(map(len, words), lambda a, n: a + n + 1))
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    digest = xxhash.xxh64_intdigest
-    return [digest(data[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])]
+def word_pieces(text: str) -> Iterator[list[bytes]]:
+    """The words of a text, A-Z lower-cased, for about PIECE bytes of it at a time."""
+    raw, at = text.encode("utf-8", "surrogatepass").lower(), 0  # bytes.lower() folds A-Z only
+    while at < len(raw):
+        gap = GAP.search(raw, at + PIECE)
+        end = gap.start() if gap else len(raw)
+        yield WORD.findall(raw, at, end)
+        at = end
 
 
-def majorities(shingles: Iterable[np.ndarray], n: int, words: int) -> np.ndarray:
-    """(n, words) unsigned longs, a fingerprint for each array of hashes: a bit is 1 if set in over half of them. None: zero."""
+def shingle_hashes(text: str, size: int) -> np.ndarray:
+    """XXH64 of every run of ``size`` words, repeats included; of the whole sequence if it is shorter, and none without words."""
+    digest, out, words = xxhash.xxh64_intdigest, [], []
+    for piece in word_pieces(text):
+        words += piece
+        if len(words) < size:
+            continue
+        data = b" ".join(words)
+        ends = list(itertools.accumulate(map(len, words), lambda a, n: a + n + 1))
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        out.append(np.array([digest(data[a:b], SEED) for a, b in zip(starts, ends[size - 1 :])], np.uint64))
+        words = words[len(words) - size + 1 :]
+    if not out and words:
+        return np.array([digest(b" ".join(words), SEED)], np.uint64)
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def majorities(shingles: Iterable[np.ndarray], n: int, words: int, most: int = 1 << 15) -> np.ndarray:
+    """(n, words) unsigned longs, a fingerprint for each array of hashes: a bit is 1 if set in over half of them. None: zero.
+
+    Bits are unpacked for about ``most`` hashes at a time, also of one text.
+    """
     out = np.zeros((n, words), np.uint64)
     pending: list[np.ndarray] = []
     rows: list[int] = []
     held = 0
 
+    def packed(ones: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return np.packbits(ones * 2 > lengths[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+    def bits_of(hashes: np.ndarray, k: int) -> np.ndarray:
+        mixed = hashes if k == 0 else _remix(hashes, k)
+        return np.unpackbits(np.ascontiguousarray(mixed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
     def settle() -> None:
         nonlocal held
         if not rows:
@@ -60,20 +85,24 @@ def majorities(shingles: Iterable[np.ndarray], n: int, words: int) -> np.ndarray
         hashes = np.concatenate(pending)
         firsts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         for k in range(words):
-            mixed = hashes if k == 0 else _remix(hashes, k)
-            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, firsts, axis=0, dtype=np.int32)
-            out[rows, k] = np.packbits(ones * 2 > lengths[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+            out[rows, k] = packed(np.add.reduceat(bits_of(hashes, k), firsts, axis=0, dtype=np.int32), lengths)
         pending.clear()
         rows.clear()
         held = 0
 
+    def settle_long(i: int, hashes: np.ndarray) -> None:
+        for k in range(words):
+            ones = sum(bits_of(hashes[at : at + most], k).sum(axis=0, dtype=np.int64) for at in range(0, len(hashes), most))
+            out[i, k] = packed(ones[None, :], np.array([len(hashes)]))[0]
+
     for i, found in enumerate(shingles):
-        if len(found):
+        if len(found) > most:
+            settle_long(i, found)
+        elif len(found):
             pending.append(found)
             rows.append(i)
             held += len(found)
-            if held > 1 << 15:
+            if held > most:
                 settle()
     settle()
     return out
@@ -92,7 +121,7 @@ def fingerprint(docs: DataFrame, shingle: int = 3, words: int = 1, id_column: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = majorities((np.array(shingle_hashes(t, shingle), np.uint64) for t in strings(batch.column(1))), len(batch), words).view(np.int64)
+            found = majorities((shingle_hashes(t, shingle) for t in strings(batch.column(1))), len(batch), words).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(words))], ["id", *names])
 
     ready(docs.sparkSession)

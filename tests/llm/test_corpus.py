@@ -566,3 +566,22 @@ def test_rows_keep_columns_whatever_their_names(spark):
         assert {r[0] for r in got} == {1, 3, None} and len(got) == 3 and set(got) <= whole_rows
     sampled = mixing.sample(docs)
     assert sampled.columns == docs.columns and {tuple(r) for r in sampled.collect()} <= whole_rows
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    """Pieces and slices of a text change neither hashes nor fingerprints, and a long text takes little memory."""
+    import tracemalloc
+
+    text = " ".join(f"Word{k % 977}\t\n{k}" for k in range(4000))
+    want = simhash.shingle_hashes(text, 5)
+    print3 = simhash.majorities([want, want[:7]], 2, 4)
+    monkeypatch.setattr(simhash, "PIECE", 50)
+    assert (simhash.shingle_hashes(text, 5) == want).all()
+    assert (simhash.majorities([want, want[:7]], 2, 4, most=100) == print3).all()
+    assert len(simhash.shingle_hashes("a b", 5)) == 1 and len(simhash.shingle_hashes(" \n", 5)) == 0
+    monkeypatch.undo()
+    tracemalloc.start()
+    long = "alpha beta gamma delta " * 450_000  # 10 MB
+    simhash.majorities([simhash.shingle_hashes(long, 3)], 1, 1)
+    assert tracemalloc.get_traced_memory()[1] < 130e6  # a hundred MB of text: ten times the text, the hashes and a piece's words
+    tracemalloc.stop()
