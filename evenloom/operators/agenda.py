@@ -322,15 +322,35 @@ def facets(df: DataFrame) -> DataFrame:
     return df.select(value.alias("x")).groupBy("x.facet", "x.value").agg(F.count("*").alias("n"))
 
 
-def plan_overlaps(plans: DataFrame) -> DataFrame:
-    """plans(owner, id, s, e in absolute minutes) -> (owner, id, overlaps): the first other plan that intersects.
-
-    Plans are joined within the days they touch, so the join has an equality to work on.
+def plan_overlaps(plans: DataFrame, slice_minutes: int = 1440) -> DataFrame:
+    """plans(owner, id, s, e in absolute minutes) -> (owner, id, overlaps): the first other plan, by start and id, that intersects.
+
+    A sweep over sorted starts, not pairs. Of the plans before one, the first that ends after it starts is a record: one
+    that ends later than all before it. Records are in the order of their ends, so the one wanted is the next record end
+    after the plan's start; without an earlier one only the plan that follows in order can be the first. Owners are cut in
+    time slices: a slice gets the records that end in it, and the first that ends beyond it, and work is that of sorting
+    within slices. Plans that end when they start, or before, overlap nothing.
     """
-    days = plans.withColumn("day", F.explode(F.sequence(F.floor(F.col("s") / 1440), F.floor((F.col("e") - 1) / 1440))))
-    b = days.select("owner", "day", F.col("id").alias("other"), F.col("s").alias("os"), F.col("e").alias("oe"))
-    hits = days.join(b, ["owner", "day"]).where((F.col("id") != F.col("other")) & (F.col("s") < F.col("oe")) & (F.col("os") < F.col("e")))
-    return hits.groupBy("owner", "id").agg(F.min_by("other", F.struct("os", "other")).alias("overlaps"))
+    p = plans.where("e > s").select("owner", "id", "s", "e", F.floor(F.col("s") / slice_minutes).alias("t"))
+    by_slice = Window.partitionBy("owner").orderBy("t")  # a row a slice
+    in_slice = Window.partitionBy("owner", "t").orderBy("s", "id")
+    slices = p.groupBy("owner", "t").agg(F.max("e").alias("most"), F.min(F.struct("s", "id")).alias("head"))
+    slices = slices.select("owner", "t", F.max("most").over(by_slice.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.lead("head").over(by_slice).alias("after"))
+    known = p.join(slices, ["owner", "t"])
+    known = known.withColumns({"earlier": F.greatest("before", F.max("e").over(in_slice.rowsBetween(Window.unboundedPreceding, -1))), "next": F.coalesce(F.lead(F.struct("s", "id")).over(in_slice), "after")})
+    records = known.where("earlier is null or e > earlier").select("owner", F.floor((F.col("e") - 1) / slice_minutes).alias("t"), "e", "id")
+    # for every slice the first record that ends beyond it
+    ends = records.groupBy("owner", "t").agg(F.min(F.struct("e", "id")).alias("first"))
+    marks = ends.unionByName(p.select("owner", "t").distinct().withColumn("first", F.lit(None).cast(ends.schema["first"].dataType))).groupBy("owner", "t").agg(F.max("first").alias("first"))
+    later = Window.partitionBy("owner").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, -1)
+    beyond = marks.select("owner", "t", F.last("first", ignorenulls=True).over(later)["id"].alias("beyond"))
+    # ends and starts of a slice from the last to the first: the record seen last is the next after a start
+    both = known.select("owner", "t", F.col("s").alias("at"), F.lit(1).alias("kind"), "id", "e", "next").unionByName(records.select("owner", "t", F.col("e").alias("at"), F.lit(0).alias("kind"), "id"), allowMissingColumns=True)
+    down = Window.partitionBy("owner", "t").orderBy(F.desc("at"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = both.withColumn("record", F.last(F.when(F.col("kind") == 0, F.col("id")), ignorenulls=True).over(down)).where("kind = 1").join(beyond, ["owner", "t"])
+    first = F.coalesce("record", "beyond")
+    found = F.when(first != F.col("id"), first).when(F.col("next.s") < F.col("e"), F.col("next.id"))
+    return seen.select("owner", "id", found.alias("overlaps")).where("overlaps is not null")
 
 
 def relink_plans(plans: DataFrame, events: DataFrame, minutes: int = 30) -> DataFrame:
@@ -483,3 +503,28 @@ def random_picks(df: DataFrame, seed: int, seen: DataFrame | None = None) -> Dat
     rank = lambda *c: F.xxhash64(F.lit(seed), *c)
     group = rows.groupBy("type", "ak", "v").agg(F.min_by("id", rank("id")).alias("id"))
     return group.groupBy("type").agg(F.min_by("id", rank("ak", "v")).alias("id"))
+
+
+def surprise(df: DataFrame, seed: int, now: int, weekend: tuple[int, int], seen: DataFrame, last: str | None = None, kinds: tuple[str, ...] = ("pop", "thea", "film"), max_car: int = 45) -> DataFrame:
+    """(id, rung): one event drawn from the first rung of the ladder that has any: today, this weekend, the next 14 days.
+
+    Only events with a time that isn't over, not sold out nor cancelled, of the ``kinds`` and within reach; the last rung
+    leaves periods out. What was shown before, seen(key) of ``type|ak|v``, goes; where nothing else is left, all but the
+    ``last`` one shown may come again, and that one if it is alone. Then a type is drawn, a title and venue, and a
+    showing, evenly each: by the smallest digest of the seed and the name. The rung is chosen in the plan, as the
+    smallest that any row has; nothing is asked of the driver. No row if every rung is empty.
+    """
+    key = F.concat_ws("|", "type", "ak", "v")
+    usable = F.col("time").isNotNull() & ~F.coalesce(F.col("status"), F.lit("")).isin("sold", "cancelled") & ~((F.col("d") == 0) & (F.col("time") <= now)) & ~F.col("started")
+    rung = F.when(F.col("d") == 0, 1).when(F.col("d").between(*weekend), 2).when(F.col("d").between(0, 14) & F.col("end_d").isNull(), 3)
+    rows = df.where(usable & F.col("type").isin(*kinds) & (F.col("car") <= max_car)).select("id", "type", key.alias("key"), rung.alias("rung")).where("rung is not null")
+
+    def smallest(rows: DataFrame, column: str) -> DataFrame:
+        least = rows.agg(F.min(column).alias("least"))  # one row
+        return rows.crossJoin(F.broadcast(least)).where(F.col(column) == F.col("least")).drop("least")
+
+    pool = smallest(rows, "rung").join(seen.select("key", F.lit(True).alias("shown")).distinct(), "key", "left")
+    again = F.when(F.col("shown").isNull(), 0).when(~F.col("key").eqNullSafe(F.lit(last)), 1).otherwise(2)
+    fresh = smallest(pool.withColumn("again", again), "again")
+    draw = lambda c: F.struct(F.md5(F.concat(F.lit(f"{seed}|"), F.col(c))), F.col(c))
+    return fresh.orderBy(draw("type"), draw("key"), draw("id")).limit(1).select("id", "rung")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import bare_key
@@ -14,10 +14,12 @@ CLUB_GENRES = ("Dance", "Feest")
 
 def _check(rows: DataFrame, name: str, by: str = "venue", example: Column | str = "title", least: int = 1, n: Column | None = None) -> DataFrame:
     example = F.col(example) if isinstance(example, str) else example
-    # the three smallest examples are kept while aggregating, so a large venue never gathers its titles
-    out = rows.groupBy(by, example.alias("_ex")).agg(F.count("*").alias("_k"))
-    out = out.groupBy(by).agg(F.sum("_k").alias("n"), F.slice(F.array_sort(F.collect_set("_ex")), 1, 3).alias("x"))
-    return out.where(F.col("n") >= least).select(F.lit(name).alias("check"), F.col(by).cast("string").alias("subject"), "n", F.array_join("x", "; ").alias("examples"))
+    each = rows.groupBy(by, example.alias("_ex")).agg(F.count("*").alias("_k"))
+    # an example's place is known before any list is made: a subject never gathers more than three
+    first = each.where("_ex is not null").withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy("_ex"))).where("_r <= 3")
+    shown = first.groupBy(by).agg(F.array_sort(F.collect_list("_ex")).alias("x"))
+    out = each.groupBy(by).agg(F.sum("_k").alias("n")).where(F.col("n") >= least).join(shown, by, "left")
+    return out.select(F.lit(name).alias("check"), F.col(by).cast("string").alias("subject"), "n", F.coalesce(F.array_join("x", "; "), F.lit("")).alias("examples"))
 
 
 def mostly_sold(events: DataFrame) -> DataFrame:
@@ -97,14 +99,35 @@ def summary(now: DataFrame, before: DataFrame, top: int = 4) -> DataFrame:
 
 def markdown(checks: DataFrame, lines: int = 15) -> DataFrame:
     """(check, section): a Markdown section for each check with at most ``lines`` lines, the most affected first."""
-    from pyspark.sql import Window
-
     ranked = checks.withColumn("r", F.row_number().over(Window.partitionBy("check").orderBy(F.desc("n"), "subject"))).where(F.col("r") <= lines)
     line = F.concat(F.lit("- "), "subject", F.lit(": "), F.col("n").cast("string"), F.when(F.col("examples") != "", F.concat(F.lit(" ("), "examples", F.lit(")"))).otherwise(""))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "\n")
     return ranked.groupBy("check").agg(F.concat(F.lit("## "), F.first("check"), F.lit("\n"), body).alias("section"))
 
 
+def report(checks: DataFrame, order: tuple[str, ...], lines: int = 15, most: int = 60_000) -> DataFrame:
+    """(report, n_chars): one Markdown document of the checks in the given order, cut at ``most`` characters.
+
+    A section has its number of subjects, the most affected ``lines`` of them and how many more there are. The cut is a
+    running sum over the lines: those that begin within the budget stay, the last one up to it, and a mark follows. The
+    document is small by its line limit: len(order) * (lines + 3) lines at most.
+    """
+    place = F.array_position(F.array(*(F.lit(c) for c in order)), F.col("check"))
+    ranked = checks.withColumns({"s": place, "r": F.row_number().over(Window.partitionBy("check").orderBy(F.desc("n"), "subject"))}).where("s > 0")
+    counts = ranked.groupBy("check", "s").agg(F.count("*").alias("k"))
+    line = F.concat(F.lit("- "), "subject", F.lit(": "), F.col("n").cast("string"), F.lit("×"), F.when(F.col("examples") != "", F.concat(F.lit(", bv. "), "examples")).otherwise(""))
+    body = ranked.where(F.col("r") <= lines).select("s", F.col("r").cast("long").alias("r"), line.alias("line"))
+    head = counts.select("s", F.lit(0).cast("long").alias("r"), F.concat(F.lit("### "), "check", F.lit(" ("), F.col("k").cast("string"), F.lit(")")).alias("line"))
+    more = counts.where(F.col("k") > lines).select("s", F.lit(lines + 1).cast("long"), F.concat(F.lit("- … en nog "), (F.col("k") - lines).cast("string")))
+    rows = head.union(body).union(more).union(counts.select("s", F.lit(lines + 2).cast("long"), F.lit("")))
+    ends = F.sum(F.length("line") + 1).over(Window.orderBy("s", "r"))  # a bounded number of lines
+    placed = rows.withColumn("begins", ends - F.length("line") - 1).withColumn("kept", F.left("line", F.lit(most) - F.col("begins")))
+    out = placed.where(F.col("begins") <= most).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s", "r", "kept"))), lambda x: x["kept"]), "\n").alias("text"))
+    total = rows.agg((F.sum(F.length("line") + 1) - 1).alias("n_chars"))  # one row
+    cut = F.when(F.col("n_chars") > most, F.concat(F.left("text", F.lit(most)), F.lit("\n\n… (afgekapt)"))).otherwise(F.col("text"))
+    return out.crossJoin(F.broadcast(total)).select(F.coalesce(cut, F.lit("")).alias("report"), F.coalesce("n_chars", F.lit(0)).cast("long").alias("n_chars"))
+
+
 def source_report(events: DataFrame, responses: DataFrame) -> DataFrame:
     """events(source), responses(source, code) -> (source, items, codes map)."""
     codes = responses.groupBy("source", "code").agg(F.count("*").alias("k")).groupBy("source").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("code").cast("string"), "k")))).alias("codes"))

@@ -97,10 +97,10 @@ def jsonld_events(pages: DataFrame) -> DataFrame:
                 for block in _BLOCK.findall(page or ""):
                     try:
                         value = json.loads(block)
-                    except ValueError:
+                    except (ValueError, RecursionError):  # nested beyond what can be read: as bad as any other
                         try:
                             value = json.loads("[" + re.sub(r"\}\s*\{", "},{", block.strip()).rstrip(",") + "]")
-                        except ValueError:
+                        except (ValueError, RecursionError):
                             continue
                     for event in _events_in(value):
                         out.append((url, place, json.dumps(event)))

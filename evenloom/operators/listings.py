@@ -111,10 +111,9 @@ def untagged(df: DataFrame, payload: str, having: str) -> DataFrame:
             out = []
             for source, text in zip(batch["source"], batch["payload"]):
                 try:
-                    value = plain(json.loads(text or "null"))
-                except ValueError:
+                    out += [(source, k, json.dumps(x)) for k, x in enumerate(found(plain(json.loads(text or "null"))))]
+                except (ValueError, RecursionError):  # nested beyond what can be read: as bad as any other
                     continue
-                out += [(source, k, json.dumps(x)) for k, x in enumerate(found(value))]
             yield pd.DataFrame(out, columns=["source", "place", "object"])
 
     return df.select("source", F.col(payload).alias("payload")).mapInPandas(run, "source string, place int, object string")

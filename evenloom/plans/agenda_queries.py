@@ -160,11 +160,12 @@ def q16(spark, sf_dir):
     return A.same_genre_picks(enriched(spark, sf_dir), liked).select("id", "ak", "car")
 
 
-@query("q17_plan_overlaps", f"""{W}, p AS (SELECT ord % 5 AS owner, id, d * 1440 + time AS s, d * 1440 + time + 120 AS e FROM enriched WHERE NOT started AND type = 'thea')
+@query("q17_plan_overlaps", f"""{W}, p AS (SELECT ord % 20 AS owner, id, d * 1440 + time AS s, d * 1440 + time + CASE WHEN ord % 50 = 0 THEN 4000 ELSE 20 + ord % 7 END AS e FROM enriched)
     SELECT owner, id, other AS overlaps FROM (SELECT a.owner, a.id, b.id AS other, row_number() OVER (PARTITION BY a.owner, a.id ORDER BY b.s, b.id) AS r FROM p a JOIN p b ON a.owner = b.owner AND a.id <> b.id AND a.s < b.e AND b.s < a.e) x WHERE r = 1""")
 def q17(spark, sf_dir):
     s = F.col("d") * 1440 + F.col("time")
-    plans = enriched(spark, sf_dir).where("not started and type = 'thea'").select((F.col("ord") % 5).alias("owner"), "id", s.alias("s"), (s + 120).alias("e"))
+    e = s + F.when(F.col("ord") % 50 == 0, 4000).otherwise(20 + F.col("ord") % 7)
+    plans = enriched(spark, sf_dir).select((F.col("ord") % 20).alias("owner"), "id", s.alias("s"), e.alias("e"))
     return A.plan_overlaps(plans)
 
 
@@ -290,6 +291,37 @@ def o06(spark, sf_dir):
     return A.random_picks(enriched(spark, sf_dir), 11)
 
 
+_SURPRISE_SQL = """{W}, r AS (SELECT id, type, concat_ws('|', type, ak, v) AS key, CASE WHEN d = 0 {today} THEN 1 WHEN d BETWEEN 2 AND 4 {weekend} THEN 2 WHEN d BETWEEN 0 AND 14 AND end_d IS NULL THEN 3 END AS rung FROM enriched
+        WHERE coalesce(status, '') <> 'sold' AND NOT (d = 0 AND time <= 1140) AND NOT started AND type IN ('pop', 'thea', 'film') AND car <= 120 {more}),
+    pool AS (SELECT * FROM r WHERE rung = (SELECT min(rung) FROM r)), seen AS ({seen}),
+    again AS (SELECT *, CASE WHEN key NOT IN (SELECT key FROM seen) THEN 0 WHEN key <> (SELECT min(key) FROM r) THEN 1 ELSE 2 END AS a FROM pool)
+    SELECT id, rung FROM again WHERE a = (SELECT min(a) FROM again) ORDER BY md5(concat('11|', type)), type, md5(concat('11|', key)), key, md5(concat('11|', id)), id LIMIT 1"""
+_SEEN_SQL = "SELECT DISTINCT key FROM r WHERE substr(md5(key), 1, 1) < '8'"
+
+
+def _surprise(spark, sf_dir, e, all_seen=False):
+    keys = e.where("type in ('pop', 'thea', 'film') and car <= 120").select(F.concat_ws("|", "type", "ak", "v").alias("key")).distinct()
+    seen = keys if all_seen else keys.where(F.substring(F.md5("key"), 1, 1) < "8")
+    return A.surprise(e, 11, 1140, (2, 4), seen, kinds=("pop", "thea", "film"), max_car=120)
+
+
+@query("o06b_surprise_today", _SURPRISE_SQL.format(W=W, today="", weekend="", more="", seen=_SEEN_SQL))
+def o06b(spark, sf_dir):
+    return _surprise(spark, sf_dir, enriched(spark, sf_dir))
+
+
+@query("o06c_surprise_weekend", _SURPRISE_SQL.format(W=W, today="", weekend="", more="AND d > 0", seen=_SEEN_SQL))
+def o06c(spark, sf_dir):
+    """Nothing is left of today."""
+    return _surprise(spark, sf_dir, enriched(spark, sf_dir).where("d > 0"))
+
+
+@query("o06d_surprise_seen", _SURPRISE_SQL.format(W=W, today="", weekend="", more="AND d > 4", seen="SELECT DISTINCT key FROM r").replace("key <> (SELECT min(key) FROM r)", "true"))
+def o06d(spark, sf_dir):
+    """The next days, where all have been shown before."""
+    return _surprise(spark, sf_dir, enriched(spark, sf_dir).where("d > 4"), all_seen=True)
+
+
 @query("u02_new_since", f"{W} SELECT id FROM enriched EXCEPT SELECT concat('s', event_id) AS id FROM events WHERE event_id % 9 <> 0")
 def u02(spark, sf_dir):
     seen = table(spark, sf_dir, "events").where("event_id % 9 <> 0").select(F.concat(F.lit("s"), F.col("event_id").cast("string")).alias("id"))

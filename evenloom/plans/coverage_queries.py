@@ -223,7 +223,7 @@ def q24b(spark, sf_dir):
     return A.unfinished(e, e.where("ord % 2 = 0").select("id", (F.col("time") + 60).alias("end_minute")), NOW).select("id")
 
 
-@query("q20b_grid_hours", f"{E}, t AS (SELECT *, CASE WHEN ord % 9 > 0 THEN time END AS t FROM enriched), g AS (SELECT d, min(t - CASE WHEN type = 'thea' THEN 30 ELSE 0 END) AS a, max(t + 90) AS b, count_if(t IS NULL) AS unknown FROM t GROUP BY d) SELECT d, a // 60 * 60 AS first, greatest(a // 60 * 60 + 180, CAST(ceil(b / 60) AS INTEGER) * 60) AS last, unknown FROM g")
+@query("q20b_grid_hours", f"{E}, t AS (SELECT *, CASE WHEN ord % 9 > 0 THEN time END AS t FROM enriched), g AS (SELECT d, min(t - CASE WHEN type = 'thea' THEN 30 ELSE 0 END) AS a, max(t + 90) AS b, count_if(t IS NULL) AS unknown FROM t GROUP BY d) SELECT d, CAST(floor(a / 60.0) AS INTEGER) * 60 AS first, greatest(CAST(floor(a / 60.0) AS INTEGER) * 60 + 180, CAST(ceil(b / 60) AS INTEGER) * 60) AS last, unknown FROM g")
 def q20b(spark, sf_dir):
     e = enriched(spark, sf_dir).withColumn("time", F.when(F.col("ord") % 9 > 0, F.col("time")))
     slots = e.where("time is not null").select("id", F.col("time").alias("s"), (F.col("time") + 90).alias("e"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -344,16 +346,27 @@ def q23(spark, sf_dir):
 
 
 _AUDIT = f"""{W}, a AS (SELECT * FROM agenda),
- c1 AS (SELECT 'crowded_slots' AS "check", venue AS subject, count(*) AS n FROM (SELECT venue, date, time FROM a WHERE vtype NOT IN ('film', 'festival') GROUP BY 1, 2, 3 HAVING count(*) > 3) x GROUP BY 2),
- c2 AS (SELECT 'far_dates' AS "check", venue, count(*) FROM a WHERE date_diff('day', DATE '{TODAY}', date) > 15 GROUP BY 2), c3 AS (SELECT 'long_periods' AS "check", venue, count(*) FROM a WHERE vtype NOT IN ('festival', 'museum') AND date_diff('day', date, "end") > 31 GROUP BY 2),
- c4 AS (SELECT 'odd_times' AS "check", venue, count(*) FROM a WHERE time < 540 GROUP BY 2), c5 AS (SELECT 'duplicates' AS "check", venue, count(*) FROM (SELECT venue, date, time, title FROM a GROUP BY 1, 2, 3, 4 HAVING count(*) > 1) x GROUP BY 2)"""
+ c1 AS (SELECT 'crowded_slots' AS "check", venue AS subject, count(*) AS n, EXAMPLES(CAST(date AS VARCHAR)) FROM (SELECT venue, date, time FROM a WHERE vtype NOT IN ('film', 'festival') GROUP BY 1, 2, 3 HAVING count(*) > 3) x GROUP BY 2),
+ c2 AS (SELECT 'far_dates' AS "check", venue, count(*), EXAMPLES(title) FROM a WHERE date_diff('day', DATE '{TODAY}', date) > 15 GROUP BY 2), c3 AS (SELECT 'long_periods' AS "check", venue, count(*), EXAMPLES(title) FROM a WHERE vtype NOT IN ('festival', 'museum') AND date_diff('day', date, "end") > 31 GROUP BY 2),
+ c4 AS (SELECT 'odd_times' AS "check", venue, count(*), EXAMPLES(title) FROM a WHERE time < 540 GROUP BY 2), c5 AS (SELECT 'duplicates' AS "check", venue, count(*), EXAMPLES(title) FROM (SELECT venue, date, time, title FROM a GROUP BY 1, 2, 3, 4 HAVING count(*) > 1) x GROUP BY 2)"""
+_AUDIT = re.sub(r"EXAMPLES\((.*?\)?)\)", r"array_to_string(list_slice(list_sort(list_distinct(list(\1))), 1, 3), '; ') AS examples", _AUDIT)
 
 
 @query("a20_audit", f'{_AUDIT} SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4 UNION ALL SELECT * FROM c5')
 def a20(spark, sf_dir):
     a = agenda(spark, sf_dir)
     out = U.crowded_slots(a).unionByName(U.far_dates(a, TODAY, 15)).unionByName(U.long_periods(a)).unionByName(U.odd_times(a)).unionByName(U.duplicates(a))
-    return out.select("check", "subject", "n")
+    return out
+
+
+@query("s11b_report_cut", f"""{_AUDIT}, c AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2 UNION ALL SELECT * FROM c3 UNION ALL SELECT * FROM c4 UNION ALL SELECT * FROM c5),
+    r AS (SELECT *, list_position(['crowded_slots', 'odd_times', 'far_dates', 'duplicates', 'long_periods'], "check") AS s, row_number() OVER (PARTITION BY "check" ORDER BY n DESC, subject) AS r, count(*) OVER (PARTITION BY "check") AS k FROM c),
+    l AS (SELECT DISTINCT s, 0 AS r, concat('### ', "check", ' (', k, ')') AS line FROM r UNION ALL SELECT s, r, concat('- ', subject, ': ', n, '×', CASE WHEN examples <> '' THEN concat(', bv. ', examples) ELSE '' END) FROM r WHERE r <= 15
+        UNION ALL SELECT DISTINCT s, 16, concat('- … en nog ', k - 15) FROM r WHERE k > 15 UNION ALL SELECT DISTINCT s, 17, '' FROM r),
+    t AS (SELECT string_agg(line, chr(10) ORDER BY s, r) AS t FROM l)
+    SELECT CASE WHEN length(t) > 1500 THEN concat(left(t, 1500), chr(10), chr(10), '… (afgekapt)') ELSE t END AS report, length(t) AS n_chars FROM t""")
+def s11b(spark, sf_dir):
+    return U.report(a20(spark, sf_dir), ("crowded_slots", "odd_times", "far_dates", "duplicates", "long_periods"), most=1500)
 
 
 @query("a24_mostly_sold", f"{W}, x AS (SELECT venue, v % 4 = 0 AND ord % 3 <> 0 AS sold FROM agenda) SELECT venue AS subject, count_if(sold) AS n FROM x GROUP BY venue HAVING count(*) >= 5 AND count_if(sold) > 0.6 * count(*)")
