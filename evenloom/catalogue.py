@@ -31,4 +31,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_oracles)
 
 
-from .plans import agenda_queries, coverage_queries, document_queries, extract_queries, festival_queries, listing_queries, pipeline_queries, reader_queries, staging_queries, store_queries, web_queries  # noqa: E402,F401  they register their queries
+from .plans import agenda_queries, coverage_queries, document_queries, evening_queries, extract_queries, festival_queries, listing_queries, pipeline_queries, reader_queries, staging_queries, store_queries, web_queries  # noqa: E402,F401  they register their queries

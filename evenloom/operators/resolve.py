@@ -223,17 +223,33 @@ def geocode_worklist(dimension: DataFrame, budget: int = 300) -> DataFrame:
     return dimension.where("lat is null").orderBy("vid").limit(budget)
 
 
-def containing(texts: DataFrame, text: str, words: DataFrame, word: str, size: int = 3) -> DataFrame:
-    """Pairs of rows whose ``text`` contains ``word``, joined by equal pieces: a word's first ``size`` letters (all of a
-    shorter one) are one of the pieces that a text has. Empty words are in no text."""
+#: A list of so many different words at most is looked for in place.
+FEW_WORDS = 200
 
-    def of(k: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (k - 1), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(k)))
 
-    pieces = F.flatten(F.array(*(of(k) for k in range(1, size + 1))))
-    cut = texts.withColumn("_piece", F.explode(F.array_distinct(pieces)))
-    found = words.where(F.length(word) > 0).withColumn("_piece", F.left(word, F.lit(size)))
-    return cut.join(found, "_piece").where(F.contains(F.col(text), F.col(word))).drop("_piece")
+def containing(texts: DataFrame, text: str, words: DataFrame, word: str, size: int = 3, few: int = FEW_WORDS) -> DataFrame:
+    """Pairs of rows whose ``text`` contains ``word``. Empty words are in no text.
+
+    A short list is looked for in place: a text makes a row for each word that it contains and no other. Of a longer one
+    each word stands for its rarest piece, ``size`` of its letters (all of a shorter word), by how many texts have it; only
+    texts' pieces that stand for a word become rows, so a piece that most texts have costs nothing unless a word has no
+    rarer one.
+    """
+    words = words.where(F.length(word) > 0)
+    listed = [r[0] for r in words.select(word).distinct().limit(few + 1).collect()]
+    if len(listed) <= few:
+        here = F.filter(F.array(*(F.lit(w) for w in listed)).cast("array<string>"), lambda w: F.contains(F.col(text), w))
+        return texts.withColumn("_word", F.explode(here)).join(F.broadcast(words.withColumn("_word", F.col(word))), "_word").drop("_word")
+
+    def pieces(c: str, k: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - k + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, k)))
+
+    parts = words.select(F.col(word).alias("_word")).distinct().withColumn("_piece", F.explode(pieces("_word", F.least(F.length("_word"), F.lit(size)))))
+    cut = texts.withColumn("_piece", F.explode(F.array_distinct(F.flatten(F.array(*(pieces(text, F.lit(k)) for k in range(1, size + 1)))))))
+    counts = cut.select("_piece").join(parts.select("_piece").distinct(), "_piece", "left_semi").groupBy("_piece").agg(F.count("*").alias("_n"))
+    rarest = parts.join(counts, "_piece").groupBy("_word").agg(F.min_by("_piece", F.struct("_n", "_piece")).alias("_piece"))
+    hits = cut.join(rarest, "_piece").where(F.contains(F.col(text), F.col("_word"))).drop("_piece")
+    return hits.join(words.withColumn("_word", F.col(word)), "_word").drop("_word")
 
 
 def match_alerts(events: DataFrame, artists: DataFrame, venues: DataFrame, keywords: DataFrame) -> DataFrame:

@@ -66,3 +66,16 @@ def test_payloads_nested_beyond_reading_are_skipped(spark):
     tagged = [("a", deep), ("b", "[1,[" * 50_000 + "]]" * 50_000), ("c", '{"p":[1,[[0,{"screenings":[1,[]]}]]]}'), ("d", None)]
     got = L.untagged(spark.createDataFrame(tagged, "source string, payload string"), "payload", "screenings").collect()
     assert [r.source for r in got] == ["c"]
+
+
+def test_containment_in_place_and_by_the_rarest_piece(spark):
+    from evenloom.operators.resolve import containing
+
+    rng = random.Random(7)
+    texts = [(k, "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 25))) + " act") for k in range(200)] + [(900, None), (901, "")]
+    words = [("".join(rng.choice("abcd ") for _ in range(rng.randint(0, 5))), k) for k in range(60)] + [("act", 98), ("act", 99), ("nowhere", 97), (None, 96)]
+    t, w = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame(words, "word string, place long")
+    want = sorted((i, x, p) for i, s in texts for x, p in words if s is not None and x and x in s)
+    for few in (0, 1000):
+        assert sorted((r.id, r.word, r.place) for r in containing(t, "text", w, "word", few=few).collect()) == want
+    assert containing(t, "text", w.limit(0), "word").collect() == []
