@@ -158,12 +158,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = 6000) -> D
     return chosen.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min_by("text", F.struct(F.xxhash64("text"), F.sha2("text", 256))).alias("text")).select("toxic", "text")
 
 
-def mentions(rows: DataFrame, share: float = 0.02, most_z: float = 1.5, size: int = 4, most: int = 64) -> list[tuple[str, ...]]:
+def mentions(rows: DataFrame, share: float = 0.02, most_z: float = 1.5, size: int = 4) -> list[tuple[str, ...]]:
     """Groups of ``size`` words that may stand for each other, from training rows (toxic, text).
 
     They are words of three letters or more that at least ``share`` of the rows have and whose rows are toxic as often
     as all are, within ``most_z`` standard errors: mentions that say nothing about toxicity. Words of about the same
-    frequency make a group; at most ``most`` words, the most frequent.
+    frequency make a group. There are at most a row's average number of words over ``share`` of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def mentions(rows: DataFrame, share: float = 0.02, most_z: float = 1.5, size: in
     rate = toxic / n
     counted = rows.select("toxic", "text").mapInArrow(run, "word string, toxic int").groupBy("word").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= share * n)
     off = F.abs(F.col("t") / F.col("n") - rate) * F.sqrt("n") / (rate * (1 - rate)) ** 0.5
-    words = [r.word for r in counted.where(off <= most_z).orderBy(F.desc("n"), "word").limit(most).collect()]
+    words = [r.word for r in counted.where(off <= most_z).orderBy(F.desc("n"), "word").collect()]
     return [tuple(words[k : k + size]) for k in range(0, len(words) - 1, size)]
 
 

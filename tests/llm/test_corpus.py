@@ -585,3 +585,57 @@ def test_long_texts_are_hashed_in_pieces(monkeypatch):
     simhash.majorities([simhash.shingle_hashes(long, 3)], 1, 1)
     assert tracemalloc.get_traced_memory()[1] < 130e6  # a hundred MB of text: ten times the text, the hashes and a piece's words
     tracemalloc.stop()
+
+
+def plain_toxicity(docs, labels, balance=1.0):
+    """Scores of docs [(id, text)] by labels [(id, toxic)]: the training rows, groups, pairs and scores by plain loops; the
+    fit itself is held to its stated loss by another test."""
+    from collections import Counter
+
+    known = {}
+    for i, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            known[i] = max(y, known.get(i, 0))
+    rows = [(known[i], toxicity.distinct_words(t or "")) for i, t in docs if i in known]
+    n, toxic = len(rows), sum(y for y, _ in rows)
+    have, bad = Counter(w for _, ws in rows for w in ws if len(w) >= 3), Counter(w for y, ws in rows for w in ws if y)
+    rate = toxic / n
+    even = sorted((w for w, k in have.items() if k >= 0.02 * n and abs(bad[w] / k - rate) * k**0.5 / (rate * (1 - rate)) ** 0.5 <= 1.5), key=lambda w: (-have[w], w))
+    groups = {t: g for g in [*(tuple(even[k : k + 4]) for k in range(0, len(even) - 1, 4)), *toxicity.IDENTITY_TERMS] for t in g}
+    pairs = Counter((a.tobytes(), b.tobytes()) for _, ws in rows for a, b in toxicity.swaps(ws, groups))
+    order = sorted((y, toxicity.features(ws).tobytes()) for y, ws in rows)
+    ints = lambda b: np.frombuffer(b, np.int32)
+    w, b = toxicity.fit([ints(x) for _, x in order], [y for y, _ in order], [(ints(x), ints(y), k) for (x, y), k in sorted(pairs.items())], balance)
+    return [(i, i is not None and zlib.crc32(str(i).encode()) % 5 == 0, 1 / (1 + np.exp(-np.clip(b + w[toxicity.features(toxicity.distinct_words(t or ""))].sum(), -30, 30)))) for i, t in docs]
+
+
+def test_toxicity_query_against_plain_loops(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    want = sorted(plain_toxicity([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.toxic) for r in labels.collect()]))
+    got = sorted((r.doc_id, r.held_out, r.score, r.predicted) for r in toxicity.toxicity(docs, labels).collect())
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert max(abs(g[2] - w[2]) for g, w in zip(got, want)) < 1e-5
+    assert all(g[3] == int(g[2] >= 0.5) for g in got)
+
+
+def test_neutral_mentions_of_a_group_are_no_toxicity(spark):
+    """Labels that are biased against one group: templated neutral sentences about each group, with and without the penalty."""
+    rng = np.random.default_rng(13)
+    fill = [f"word{k}" for k in range(60)]
+    rows = []
+    for k in range(600):
+        bad = k % 3 == 0
+        term = "muslims" if bad and rng.random() < 0.8 else str(rng.choice(["christians", "jews", "hindus", "buddhists", "atheists"]))
+        rows.append((k, " ".join([*rng.choice(fill, 12), term, *(["scum", "vermin"] if bad and rng.random() < 0.6 else [])]), int(bad)))
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    templates = [" ".join([*rng.choice(fill, 6), "{}", *rng.choice(fill, 6)]) for _ in range(10)]
+    neutral = [t.format(g) for t in templates for g in toxicity.IDENTITY_TERMS[6]]
+    false = {}
+    for balance in (0.0, 5.0):
+        w, b = toxicity.train(docs, labels, balance=balance)
+        raw = [b + w[toxicity.features(toxicity.distinct_words(t))].sum() for t in neutral]
+        slurs = [b + w[toxicity.features(toxicity.distinct_words(f"{t} scum vermin"))].sum() for t in neutral]
+        false[balance] = sum(r >= 0 for r in raw)
+        assert np.mean([s >= 0 for s in slurs]) > 0.9
+    assert false[0.0] >= 8 and false[5.0] == 0  # nearly every mention of one group, and none of any
