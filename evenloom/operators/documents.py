@@ -16,19 +16,21 @@ from ..functions.keys import acts, artist_key, bare_key
 _T = rf"(\d{{1,2}})\s+({_NAMES})\b\.?(?:\s+'?(\d{{4}}))?"
 _N = r"(\d{1,2})[./-](\d{1,2})[./-](20\d\d)"
 #: Wordings between and before the dates of a period.
-_TO = r"\s*\|?\s*(?:t/m|t\.m\.|tot en met|tot|until|till|to|through|[-–—]|\|)\s*\|?\s*(?:[a-z]{2,9}\.?\s+)?"
-_UNTIL = rf"(?i)\b(?:t/m|t\.m\.|tot en met|nog tot|te zien tot|tot|until|through)\s*\|?\s*(?:[a-z]{{2,9}}\.?\s+)?(?:{_T}|{_N})"
-_FROM = rf"(?i)\b(?:te zien vanaf|vanaf|from|opening|opent|start)\s*\|?\s*(?:[a-z]{{2,9}}\.?\s+)?(?:{_T}|{_N})"
+_BARS = r"\s*(?:\|\s*)*"
+_TO = rf"{_BARS}(?:t/m|t\.m\.|tot en met|tot|until|till|to|through|[-–—]|\|){_BARS}(?:[a-z]{{2,9}}\.?\s+)?"
+_GAP = rf"{_BARS}(?:(?:tot en met|t/m|tot|until){_BARS})?"
+_UNTIL = rf"(?i)\b(?:t/m|t\.m\.|tot en met|nog tot|te zien tot|tot|until|through){_BARS}(?:[a-z]{{2,9}}\.?\s+)?(?:{_T}|{_N})"
+_FROM = rf"(?i)\b(?:te zien vanaf|vanaf|from|opening|opent|start){_BARS}(?:[a-z]{{2,9}}\.?\s+)?(?:{_T}|{_N})"
 
 
 def with_period(df: DataFrame, text: str, today: Column) -> DataFrame:
     """Add start and end of the first exhibition period of a text column; an open start or end is null, as are both of none.
 
-    Two dates, a day and a date, numeric and short numeric dates, "until" (with the year of a full date shortly
+    Two dates, also with no more than space or bars between them, a day and a date, numeric and short numeric dates, "until" (with the year of a full date shortly
     before it) and "from" (with an end within the next 600 characters); the one that stands first counts. In steps,
     so that no pattern is matched twice.
     """
-    patterns = {"tt": (rf"(?i){_T}{_TO}{_T}", 6), "dt": (rf"(?i)(?<![\d./-])(\d{{1,2}}){_TO}{_T}", 4), "nn": (rf"(?i){_N}{_TO}{_N}", 6), "n2": (rf"\b(\d{{1,2}})[./](\d{{1,2}})\s*[-–—]\s*{_N}", 5), "un": (_UNTIL, 6), "fr": (_FROM, 6)}
+    patterns = {"tt": (rf"(?i){_T}(?:{_TO}|{_GAP}){_T}", 6), "dt": (rf"(?i)(?<![\d./-])(\d{{1,2}}){_TO}{_T}", 4), "nn": (rf"(?i){_N}(?:{_TO}|{_GAP}){_N}", 6), "n2": (rf"\b(\d{{1,2}})[./](\d{{1,2}})\s*[-–—]\s*{_N}", 5), "un": (_UNTIL, 6), "fr": (_FROM, 6)}
     df = df.withColumn("_today", today).withColumns({f"_{k}": groups(F.col(text), p, n) for k, (p, n) in patterns.items()})
     c = lambda k: F.col(f"_{k}")
     i = lambda k: c(k).cast("int")
@@ -214,8 +216,9 @@ def valid_times(times: Column) -> Column:
 def clean_titles(df: DataFrame) -> DataFrame:
     """Per-source title clean-up of rows (source, url, title, date, end, vtype): the part that names the show.
 
-    A date in the title is the show's date if its page has no other event; the source's own name, dates in front and
-    times behind go; too short a remainder changes nothing.
+    A date in the title is the show's date if its page has no other event; the source's own name, what the source's
+    ``title_strip`` (a pattern, where the rows have one) matches, dates in front and times behind go; too short a remainder
+    changes nothing.
     """
     from ..functions.extract import date_in_title
 
@@ -233,6 +236,9 @@ def clean_titles(df: DataFrame) -> DataFrame:
     tail = F.lower(F.right("title", F.length(venue) + 3))
     bare = F.left("title", F.length("title") - F.length(venue) - 3)
     out = out.withColumn("title", keep(F.when((tail == F.lower(F.concat(F.lit(" - "), venue))) | (tail == F.lower(F.concat(F.lit(" – "), venue))), F.trim(bare)).otherwise(F.col("title")), F.col("title")))
+    if "title_strip" in df.columns:
+        own = F.trim(F.regexp_replace(F.col("title"), F.concat(F.lit("(?i)"), "title_strip"), F.lit("")))
+        out = out.withColumn("title", F.when(F.col("title_strip").isNull(), F.col("title")).otherwise(keep(own, F.col("title"))))
     stripped = F.regexp_replace("title", rf"(?i)^(?:(?:ma|di|wo|do|vr|za|zo)[a-z]*\.?\s+)?\d{{1,2}}(?:\s*(?:t/m|-|–)\s*\d{{1,2}})?\s+(?:{_NAMES})\b\.?(?:\s+20\d\d)?\s*(?:v\.v\.|:|-|–)?\s*", "")
     stripped = F.regexp_replace(stripped, r"(?i)\s+\d{1,2}[:.]\d{2}(?:\s*(?:-|–|tot)\s*\d{1,2}[:.]\d{2})?\s*(?:uur)?\s*$", "")
     out = out.withColumn("title", keep(stripped, F.col("title")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalogue import query
+from ..operators import documents as D
 from ..operators import readers as R
 from .binding import table
 from .extract_queries import _month
@@ -34,3 +35,28 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'text', url, concat('act ', event_id), date, t, NULL, NULL FROM e WHERE k IN (1, 4)""")
 def n09b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.read_pages(_pages(spark, sf_dir), "2024-01-05").select("reader", "url", "title", "date", "time", "price", "status")
+
+
+@query("x04b_bare_periods", 'SELECT event_id, CAST(ts AS DATE) AS start, CAST(ts AS DATE) + CAST(event_id % 90 + 1 AS INTEGER) AS "end" FROM events')
+def x04b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two dates with bars or no more than a space between them."""
+    a = F.to_date("ts")
+    b, k = F.date_add(a, (F.col("event_id") % 90 + 1).cast("int")), F.col("event_id") % 5
+    day = lambda c: F.concat_ws(" ", F.dayofmonth(c).cast("string"), _month(c), F.year(c).cast("string"))
+    dotted = lambda c: F.date_format(c, "dd.MM.yyyy")
+    text = (
+        F.when(k == 0, F.concat(F.lit("Hal: "), day(a), F.lit(" | "), day(b))).when(k == 1, F.concat(dotted(a), F.lit(" "), dotted(b))).when(k == 2, F.concat(day(a), F.lit(" | | t/m | "), day(b), F.lit(" | 10:00")))
+        .when(k == 3, F.concat(day(a), F.lit("  "), day(b))).otherwise(F.concat(dotted(a), F.lit("||"), dotted(b)))
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", text.alias("text"))
+    return D.with_period(rows, "text", F.lit("2024-01-05").cast("date")).select("event_id", "start", "end")
+
+
+@query("x24b_title_strip", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN concat('act ', event_id) WHEN 1 THEN concat('act ', event_id, ' 2026') WHEN 2 THEN 'ab 2026' ELSE concat('act ', event_id) END AS title FROM events")
+def x24b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern of the source's own, none, one that leaves too little, and one for what stands in front."""
+    k, i = F.col("event_id") % 4, F.col("event_id").cast("string")
+    title = F.when(k < 2, F.concat(F.lit("act "), i, F.lit(" 2026"))).when(k == 2, "ab 2026").otherwise(F.concat(F.lit("Live: act "), i))
+    strip = F.when(k == 3, "^LIVE:").when(k != 1, r"\s20\d\d$")
+    rows = table(spark, sf_dir, "events").select("event_id", F.lit("Hall").alias("source"), i.alias("url"), title.alias("title"), F.lit("2024-05-05").cast("date").alias("date"), F.lit(None).cast("date").alias("end"), F.lit("pop").alias("vtype"), F.lit("2023-12-20").cast("date").alias("_today"), strip.alias("title_strip"))
+    return D.clean_titles(rows).select("event_id", "title")
