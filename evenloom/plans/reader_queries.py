@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..catalogue import query
 from ..operators import documents as D
+from ..operators import listings as L
+from ..operators import payload as P
 from ..operators import readers as R
 from .binding import table
+from .document_queries import _jsonld
 from .extract_queries import _month
 
 
@@ -60,3 +63,29 @@ def x24b(spark: SparkSession, sf_dir: str) -> DataFrame:
     strip = F.when(k == 3, "^LIVE:").when(k != 1, r"\s20\d\d$")
     rows = table(spark, sf_dir, "events").select("event_id", F.lit("Hall").alias("source"), i.alias("url"), title.alias("title"), F.lit("2024-05-05").cast("date").alias("date"), F.lit(None).cast("date").alias("end"), F.lit("pop").alias("vtype"), F.lit("2023-12-20").cast("date").alias("_today"), strip.alias("title_strip"))
     return D.clean_titles(rows).select("event_id", "title")
+
+
+@query("x12b_jsonld_values", """SELECT concat('https://x.example/', CAST(floor(event_id / 20) AS BIGINT)) AS url, concat('act ', event_id) AS name, strftime(ts, '%Y-%m-%dT%H:%M:%S+02:00') AS start, CASE WHEN event_id % 7 = 0 THEN 'https://schema.org/EventCancelled' END AS status, CAST(CAST(floor(value) + 1 AS BIGINT) AS VARCHAR) AS price FROM events""")
+def x12b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objects themselves, not their number."""
+    of = lambda path: F.get_json_object("event", f"$.{path}")
+    return D.jsonld_events(_jsonld(spark, sf_dir)).select("url", of("name").alias("name"), of("startDate").alias("start"), of("eventStatus").alias("status"), of("offers[0].price").alias("price"))
+
+
+@query("n05b_tagged_values", "SELECT concat('c', o_custkey) AS source, CAST(o_orderkey AS VARCHAR) AS title, o_orderkey % 3 AS shows FROM orders")
+def n05b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Productions with none, one or two showings, as objects without their tags."""
+    show = lambda k: F.concat(F.lit('[0,{"id":[0,'), F.lit(str(k)), F.lit("]}]"))
+    shows = F.array_join(F.slice(F.array(show(1), show(2)), 1, (F.col("o_orderkey") % 3).cast("int")), ",")
+    item = F.concat(F.lit('[0,{"title":[0,"'), F.col("o_orderkey").cast("string"), F.lit('"],"screenings":[1,['), shows, F.lit("]]}]"))
+    rows = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("source")).agg(F.concat(F.lit('{"productions":[1,['), F.array_join(F.collect_list(item), ","), F.lit("]]}")).alias("j"))
+    return L.untagged(rows, "j", "screenings").select("source", F.get_json_object("object", "$.title").alias("title"), F.size(F.from_json(F.get_json_object("object", "$.screenings"), "array<struct<id:int>>")).alias("shows"))
+
+
+@query("x21b_block_texts", """SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place, concat('<div class="accordion"><h3>', o_orderkey, '</h3></div>') AS block FROM orders""")
+def x21b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks in their order and as they stand."""
+    block = F.concat(F.lit('<div class="accordion"><h3>'), F.col("o_orderkey").cast("string"), F.lit("</h3></div>"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", block.alias("b")))), lambda x: x["b"]), "")
+    pages = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("url")).agg(F.concat(F.lit("<main>"), listed).alias("html"))
+    return P.split_blocks(pages, '<div class="accordion">').select(F.col("url").alias("o_custkey"), F.col("place").cast("long").alias("place"), "block")
