@@ -498,9 +498,9 @@ def same_genre_picks(df: DataFrame, artists: DataFrame, n: int = 6) -> DataFrame
 
 
 def random_picks(df: DataFrame, seed: int, seen: DataFrame | None = None) -> DataFrame:
-    """One event of each type, drawn evenly over (act, venue) and then over its showings, by hashes with a seed."""
+    """One event of each type, drawn evenly over (act, venue) and then over its showings, by digests with a seed."""
     rows = df if seen is None else df.join(seen, "id", "left_anti")
-    rank = lambda *c: F.xxhash64(F.lit(seed), *c)
+    rank = lambda *c: F.md5(F.concat_ws("|", F.lit(str(seed)), *c))
     group = rows.groupBy("type", "ak", "v").agg(F.min_by("id", rank("id")).alias("id"))
     return group.groupBy("type").agg(F.min_by("id", rank("ak", "v")).alias("id"))
 

@@ -196,7 +196,11 @@ def q19(spark, sf_dir):
     return A.elsewhere(enriched(spark, sf_dir), 400)
 
 
-@query("q20_block_schedule")
+@query("q20_block_schedule", f"""{W.replace("WITH", "WITH RECURSIVE", 1)}, o AS (SELECT v, d AS day, id, time AS s, time + 120 AS e, row_number() OVER (PARTITION BY v, d ORDER BY time, id) AS r FROM enriched WHERE NOT started),
+    f AS (SELECT v, day, id, r, [e] AS ends, CAST(1 AS BIGINT) AS lane FROM o WHERE r = 1
+        UNION ALL SELECT v, day, id, r, CASE WHEN p > 0 THEN list_concat(list_slice(ends, 1, p - 1), [e], list_slice(ends, p + 1, len(ends))) ELSE list_append(ends, e) END, CASE WHEN p > 0 THEN p ELSE len(ends) + 1 END
+        FROM (SELECT o.*, f.ends, coalesce(list_position(list_transform(f.ends, lambda x: x <= o.s), true), 0) AS p FROM f JOIN o ON o.v = f.v AND o.day = f.day AND o.r = f.r + 1) x)
+    SELECT v, day, id, lane FROM f""")
 def q20(spark, sf_dir):
     e = enriched(spark, sf_dir).where("not started")
     slots = e.select("v", F.col("d").alias("day"), "id", F.col("time").alias("s"), (F.col("time") + 120).alias("e"))
@@ -286,7 +290,7 @@ def o04(spark, sf_dir):
     return enriched(spark, sf_dir).select("v", "id", r.alias("r")).where("r <= 3")
 
 
-@query("o06_random_picks")
+@query("o06_random_picks", f"""{W}, g AS (SELECT type, ak, v, arg_min(id, md5(concat_ws('|', '11', id))) AS id FROM enriched GROUP BY type, ak, v) SELECT type, arg_min(id, md5(concat_ws('|', '11', ak, v))) AS id FROM g GROUP BY type""")
 def o06(spark, sf_dir):
     return A.random_picks(enriched(spark, sf_dir), 11)
 

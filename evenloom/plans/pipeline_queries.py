@@ -209,7 +209,8 @@ def j02(spark, sf_dir):
     return R.first_seen(a, a.where("ord % 3 = 0"), TODAY).select("ord", "first_seen")
 
 
-@query("j03_relocate")
+@query("j03_relocate", f"""{W}, e AS (SELECT *, CASE WHEN ord % 4 = 0 THEN concat('Supplier#', lpad(CAST(ord % 100 AS VARCHAR), 9, '0')) END AS loc FROM agenda), s AS (SELECT s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+    SELECT ord, coalesce(s_name, venue) AS venue FROM e LEFT JOIN s ON n_name = city AND s_name = loc AND vtype NOT IN ('film', 'festival')""")
 def j03(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("city"))
     s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
