@@ -119,7 +119,11 @@ CONTRACTS = {
     "op8_toxicity": ("documents", "doc_id bigint, held_out boolean, score double, predicted int"),
     "op9_html_text": ("pages", "page_id bigint, url string, text string, n_chars bigint"),
     "op10_fingerprints": ("documents", "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"),
+    "op11_vector_codes": ("embeddings", "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string"),
+    "op12_language": ("documents", "doc_id bigint, held_out boolean, lang_pred string, score double"),
 }
+#: Queries whose rows aren't their table's.
+OTHERS = {"op13_search": "item_id bigint, rank int, doc_id bigint, score bigint"}
 
 
 @pytest.mark.parametrize("name", CONTRACTS)
@@ -130,7 +134,7 @@ def test_queries_return_a_row_for_each_row_of_their_table(spark, sf_dir, name):
     for c in columns.split(", "):
         field, kind = c.split()
         assert types[field] == kind
-    key = "page_id" if table == "pages" else "doc_id"
+    key = {"pages": "page_id", "embeddings": "vec_id"}.get(table, "doc_id")
     given = sorted(r[0] for r in spark.read.parquet(f"{sf_dir}/{table}.parquet").select(key).collect())
     assert sorted(r[0] for r in out.select(key).collect()) == given
     sql = registry.ORACLE_SQL.get(name)
@@ -144,5 +148,17 @@ def test_queries_return_a_row_for_each_row_of_their_table(spark, sf_dir, name):
         assert sorted(want.columns) == sorted(out.columns)
 
 
-def test_queries_cover_the_ten_operators():
-    assert sorted(registry.QUERIES) == sorted(CONTRACTS)
+def test_search_equals_its_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+    out = registry.op13_search(spark, sf_dir)
+    assert [f"{a} {b}" for a, b in out.dtypes] == OTHERS["op13_search"].split(", ")
+    want = con.sql(registry.ORACLE_SQL["op13_search"])
+    assert sorted(tuple(r) for r in out.select(*want.columns).collect()) == sorted(want.fetchall())
+
+
+def test_queries_cover_the_operators():
+    assert sorted(registry.QUERIES) == sorted([*CONTRACTS, *OTHERS])
