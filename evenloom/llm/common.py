@@ -48,7 +48,7 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 #: A table of so many narrow rows (some megabytes) may be broadcast.
-SMALL_ROWS = 200_000
+SMALL_ROWS = 50_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
