@@ -42,7 +42,7 @@ def dirty(spark, sf_dir) -> DataFrame:
     a = agenda(spark, sf_dir)
     return a.select(
         "ord", F.when(o % 101 == 0, "bad id!").otherwise(F.col("id")).alias("id"), F.when(o % 97 == 0, "?").otherwise(F.col("v").cast("string")).alias("v"), F.when(o % 89 == 0, F.lit("\x00 \x07")).otherwise(F.concat(F.lit("  "), "title", F.lit("\t x"))).alias("title"),
-        F.when(o % 83 == 0, "2024-02-31").when(o % 79 == 0, "2024-2-3").otherwise(F.date_format("date", "yyyy-MM-dd")).alias("date"), F.when(o % 13 == 0, "24:10").otherwise(HHMM(F.col("time"))).alias("time"), F.when(o % 7 == 0, "javascript:x").otherwise(F.col("url")).alias("url"), F.when(o % 5 == 0, None).otherwise(F.col("genre")).alias("genre"), F.when(o % 19 == 0, -F.col("price")).otherwise(F.col("price")).alias("price"), "status", F.date_format("end", "yyyy-MM-dd").alias("end"), F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"),
+        F.when(o % 83 == 0, "2024-02-31").when(o % 79 == 0, "2024-2-3").otherwise(F.date_format("date", "yyyy-MM-dd")).alias("date"), F.when(o % 13 == 0, "24:10").otherwise(HHMM(F.col("time"))).alias("time"), F.when(o % 7 == 0, "javascript:x").otherwise(F.col("url")).alias("url"), F.when(o % 5 == 0, None).otherwise(F.col("genre")).alias("genre"), F.when(o % 19 == 0, -1 - F.col("price")).otherwise(F.col("price")).alias("price"), "status", F.date_format("end", "yyyy-MM-dd").alias("end"), F.date_format("first_seen", "yyyy-MM-dd").alias("first_seen"),
     )
 
 
