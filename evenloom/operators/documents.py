@@ -6,12 +6,13 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import _NAMES, _date, groups, infer_year, month_number, price_from_text, sale_status, until_date, with_date
 from ..functions.keys import acts, artist_key, bare_key
+from .batches import few_at_once, packed_rows, slim_batches
 
 _T = rf"(\d{{1,2}})\s+({_NAMES})\b\.?(?:\s+'?(\d{{4}}))?"
 _N = r"(\d{1,2})[./-](\d{1,2})[./-](20\d\d)"
@@ -91,10 +92,10 @@ def jsonld_events(pages: DataFrame) -> DataFrame:
     are read as a list.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in few_at_once(batches):
             out = []
-            for url, page in zip(batch["url"], batch["html"]):
+            for url, page in zip(part["url"].to_pylist(), part["html"].to_pylist()):
                 place = 0
                 for block in _BLOCK.findall(page or ""):
                     try:
@@ -107,9 +108,11 @@ def jsonld_events(pages: DataFrame) -> DataFrame:
                     for event in _events_in(value):
                         out.append((url, place, json.dumps(event)))
                         place += 1
-            yield pd.DataFrame(out, columns=["url", "place", "event"])
+            yield from packed_rows(out, ["url", "place", "event"], kinds)
 
-    return pages.select("url", "html").mapInPandas(run, "url string, place int, event string")
+    rows = pages.select("url", "html")
+    kinds = pa.schema([("url", pa.string()), ("place", pa.int32()), ("event", pa.string())])
+    return slim_batches(rows).mapInArrow(run, "url string, place int, event string")
 
 
 def event_from_jsonld(objects: DataFrame) -> DataFrame:
