@@ -5,11 +5,12 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import _NAMES, _date, month_number
+from .batches import few_at_once, packed_rows, slim_batches
 from .resolve import containing
 from ..functions.keys import slug
 
@@ -106,17 +107,18 @@ def untagged(df: DataFrame, payload: str, having: str) -> DataFrame:
             elif isinstance(x, list):
                 todo.extend(reversed(x))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in few_at_once(batches):
             out = []
-            for source, text in zip(batch["source"], batch["payload"]):
+            for source, text in zip(part["source"].to_pylist(), part["payload"].to_pylist()):
                 try:
                     out += [(source, k, json.dumps(x)) for k, x in enumerate(found(plain(json.loads(text or "null"))))]
                 except (ValueError, RecursionError):  # nested beyond what can be read: as bad as any other
                     continue
-            yield pd.DataFrame(out, columns=["source", "place", "object"])
+            yield from packed_rows(out, ["source", "place", "object"], kinds)
 
-    return df.select("source", F.col(payload).alias("payload")).mapInPandas(run, "source string, place int, object string")
+    kinds = pa.schema([("source", pa.string()), ("place", pa.int32()), ("object", pa.string())])
+    return slim_batches(df.select(F.col("source").cast("string").alias("source"), F.col(payload).alias("payload"))).mapInArrow(run, "source string, place int, object string")
 
 
 def date_lists(df: DataFrame, dates: str) -> DataFrame:
