@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.extract import _NAMES, _date, groups, infer_year, month_number, price_from_text, sale_status, until_date, with_date
 from ..functions.keys import acts, artist_key, bare_key
+from ..functions.urls import let
 from .batches import few_at_once, packed_rows, slim_batches
 
 _T = rf"(\d{{1,2}})\s+({_NAMES})\b\.?(?:\s+'?(\d{{4}}))?"
@@ -289,24 +290,34 @@ PROGRAMME = r"(?i)\s(ft\.?|feat\.?|featuring|presents?|met|with|spelen?|speelt|p
 
 
 def search_names(name: Column, clean_least: int = 10) -> Column:
-    """Names to look an artist up by, from the whole name to the act itself: array of (name, least popularity, part, unknown_ok)."""
-    bare = F.trim(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", ""))
-    first = F.trim(F.split(bare, r"\s+[✦•|/–—]\s+|\s+-\s+")[0])
-    dated = F.trim(F.regexp_replace(first, _DATED, ""))
-    clean = F.trim(F.regexp_replace(dated, _NOISE, ""))
-    halves = F.split(clean, r"(?i)\s+(?:&|\+|en|and)\s+")
-    left = F.trim(halves[0])
-    words = F.size(F.split(left, r"\s+"))
+    """Names to look an artist up by, from the whole name to the act itself: array of (name, least popularity, part, unknown_ok).
+
+    Each step is bound before the next one names it, as an expression is otherwise computed as often as it is named.
+    """
     item = lambda n, short, least, part, unknown: F.struct(n.alias("name"), F.lit(short).alias("short"), (least if isinstance(least, Column) else F.lit(least)).alias("least"), F.lit(part).alias("part"), (unknown if isinstance(unknown, Column) else F.lit(unknown)).alias("unknown_ok"))
-    base = F.array(item(F.trim(name), 3, 0, False, False), item(bare, 3, 0, False, False), item(first, 4, 0, False, False), item(dated, 4, 0, False, False), item(clean, 4, clean_least, False, False))
-    colon = F.array(item(F.trim(F.split(clean, ":", 2)[0]), 4, 25, True, False), item(F.trim(F.coalesce(F.get(F.split(clean, ":", 2), F.lit(1)), F.lit(""))), 4, 0, True, False))
-    pair = F.array(item(left, 4, F.when(words >= 2, 10).otherwise(40), False, words >= 2))
-    none = F.filter(pair, lambda x: F.lit(False))
-    extra = F.when(clean.contains(":"), colon).when((F.size(halves) == 2) & ~left.contains(",") & ~left.rlike(PROGRAMME), pair).otherwise(none)
-    every = F.filter(F.concat(base, extra), lambda x: F.length(artist_key(x["name"])) >= x["short"])
-    names = F.transform(every, lambda x: x["name"])
-    first_only = F.filter(F.transform(every, lambda x, i: F.struct(x.alias("x"), (F.array_position(names, x["name"]) == i + 1).alias("ok"))), lambda y: y["ok"])
-    return F.transform(first_only, lambda y: F.struct(y["x"]["name"].alias("name"), y["x"]["least"].alias("least"), y["x"]["part"].alias("part"), y["x"]["unknown_ok"].alias("unknown_ok")))
+
+    def listed(bare: Column, first: Column, dated: Column, clean: Column, halves: Column, left: Column) -> Column:
+        words = F.size(F.split(left, r"\s+"))
+        base = F.array(item(F.trim(name), 3, 0, False, False), item(bare, 3, 0, False, False), item(first, 4, 0, False, False), item(dated, 4, 0, False, False), item(clean, 4, clean_least, False, False))
+        colon = F.array(item(F.trim(F.split(clean, ":", 2)[0]), 4, 25, True, False), item(F.trim(F.coalesce(F.get(F.split(clean, ":", 2), F.lit(1)), F.lit(""))), 4, 0, True, False))
+        pair = F.array(item(left, 4, F.when(words >= 2, 10).otherwise(40), False, words >= 2))
+        none = F.filter(F.array(item(left, 4, F.lit(0), False, F.lit(False))), lambda x: F.lit(False))
+        extra = F.when(clean.contains(":"), colon).when((F.size(halves) == 2) & ~left.contains(",") & ~left.rlike(PROGRAMME), pair).otherwise(none)
+        return F.filter(F.concat(base, extra), lambda x: F.length(artist_key(x["name"])) >= x["short"])
+
+    def distinct(every: Column) -> Column:
+        firsts = let(F.transform(every, lambda x: x["name"]), lambda names: F.filter(every, lambda x, i: F.array_position(names, x["name"]) == i + 1))
+        return F.transform(firsts, lambda x: F.struct(x["name"].alias("name"), x["least"].alias("least"), x["part"].alias("part"), x["unknown_ok"].alias("unknown_ok")))
+
+    steps = (
+        lambda: F.trim(F.regexp_replace(name, r"\s*\([^)]*\)\s*$", "")), lambda bare: F.trim(F.split(bare, r"\s+[✦•|/–—]\s+|\s+-\s+")[0]), lambda bare, first: F.trim(F.regexp_replace(first, _DATED, "")),
+        lambda bare, first, dated: F.trim(F.regexp_replace(dated, _NOISE, "")), lambda *known: F.split(known[-1], r"(?i)\s+(?:&|\+|en|and)\s+"), lambda *known: F.trim(known[-1][0]),
+    )
+
+    def bound(*known: Column) -> Column:
+        return let(steps[len(known)](*known), lambda c: bound(*known, c)) if len(known) < len(steps) else let(listed(*known), distinct)
+
+    return bound()
 
 
 #: Titles that are no music, and series of comedy evenings.
