@@ -85,11 +85,14 @@ def further_pages(pages: DataFrame) -> DataFrame:
     rows = pages.select("url", once(visible_markup(F.coalesce("html", F.lit("")))).alias("html"))
     is_next = lambda t: F.coalesce(F.concat(F.lit(" "), F.lower(attribute(t, "rel")), F.lit(" ")).rlike(r"\snext\s"), F.lit(False))
     named = F.concat(*(F.slice(F.filter(tags(F.col("html"), of), is_next), 1, 1) for of in ("link", "a")))
-    first = attribute(F.try_element_at(named, F.lit(1)), "href")
     anchors = F.filter(F.transform(tags(F.col("html"), "a"), lambda t: attribute(t, "href")), lambda x: x.isNotNull())
-    full = F.filter(F.transform(anchors, lambda h: U.without_fragment(U.resolve(F.col("url"), h))), lambda u: u.rlike(numbered))
+    rows = rows.select("url", once(F.try_element_at(named, F.lit(1))).alias("tag"), once(anchors).alias("anchors"))
+    full = F.filter(F.transform("anchors", lambda h: U.without_fragment(U.resolve(F.col("url"), h))), lambda u: u.rlike(numbered))
+    rows = rows.select("url", "anchors", once(attribute(F.col("tag"), "href")).alias("first"))
+    rows = rows.select("url", "first", once(full).alias("full"))
     listing = lambda u: F.regexp_replace(F.regexp_replace(U.part(u, U.PATH), r"/page/\d+/?$", ""), "/+$", "")
-    own = F.filter(full, lambda u: (U.part(u, U.AUTHORITY) == U.part(F.col("url"), U.AUTHORITY)) & (listing(u) == F.regexp_replace(U.part(F.col("url"), U.PATH), "/+$", "")))
+    first = F.col("first")
+    own = F.filter("full", lambda u: (U.part(u, U.AUTHORITY) == U.part(F.col("url"), U.AUTHORITY)) & (listing(u) == F.regexp_replace(U.part(F.col("url"), U.PATH), "/+$", "")))
     links = F.array_distinct(F.concat(F.filter(F.array(F.when(F.coalesce(first, F.lit("")) != "", U.resolve(F.col("url"), first))), lambda x: x.isNotNull()), own))
     return rows.select("url", F.posexplode(links).alias("place", "link"))
 
