@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -47,6 +48,13 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and reread: the size that the optimizer sees is the files', not a product of joins' sizes."""
+    out = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(out)
+    return df.sparkSession.read.parquet(out)
+
+
 #: A table of so many narrow rows (some megabytes) may be broadcast.
 SMALL_ROWS = 50_000
 
