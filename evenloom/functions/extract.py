@@ -129,7 +129,15 @@ _AMOUNT = r"^(\d{1,3}(?:\.\d{3})+|\d+)(?:[,.](\d{1,2}|-{1,2}))?$"
 
 def amount(text: Column) -> Column:
     """"€ 24,50", "24,-" or "1.250,00" as a number, else null."""
-    bare = F.regexp_replace(text, r"(?i)\s|€|eur(os?)?\b", "")
+    return bare_amount(without_marks(text))
+
+
+def without_marks(text: Column) -> Column:
+    """An amount without space and the signs of its currency."""
+    return F.regexp_replace(text, r"(?i)\s|€|eur(os?)?\b", "")
+
+
+def bare_amount(bare: Column) -> Column:
     euros = F.replace(F.regexp_extract(bare, _AMOUNT, 1), F.lit("."), F.lit("")).try_cast("double")
     cents = F.regexp_extract(bare, _AMOUNT, 2)
     part = F.when(cents.rlike(r"^\d"), F.rpad(cents, 2, "0").try_cast("double") / 100).otherwise(0.0)

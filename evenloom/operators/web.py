@@ -7,11 +7,13 @@ and what lies deeper in further rounds over the rows that have it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.extract import HIGHEST, LOWEST, NO_TICKET, amount
+from ..functions.extract import HIGHEST, LOWEST, NO_TICKET, bare_amount, without_marks
 from ..functions.keys import unescape
 from ..sources.storage import durable
 
@@ -170,20 +172,26 @@ def _asked(node: Column) -> Column:
     """(price, free) of an object node: the amount it asks in EUR for a ticket, and whether it says that it is free."""
     text = lambda name: F.try_variant_get(node, f"$.{name}", "string")
     words = F.concat_ws(" ", *(F.coalesce(text(n), F.lit("")) for n in ("name", "description", "category")))
-    price = F.coalesce(amount(text("lowPrice")), amount(text("price")))
-    counts = (F.upper(F.coalesce(F.nullif(text("priceCurrency"), F.lit("")), F.lit("EUR"))) == "EUR") & ~words.rlike(NO_TICKET)
-    return F.struct(F.when(counts & (price >= LOWEST) & (price <= HIGHEST), price).alias("price"), F.coalesce(counts & (price == 0) & words.rlike("(?i)gratis|free|vrij"), F.lit(False)).alias("free"))
+    asks = lambda name: U.let(without_marks(text(name)), bare_amount)
+    told = F.struct(F.coalesce(asks("lowPrice"), asks("price")).alias("price"), F.upper(F.coalesce(F.nullif(text("priceCurrency"), F.lit("")), F.lit("EUR"))).alias("currency"), words.alias("words"))
+
+    def counted(x: Column) -> Column:
+        counts = (x["currency"] == "EUR") & ~x["words"].rlike(NO_TICKET)
+        return F.struct(F.when((x["price"] >= LOWEST) & (x["price"] <= HIGHEST) & counts, x["price"]).alias("price"), F.coalesce((x["price"] == 0) & counts & x["words"].rlike("(?i)gratis|free|vrij"), F.lit(False)).alias("free"))
+
+    # an array function evaluates what it names as often as it names it
+    return U.let(told, counted)
 
 
-def walked_offers(rows: DataFrame, key: str, nodes: Column) -> DataFrame:
-    """(key, price, free, rest) of rows with ``nodes``, an array of variants: what LEVELS levels of them ask, and the nodes below."""
-    out = rows.select(key, once(nodes).alias("l0"))
+def walked_offers(rows: DataFrame, key: str, nodes: Column, *others: str) -> DataFrame:
+    """(key, others, price, free, rest) of rows with ``nodes``, an array of variants: what LEVELS levels of them ask, and the nodes below."""
+    out = rows.select(key, *others, once(nodes).alias("l0"))
     for k in range(LEVELS):
         out = out.select("*", once(F.flatten(F.transform(f"l{k}", _children))).alias(f"l{k + 1}"))
     asked = F.flatten(F.array(*(F.transform(f"l{k}", _asked) for k in range(LEVELS))))
-    out = out.select(key, once(asked).alias("asked"), F.col(f"l{LEVELS}").alias("rest"))
+    out = out.select(key, *others, once(asked).alias("asked"), F.col(f"l{LEVELS}").alias("rest"))
     asked = F.col("asked")
-    return out.select(key, F.array_min(F.filter(F.transform(asked, lambda x: x["price"]), lambda p: p.isNotNull())).alias("price"), F.exists(asked, lambda x: x["free"]).alias("free"), "rest")
+    return out.select(key, *others, F.array_min(F.filter(F.transform(asked, lambda x: x["price"]), lambda p: p.isNotNull())).alias("price"), F.exists(asked, lambda x: x["free"]).alias("free"), "rest")
 
 
 def event_prices(events: DataFrame, key: str, payload: str) -> DataFrame:
@@ -192,18 +200,18 @@ def event_prices(events: DataFrame, key: str, payload: str) -> DataFrame:
     Offers nest in lists, offers and price specifications to any depth. 0 if the event is accessible for free, or if an
     offer of 0 says so; null without a price, and for payloads that are no JSON.
     """
-    rows = events.select(key, F.try_parse_json(payload).alias("event"))
+    rows = events.select(key, once(F.try_parse_json(payload)).alias("event"))
     open_door = F.lower(F.try_variant_get("event", "$.isAccessibleForFree", "string")).isin("true", "https://schema.org/true")
     start = F.filter(F.array(F.try_variant_get("event", "$.offers", "variant")), lambda x: x.isNotNull())
-    found = durable(walked_offers(rows, key, start))
-    parts, deeper = [found.select(key, "price", "free")], found.where(F.size("rest") > 0)
-    while not deeper.isEmpty():  # one round for each LEVELS levels, over the rows that go on
+    rows = rows.select(key, F.coalesce(open_door, F.lit(False)).alias("open"), start.alias("start"))
+    first = found = durable(walked_offers(rows, key, F.col("start"), "open"))
+    parts = []
+    while not (deeper := found.where(F.size("rest") > 0)).isEmpty():  # one round for each LEVELS levels, over the rows that go on
         found = durable(walked_offers(deeper, key, F.col("rest")))
-        parts.append(found.select(key, "price", "free"))
-        deeper = found.where(F.size("rest") > 0)
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
-    least = every.groupBy(key).agg(F.min("price").alias("price"), F.bool_or("free").alias("free")) if len(parts) > 1 else every
-    price = F.when(F.col("open"), 0.0).otherwise(F.coalesce("price", F.when(F.col("free"), 0.0)))
-    return rows.select(key, F.coalesce(open_door, F.lit(False)).alias("open")).join(least, key, "left").select(key, price.alias("price"))
+        parts.append(found.select(key, F.col("price").alias("_price"), F.col("free").alias("_free")))
+    price, free = F.col("price"), F.col("free")
+    if parts:
+        below = reduce(DataFrame.unionByName, parts).groupBy(key).agg(F.min("_price").alias("_price"), F.bool_or("_free").alias("_free"))
+        first = first.join(below, key, "left")
+        price, free = F.least(price, "_price"), free | F.coalesce("_free", F.lit(False))
+    return first.select(key, F.when(F.col("open"), 0.0).otherwise(F.coalesce(price, F.when(free, 0.0))).alias("price"))
