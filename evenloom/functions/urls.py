@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 #: scheme, authority, path, query, fragment
 PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 SCHEME, AUTHORITY, PATH, QUERY, FRAGMENT = range(1, 6)
+#: Each of the parts alone, reading no farther than it goes.
+_ALONE = (r"^([A-Za-z][A-Za-z0-9+.-]*):", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", r"^[^?#]*\?([^#]*)", r"(?s)^[^#]*#(.*)$")
 
 
 def part(url: Column, which: int) -> Column:
     """A part of a reference; what is absent is empty."""
-    return F.regexp_extract(url, PARTS, which)
+    return F.regexp_extract(url, _ALONE[which - 1], 1)
 
 
 def host(url: Column) -> Column:

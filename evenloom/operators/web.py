@@ -114,13 +114,23 @@ def _inside(entry: Column, name: str) -> Column:
     return F.when(entry.rlike(pattern), F.regexp_extract(entry, pattern, 1))
 
 
-def sitemap_edges(maps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (url, xml), a null one empty -> the maps that each names (map, place, child), and its links (map, place, link, lastmod)."""
-    rows = maps.groupBy(F.col("url").alias("map")).agg(F.min(F.coalesce("xml", F.lit(""))).alias("xml"))  # one document an address
-    children = rows.select("map", F.posexplode(_entries(F.col("xml"), "sitemap")).alias("place", "e")).select("map", "place", _inside(F.col("e"), "loc").alias("child"))
-    children = children.where(F.col("child").isNotNull() & ~F.col("child").endswith(".gz")).withColumn("child", unescape("child"))
-    links = rows.select("map", F.posexplode(_entries(F.col("xml"), "url")).alias("place", "e")).select("map", "place", _inside(F.col("e"), "loc").alias("link"), F.coalesce(_inside(F.col("e"), "lastmod"), F.lit("")).alias("lastmod"))
-    return children, links.where("link is not null").withColumn("link", U.without_fragment(unescape("link")))
+def sitemap_documents(maps: DataFrame) -> DataFrame:
+    """Documents (url, xml), a null one empty -> (map, xml), one an address."""
+    return maps.groupBy(F.col("url").alias("map")).agg(F.min(F.coalesce("xml", F.lit(""))).alias("xml"))
+
+
+def sitemap_children(documents: DataFrame) -> DataFrame:
+    """The maps that each document names (map, place, child)."""
+    children = documents.select("map", F.posexplode(_entries(F.col("xml"), "sitemap")).alias("place", "e")).select("map", "place", once(_inside(F.col("e"), "loc")).alias("child"))
+    return children.where(F.col("child").isNotNull() & ~F.col("child").endswith(".gz")).withColumn("child", unescape("child"))
+
+
+def sitemap_links(documents: DataFrame) -> DataFrame:
+    """The links of each document (map, place, link, lastmod)."""
+    links = documents.select("map", F.posexplode(_entries(F.col("xml"), "url")).alias("place", "e"))
+    links = links.select("map", "place", "e", once(_inside(F.col("e"), "loc")).alias("link")).where("link is not null")
+    decoded = F.when(F.col("link").contains("&"), unescape("link")).otherwise(F.col("link"))
+    return links.select("map", "place", once(U.without_fragment(decoded)).alias("link"), F.coalesce(_inside(F.col("e"), "lastmod"), F.lit("")).alias("lastmod"))
 
 
 def maps_of_sites(sites: DataFrame, children: DataFrame, max_maps: int = MAX_MAPS) -> DataFrame:
@@ -149,10 +159,12 @@ def sitemap_tree(sites: DataFrame, maps: DataFrame, pattern: Column | str | None
     ``url`` is the site's first map. Of a link that several maps give the first one's date counts, in the order in which
     maps are visited; equal dates stay in that order, links without a date come last. Packed maps (.gz) are left out.
     """
-    children, links = sitemap_edges(maps)
-    visited = maps_of_sites(sites, durable(children), max_maps)
-    rows = visited.join(links, "map").join(sites.select("site", F.col("url").alias("start")).distinct(), "site")
-    rows = rows.where((U.host(F.col("link")) == U.host(F.col("start"))) & wanted(F.col("link"), pattern))
+    documents = sitemap_documents(maps)
+    visited = maps_of_sites(sites, durable(sitemap_children(documents)), max_maps)
+    # links of maps that no site visits aren't read
+    links = sitemap_links(documents.join(visited.select("map").distinct(), "map", "left_semi")).where(wanted(F.col("link"), pattern))
+    starts = sites.select("site", U.host(F.col("url")).alias("host")).distinct()
+    rows = visited.join(links, "map").join(starts, "site").where(U.host(F.col("link")) == F.col("host"))
     first = rows.groupBy("site", "link").agg(F.min(F.struct("turn", "place", "lastmod")).alias("at"))
     order = Window.partitionBy("site").orderBy(F.desc("at.lastmod"), "at.turn", "at.place")
     return first.select("site", "link", F.col("at.lastmod").alias("lastmod"), F.row_number().over(order).alias("rank"))
