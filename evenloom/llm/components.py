@@ -2,15 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, packed, small
+from .common import SMALL_ROWS, durable, packed, small
 
 MAX_ROUNDS = 60
 
 
-def components(edges: DataFrame) -> DataFrame:
+def reached(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of a few edges and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (differ := root[a] != root[b]).any():
+        a, b = a[differ], b[differ]
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        np.minimum.at(root, high, low)
+        while (root != (up := root[root])).any():
+            root = up
+    return nodes, nodes[root]
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    edges = [[c.to_numpy() for c in b.columns] for b in batches]
+    found = reached(*(np.concatenate([e[k] for e in edges] or [np.zeros(0, np.int64)]) for k in (0, 1)))
+    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "component"])
+
+
+def components(edges: DataFrame, few: int = SMALL_ROWS) -> DataFrame:
     """edges(u, v) of longs -> (node, component): component is the smallest node that can be reached.
 
     In every round each node hooks on to the neighbour (or itself) that comes first in a per-round pseudo-random
@@ -19,9 +43,14 @@ def components(edges: DataFrame) -> DataFrame:
     over the edges that are left, and the rounds' lookups are chained at the end. Lookup tables of a counted, small
     size are broadcast, larger ones joined. Self-loops, repeated edges and an empty edge list are allowed; rows with a
     null end are ignored.
+
+    A counted number of edges up to ``few`` is settled by one task, with the same result: rounds of Spark's are dozens of
+    jobs and broadcasts for next to no work, and the driver's threads for them cost more memory than the edges.
     """
     edges = durable(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null").distinct())
     n = edges.count()
+    if n <= few:
+        return durable(edges.coalesce(1).mapInArrow(_settled, "node long, component long"))
     edges = packed(edges, n)
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     left, found = edges.where("u <> v"), []

@@ -71,10 +71,16 @@ class Sparse:
 
     CHUNK = 1 << 20
 
-    def __init__(self, rows: list[np.ndarray], n: int):
+    def __init__(self, rows: list[np.ndarray], place: np.ndarray, n: int):
+        """place: the column of each feature of the rows, or -1 if it has none. Rows are copied one by one, as the driver holds them all."""
         self.n = n
-        self.counts = np.array([len(r) for r in rows], np.int64)
-        self.col = np.concatenate(rows).astype(np.int32) if rows else np.zeros(0, np.int32)
+        self.counts = np.array([np.count_nonzero(place[r] >= 0) for r in rows], np.int64)
+        self.col = np.empty(self.counts.sum(), np.int32)
+        at = 0
+        for r, k in zip(rows, self.counts.tolist()):
+            own = place[r]
+            self.col[at : at + k] = own[own >= 0]
+            at += k
         ends = np.cumsum(self.counts)
         cuts = [0, *np.unique(np.searchsorted(ends, np.arange(self.CHUNK, len(self.col) + self.CHUNK, self.CHUNK)) + 1).tolist()]
         bounds = [min(x, len(rows)) for x in cuts]
@@ -103,15 +109,14 @@ def fit(rows: list[np.ndarray], labels: list[int], pairs: list[tuple[np.ndarray,
     usable = seen >= least
     for _, new, _ in pairs:  # a swapped-in term must be able to receive weight, or there is nothing to balance
         usable[new] |= seen[new] > 0
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     ids = np.flatnonzero(usable)
     place[ids] = np.arange(len(ids))
-    thin = lambda r: (at := place[r])[at >= 0].astype(np.int32)
-    x = Sparse([thin(r) for r in rows], len(ids))
+    x = Sparse(rows, place, len(ids))
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return np.zeros(BUCKETS), float(-4 if not len(y) or y.max() == 0 else 4)
-    left, right = Sparse([thin(a) for a, _, _ in pairs], len(ids)), Sparse([thin(b) for _, b, _ in pairs], len(ids))
+    left, right = (Sparse([p[k] for p in pairs], place, len(ids)) for k in (0, 1))
     share = np.array([n for _, _, n in pairs], float)
     share = balance * share / share.sum() if pairs else share
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))  # both classes count alike
@@ -198,13 +203,28 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 6000, balance: flo
             found = [x for t in batch.column(1).to_pylist() for x in swaps(distinct_words(t), groups)]
             yield pa.RecordBatch.from_arrays([pa.array([x[k].tobytes() for x in found], pa.binary()) for k in (0, 1)], ["old", "new"])
 
-    got = rows.mapInArrow(described, "toxic int, features binary").toArrow()  # at most max_rows
-    texts = sorted(zip(got.column("toxic").to_pylist(), got.column("features").to_pylist()))
+    texts = rows.mapInArrow(described, "toxic int, features binary").toArrow()  # at most max_rows
     # pairs of terms, and the few ways in which their features may overlap with a text's other words
-    got = rows.mapInArrow(swapped, "old binary, new binary").groupBy("old", "new").count().toArrow()
-    pairs = sorted(zip(*(got.column(c).to_pylist() for c in ("old", "new", "count"))))
-    buckets = lambda b: np.frombuffer(b, np.int32)
-    return fit([buckets(x) for _, x in texts], [y for y, _ in texts], [(buckets(a), buckets(b), n) for a, b, n in pairs], balance)
+    pairs = rows.mapInArrow(swapped, "old binary, new binary").groupBy("old", "new").count().toArrow()
+    texts, pairs = _in_order(texts, "toxic", "features"), _in_order(pairs, "old", "new", "count")
+    model = fit(_buckets(texts, "features"), texts["toxic"].to_pylist(), list(zip(_buckets(pairs, "old"), _buckets(pairs, "new"), pairs["count"].to_pylist())), balance)
+    del texts, pairs
+    pa.default_memory_pool().release_unused()
+    return model
+
+
+def _in_order(table: pa.Table, *columns: str) -> pa.Table:
+    return table.sort_by([(c, "ascending") for c in columns]).combine_chunks()
+
+
+def _buckets(table: pa.Table, column: str) -> list[np.ndarray]:
+    """The features of each row, as views of the table's own memory."""
+    if not len(table):
+        return []
+    values = table[column].chunk(0).cast(pa.large_binary())
+    ends = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1] // 4
+    flat = np.frombuffer(values.buffers()[2], np.int32, int(ends[-1]))
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
 def score_column(spark: SparkSession, model: tuple[np.ndarray, float]) -> Callable[[Column], Column]:
