@@ -112,7 +112,8 @@ def _dense(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
     flat = np.frombuffer(b"".join(rows), np.int32)
     row = np.repeat(np.arange(len(rows)) * TOPIC_FEATURES, [len(r) // 4 for r in rows])
-    return np.bincount(row + flat % TOPIC_FEATURES, flat // TOPIC_FEATURES, len(rows) * TOPIC_FEATURES).reshape(len(rows), TOPIC_FEATURES)
+    counts = np.bincount(row + flat % TOPIC_FEATURES, flat // TOPIC_FEATURES, len(rows) * TOPIC_FEATURES)
+    return counts.astype(float, copy=False).reshape(len(rows), TOPIC_FEATURES)  # without any word bincount() gives integers
 
 
 def _units(column: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
