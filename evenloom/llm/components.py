@@ -34,6 +34,11 @@ def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["node", "component"])
 
 
+def _at_once(edges: DataFrame) -> DataFrame:
+    """(node, component) of a few edges(u, v), by one task."""
+    return durable(edges.coalesce(1).mapInArrow(_settled, "node long, component long"))
+
+
 def components(edges: DataFrame, few: int = SMALL_ROWS) -> DataFrame:
     """edges(u, v) of longs -> (node, component): component is the smallest node that can be reached.
 
@@ -44,18 +49,21 @@ def components(edges: DataFrame, few: int = SMALL_ROWS) -> DataFrame:
     size are broadcast, larger ones joined. Self-loops, repeated edges and an empty edge list are allowed; rows with a
     null end are ignored.
 
-    A counted number of edges up to ``few`` is settled by one task, with the same result: rounds of Spark's are dozens of
-    jobs and broadcasts for next to no work, and the driver's threads for them cost more memory than the edges.
+    A counted number of edges up to ``few``, given or left by a round, is settled by one task, with the same result: rounds
+    of Spark's are dozens of jobs and broadcasts for next to no work, and the driver's threads and plans for them cost more
+    memory than the edges. So there are rounds for what is larger only.
     """
     edges = durable(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u is not null and v is not null").distinct())
     n = edges.count()
     if n <= few:
-        return durable(edges.coalesce(1).mapInArrow(_settled, "node long, component long"))
+        return _at_once(edges)
     edges = packed(edges, n)
     nodes = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct()
     left, found = edges.where("u <> v"), []
     for turn in range(MAX_ROUNDS):
-        if left.isEmpty():
+        if n <= few:
+            if n:
+                found.append((_at_once(left).withColumnRenamed("component", "to"), 2 * n))
             break
         both = left.select("u", "v").union(left.select(F.col("v"), F.col("u")))
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("o"), F.col(c).alias("n"))
@@ -71,7 +79,7 @@ def components(edges: DataFrame, few: int = SMALL_ROWS) -> DataFrame:
         n = left.count()
         left = packed(left, n)
     else:
-        if not left.isEmpty():
+        if n:
             raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = nodes.select("node", F.col("node").alias("root"))
     for k, (far, size) in enumerate(found):
